@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import decontaminate
+from .packing import TOKENIZER, pack, packed_digest
 from .sharding import shard_digest, two_pass_shuffle
+from .simhash import near_duplicates
+
+
+def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
 
 
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(two_pass_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bin_slack_packing": op1_bin_slack_packing,
+    "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
