@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
 from .packing import TOKENIZER, pack, packed_digest
+from .quality import fit, held_out, score
+from .reputation import judge_urls
 from .sharding import shard_digest, two_pass_shuffle
 from .simhash import near_duplicates
+from .topk import hamming_topk, sign_codes
 
 
 def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +27,28 @@ def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
 
 
+def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of its number: good if quality is 1 and toxic is not."""
+    outcomes = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(outcomes, "page_id", "left")
+    return judge_urls(pages, good=F.col("good")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(two_pass_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_topk(codes, codes.filter("id % 20 = 0"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,7 +56,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
     "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
+    "op4_byte_cnn_quality": op4_byte_cnn_quality,
+    "op5_host_reputation": op5_host_reputation,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
+    "op7_multi_index_topk": op7_multi_index_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
