@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import decontaminate
 from .packing import TOKENIZER, pack, packed_digest
+from . import pii
 from .quality import fit, held_out, score
 from .reputation import judge_urls
 from .sharding import shard_digest, two_pass_shuffle
@@ -53,6 +54,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
     "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_multi_index_topk": op7_multi_index_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_lstm_crf_pii": op10_lstm_crf_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
