@@ -16,6 +16,7 @@ from .quality import fit, held_out, score
 from .reputation import judge_urls
 from .sharding import shard_digest, two_pass_shuffle
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .topk import hamming_topk, sign_codes
 
 
@@ -54,6 +55,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.fit(docs), keep=["doc_id"])
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_multi_index_topk": op7_multi_index_topk,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_phrase_automata": op9_phrase_automata,
     "op10_lstm_crf_pii": op10_lstm_crf_pii,
 }
 
