@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
+from .licenses import scan_licenses
 from .packing import TOKENIZER, pack, packed_digest
 from . import pii
 from .quality import fit, held_out, score
@@ -24,6 +25,10 @@ def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op2_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
@@ -68,6 +73,7 @@ def op10_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
+    "op2_patience_license_scan": op2_patience_license_scan,
     "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_host_reputation": op5_host_reputation,
