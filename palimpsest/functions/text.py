@@ -30,6 +30,11 @@ def _mapped(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(k for k, _ in kept) + "".join(gone), "".join(v for _, v in kept))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda that names an expression would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(text: Column) -> Column:
     """Runs of Unicode white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -137,8 +142,7 @@ def first_by_key(items: Column, key=None) -> Column:
     """C11: items whose key has not come before, in order."""
     if key is None:
         return F.array_distinct(items)
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(F.transform(items, lambda x: F.struct(x.alias("x"), key(x).alias("k"))), lambda j: F.transform(F.filter(j, lambda e, i: F.array_position(F.transform(j, lambda y: y["k"]), e["k"]) == i + 1), lambda e: e["x"]))
 
 
 def slug(number: Column) -> Column:
@@ -171,39 +175,67 @@ def searchable_word(word: Column) -> Column:
 
 
 def searchable_phrase(phrase: Column) -> Column:
-    found = fragment_words(phrase)
-    return F.when(F.size(found) == 0, F.lit(False)).when(F.size(found) == 1, searchable_word(F.element_at(found, 1))).otherwise((F.length(phrase) <= 96) & F.exists(found, searchable_word))
+    of = lambda found: F.when(F.size(found) == 0, F.lit(False)).when(F.size(found) == 1, searchable_word(F.element_at(found, 1))).otherwise((F.length(phrase) <= 96) & F.exists(found, searchable_word))
+    return let(fragment_words(phrase), of)
 
 
 def windows_of(items: Column, size: int) -> Column:
     """Every run of `size` items joined by a space."""
-    return F.when(F.size(items) >= size, F.transform(F.sequence(F.lit(1), F.size(items) - size + 1), lambda i: F.array_join(F.slice(items, i, size), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.array_join(F.slice(x, i, size), " "))
+    return let(items, lambda x: F.when(F.size(x) >= size, runs(x)).otherwise(F.array().cast("array<string>")))
 
 
 def search_fragments(text: Column, sizes: Sequence[int] = (6, 5, 4, 3, 2)) -> Column:
-    """I8: the text itself and its runs of 6 to 2 words, as far as they are worth searching for."""
-    plain = render_text(text)
-    found = fragment_words(plain)
-    runs = F.flatten(F.array(F.array(plain), *[windows_of(found, n) for n in sizes]))
-    return F.when(F.size(found) == 1, F.array_distinct(F.filter(F.array(plain, F.element_at(found, 1)), searchable_phrase))).otherwise(F.array_distinct(F.filter(runs, searchable_phrase)))
+    """I8: the text itself and its runs of 6 to 2 words, as far as they are worth searching for: 96 characters at most, with a word that is.
+
+    Words are judged once; a run is worth searching if one of its words is.
+    """
+
+    def of(found: Column, plain: Column) -> Column:
+        judged = F.transform(found, lambda w: F.struct(w.alias("w"), searchable_word(w).alias("ok")))
+
+        def runs(j: Column) -> Column:
+            one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(j) - n + 1, F.lit(1))), lambda i: F.slice(j, i, n))
+            full = lambda n: F.filter(one(n), lambda r: F.size(r) == n)
+            every = F.flatten(F.array(*[full(n) for n in sizes]))
+            good = F.filter(every, lambda r: F.exists(r, lambda x: x["ok"]))
+            phrases = F.transform(good, lambda r: F.array_join(F.transform(r, lambda x: x["w"]), " "))
+            whole = F.when(F.exists(j, lambda x: x["ok"]) & (F.length(plain) <= 96), F.array(plain)).otherwise(F.array().cast("array<string>"))
+            return F.array_distinct(F.concat(whole, F.filter(phrases, lambda p: F.length(p) <= 96)))
+
+        single = F.filter(F.array(plain, F.element_at(found, 1)), lambda p: searchable_word(F.element_at(found, 1)))
+        return F.when(F.size(found) == 0, F.array().cast("array<string>")).when(F.size(found) == 1, F.array_distinct(single)).otherwise(let(judged, runs))
+
+    return let(render_text(text), lambda plain: let(fragment_words(plain), lambda found: of(found, plain)))
 
 
 def trim_edges(items: Column, stop: Sequence[str] = EDGE_STOP_WORDS) -> Column:
     """Items without stop words at either end."""
-    places = F.filter(F.transform(items, lambda w, i: F.when(~alignment_key(w).isin(*stop), i + 1)), lambda i: i.isNotNull())
-    return F.when(F.size(places) == 0, F.array().cast("array<string>")).otherwise(F.slice(items, F.element_at(places, 1), F.greatest(F.element_at(places, -1) - F.element_at(places, 1) + 1, F.lit(0))))
+
+    def of(x: Column) -> Column:
+        places = F.filter(F.transform(x, lambda w, i: F.when(~alignment_key(w).isin(*stop), i + 1)), lambda i: i.isNotNull())
+        cut = lambda p: F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(F.slice(x, F.element_at(p, 1), F.greatest(F.element_at(p, -1) - F.element_at(p, 1) + 1, F.lit(0))))
+        return let(places, cut)
+
+    return let(items, of)
 
 
 def token_fragments(text: Column) -> Column:
-    """I8's variant: stop words off the edges; up to 8 words as they are, else all runs of the longest size from 8 to 3 that has any worth searching for."""
-    found = trim_edges(fragment_words(text, money=True))
-    worth = lambda p: F.exists(fragment_words(p, money=True), lambda w: ~alignment_key(w).isin(*EDGE_STOP_WORDS))
-    single = F.element_at(found, 1)
-    one = number_like(single) | ((F.length(alignment_key(single)) >= 3) & ~alignment_key(single).isin(*EDGE_STOP_WORDS))
+    """I8's variant: stop words off the edges; up to 8 words as they are, else all runs of the longest size from 8 to 3 that has any worth searching for.
+
+    With stop words off both edges the first word is none, so the first run of 8 is always worth it; shorter runs are asked for only where a caller's stop words say otherwise.
+    """
     none = F.array().cast("array<string>")
-    runs = [F.filter(windows_of(found, n), worth) for n in range(8, 2, -1)]
-    longest = F.coalesce(*[F.when(F.size(r) > 0, r) for r in runs], none)
-    return F.when(F.size(found) == 0, none).when(F.size(found) == 1, F.when(one, found).otherwise(none)).when(F.size(found) <= 8, F.filter(F.array(F.array_join(found, " ")), worth)).otherwise(longest)
+    stop = lambda w: alignment_key(w).isin(*EDGE_STOP_WORDS)
+
+    def of(found: Column) -> Column:
+        single = F.element_at(found, 1)
+        one = number_like(single) | ((F.length(alignment_key(single)) >= 3) & ~stop(single))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - 7, F.lit(1))), lambda i: F.slice(found, i, 8))
+        good = F.filter(runs, lambda r: F.exists(r, lambda w: ~stop(w)))
+        return F.when(F.size(found) == 0, none).when(F.size(found) == 1, F.when(one, found).otherwise(none)).when(F.size(found) <= 8, F.array(F.array_join(found, " "))).otherwise(F.transform(good, lambda r: F.array_join(r, " ")))
+
+    return let(trim_edges(fragment_words(text, money=True)), of)
 
 
 def visual_fragment(text: Column) -> Column:

@@ -186,8 +186,11 @@ def align_clauses(original: DataFrame, revised: DataFrame, pair: str = "pair_id"
     """(pair, order_index, status, confidence, original_order, revised_order) over clauses of extract_clauses."""
     keyed = lambda df: df.select(pair, "order_index", "id", "number", X.clause_key(F.col("text")).alias("key"), X.word_key(F.col("heading")).alias("head"))
 
-    def run(key, o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda d: d.astype(object).where(d.notna(), None)
+    def run(key: tuple, o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        def clean(d: pd.DataFrame) -> pd.DataFrame:
+            d = d if "order_index" in d.columns else pd.DataFrame(columns=["order_index", "id", "number", "key", "head"])  # a side without clauses
+            return d.astype(object).where(d.notna(), None)
+
         out = _align_pair(clean(o), clean(r))
         out.insert(0, pair, key[0])
         return out[[pair, "order_index", "status", "confidence", "original_order", "revised_order"]]
@@ -224,7 +227,7 @@ def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 def best_unused_titles(original: DataFrame, revised: DataFrame, pair: str, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """G10 (dormant): each original section title in order takes the best revised title not yet taken, the first of equals, at the threshold or more."""
 
-    def run(key, o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         free, out = list(r.sort_values("seq").itertuples()), []
         for x in o.sort_values("seq").itertuples():
             scored = [(K.score100(x.key, y.key), -k) for k, y in enumerate(free)]

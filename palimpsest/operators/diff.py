@@ -141,7 +141,7 @@ def compare_units(units: DataFrame, pair: str = "pair_id", threshold: float = MO
     keyed = units.select(pair, "side", "unit_seq", "text", X.alignment_key(F.col("text")).alias("key"))
     kind = units.schema[pair].dataType.simpleString()
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         o, r = ([x for x in rows[rows.side == s].sort_values("unit_seq").itertuples()] for s in ("original", "revised"))
         out: list[tuple] = []
         anchor = lambda j: (r[min(j, len(r) - 1)].unit_seq if r else None)
@@ -191,7 +191,7 @@ def align_blocks(blocks: DataFrame, pair: str = "pair_id", threshold: float = MO
     """
     keyed = blocks.select(pair, "side", "seq", X.block_key(F.col("text")).alias("key"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         o, r = ([x for x in rows[rows.side == s].sort_values("seq").itertuples()] for s in ("original", "revised"))
         out: list[tuple] = []
         for op, i, j, k, n in K.opcodes([x.key for x in o], [y.key for y in r], True):

@@ -16,6 +16,7 @@ from ..operators import layout as L
 from ..operators import mutate as M
 from ..operators import report as R
 from ..operators import structure as S
+from ..session import stored
 from ..sources import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,7 +180,8 @@ select pair_id, side, line_seq as unit_seq, kind,
 
 
 def parsed(spark, d):
-    return S.parse_units(rich(spark, d), ["pair_id", "side"], "line_seq")
+    """Stored: queries read the parsed lines of both sides several times."""
+    return stored(S.parse_units(rich(spark, d), ["pair_id", "side"], "line_seq"), "parsed")
 
 
 @query("parse_units", f"select pair_id, side, unit_seq, kind, id, section_id, clause_id from {PARSED}")
@@ -250,7 +252,7 @@ def document_gate(spark, d):
 
 def matched(spark, d):
     o, r = sides(spark, d)
-    m = A.greedy_matches(A.score_matrix(o, r))
+    m = stored(A.greedy_matches(A.score_matrix(o, r)), "matches")
     return o, r, m, A.alignment(o, r, m)
 
 
@@ -339,7 +341,7 @@ def token_changes(spark, d):
 
 def v3_clauses(spark, d, is_rich):
     pages = FX.contract_pages(FX.contracts(spark, d, is_rich))
-    c = S.extract_clauses(pages, ["pair_id", "side"])
+    c = stored(S.extract_clauses(pages, ["pair_id", "side"]), "clauses")
     return [c.filter(F.col("side") == s).drop("side") for s in ("original", "revised")]
 
 
@@ -360,7 +362,7 @@ def v3_clause_status_rows(spark, d):
     return A.clause_status(*v3_clauses(spark, d, False)).select("pair_id", "status", "id", "number", "original_text", "revised_text")
 
 
-@query("v3_single_edit_tokens", rf"select pair_id, number, regexp_extract(original_text, 'deliver ([0-9]+)|within ([0-9]+)', case when number like '1.%' then 1 else 2 end) as deleted, regexp_extract(revised_text, 'deliver ([0-9]+)|within ([0-9]+)', case when number like '1.%' then 1 else 2 end) as inserted from {V3ROWS} where status = 'modified'")
+@query("v3_single_edit_tokens", rf"select pair_id, number, regexp_extract(original_text, '(deliver|within) ([0-9]+)', 2) as deleted, regexp_extract(revised_text, '(deliver|within) ([0-9]+)', 2) as inserted from {V3ROWS} where status = 'modified'")
 def v3_single_edit_tokens(spark, d):
     rows = A.clause_status(*v3_clauses(spark, d, False)).filter("status = 'modified'")
     c = D.clause_chunks(rows, "original_text", "revised_text")
@@ -398,7 +400,7 @@ def v3_fallback_paragraphs(spark, d):
 # v2
 
 def doc_pairs(spark, d):
-    return D.near_copy_pairs(docs(spark, d))
+    return stored(D.near_copy_pairs(docs(spark, d)), "pairs")
 
 
 _GRAMS = f"(select doc_id, w, {FOLD.format(PLAIN.format('text'))} as key from (select doc_id, text, string_split({FOLD.format(PLAIN.format('text'))}, ' ') as w from documents))"
@@ -418,7 +420,8 @@ def near_copy_pairs(spark, d):
 def v2_ops(spark, d, kind=None):
     p = doc_pairs(spark, d)
     p = p.filter(F.col("kind") == kind) if kind else p
-    return D.word_ops(D.pair_streams(p, D.token_arrays(docs(spark, d))), ["pair_id"])
+    streams = stored(D.pair_streams(p, D.token_arrays(docs(spark, d))), "streams")
+    return stored(D.word_ops(streams, ["pair_id"]), "ops")
 
 
 _ARR = f"(select doc_id, list_transform({WORDS}, lambda x: {FOLD.format('x')}) as w from documents)"
@@ -512,7 +515,7 @@ def block_alignment(spark, d):
 # Layout
 
 def words(spark, d):
-    return FX.layout(docs(spark, d))
+    return stored(FX.layout(docs(spark, d)), "words")
 
 
 @query("header_footer")
@@ -539,7 +542,7 @@ def layout_columns(spark, d):
 @query("layout_tokens")
 def layout_tokens(spark, d):
     w = words(spark, d)
-    t = L.word_tokens(w, L.processed_blocks(w))
+    t = stored(L.word_tokens(w, L.processed_blocks(w)), "tokens")
     i = L.page_info(w, t)
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "normalized"))), lambda x: x["normalized"]), " ").cast("binary")).alias("key")).join(i.groupBy("doc_id").agg(F.max("end").alias("end")), "doc_id")
 
@@ -552,7 +555,7 @@ def document_profile(spark, d):
 
 def changed_tokens(spark, d):
     w = words(spark, d)
-    t = L.word_tokens(w, L.processed_blocks(w))
+    t = stored(L.word_tokens(w, L.processed_blocks(w)), "tokens")
     c = D.change_records(v2_ops(spark, d, "near"), ["pair_id"]).filter("b1 > b0").join(doc_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
     c = c.select("pair_id", "seq", F.col("revised_doc_id").alias("doc_id"), F.explode(F.sequence("b0", F.col("b1") - 1)).alias("token_index"))
     return c.join(t, ["doc_id", "token_index"])

@@ -1,11 +1,15 @@
-"""Makes this package importable in Spark's Python workers, wherever the driver was started."""
+"""The session's side of things: importable workers, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN_DIR: dict[str, str] = {}
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -15,3 +19,19 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Only where none is named, as in local tests, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="palimpsest-"))
+
+
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    """df written once as a Parquet table in the shared folder and read again: later steps neither plan nor compute it anew, nor depend on executors that may go."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
