@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,30 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_OWN_DIR: dict[str, str] = {}
+from ..session import stored
+
+__all__ = ["map_texts", "release", "split_batch", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where none is named, as in local tests, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    return _OWN_DIR.setdefault(app, tempfile.mkdtemp(prefix="palimpsest-"))
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read again: later steps neither recompute it nor depend on executors that may go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are stored."""
     gc.collect()

@@ -133,7 +133,7 @@ def links(fps: DataFrame, groups: int | None = None, cell: int = CELL) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node of the component. Alternates large-star and small-star steps until nothing changes.
+    """(node, label) of every node that is not the smallest of its component: label is that smallest node. Alternates large-star and small-star steps until nothing changes.
 
     Every step is a groupBy with partial minimum and one join on the node, stored in the shared folder; rounds grow with the logarithm of the size.
     """
