@@ -129,7 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = docs.select(*dict.fromkeys([*own, "text"]))
     for k in range(blocks):
-        out = _scan(out, benchmark.filter(part == k), sc, window, names, [c for c in out.columns if not c.startswith("__") and c in {*own, "text"}] + [c for c in out.columns if c.startswith("__found")])
+        out = _scan(out, benchmark.filter(part == k), sc, window, names, [c for c in out.columns if c in {*own, "text"}] + [c for c in out.columns if c.startswith("__found")])
         out = out.withColumnRenamed("hit_words", f"__found_w{k}").withColumnRenamed("item_ids", f"__found_i{k}").drop("n_hit", "n_items", "items_sha256", "contaminated", *(["n_words"] if k < blocks - 1 else []))
     joined = lambda kind: F.concat_ws(",", *[F.when(F.col(f"__found_{kind}{k}") != "", F.col(f"__found_{kind}{k}")) for k in range(blocks)])
     covered = F.transform(F.filter(F.split(joined("w"), ","), lambda x: x != ""), lambda x: F.sequence(F.split(x, ":")[0].cast("long"), F.split(x, ":")[1].cast("long") - 1))
