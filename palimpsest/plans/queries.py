@@ -34,6 +34,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate table that several queries read: written once for each session and input, until forget()."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = stored(build(), name)
+    return _SHARED[key]
+
+
+def forget() -> None:
+    _SHARED.clear()
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -181,7 +196,7 @@ select pair_id, side, line_seq as unit_seq, kind,
 
 def parsed(spark, d):
     """Stored: queries read the parsed lines of both sides several times."""
-    return stored(S.parse_units(rich(spark, d), ["pair_id", "side"], "line_seq"), "parsed")
+    return shared(spark, d, "parsed", lambda: S.parse_units(rich(spark, d), ["pair_id", "side"], "line_seq"))
 
 
 @query("parse_units", f"select pair_id, side, unit_seq, kind, id, section_id, clause_id from {PARSED}")
@@ -252,7 +267,7 @@ def document_gate(spark, d):
 
 def matched(spark, d):
     o, r = sides(spark, d)
-    m = stored(A.greedy_matches(A.score_matrix(o, r)), "matches")
+    m = shared(spark, d, "matches", lambda: A.greedy_matches(A.score_matrix(o, r)))
     return o, r, m, A.alignment(o, r, m)
 
 
@@ -340,8 +355,7 @@ def token_changes(spark, d):
 # v3
 
 def v3_clauses(spark, d, is_rich):
-    pages = FX.contract_pages(FX.contracts(spark, d, is_rich))
-    c = stored(S.extract_clauses(pages, ["pair_id", "side"]), "clauses")
+    c = shared(spark, d, f"clauses_{is_rich}", lambda: S.extract_clauses(FX.contract_pages(FX.contracts(spark, d, is_rich)), ["pair_id", "side"]))
     return [c.filter(F.col("side") == s).drop("side") for s in ("original", "revised")]
 
 
@@ -400,7 +414,7 @@ def v3_fallback_paragraphs(spark, d):
 # v2
 
 def doc_pairs(spark, d):
-    return stored(D.near_copy_pairs(docs(spark, d)), "pairs")
+    return shared(spark, d, "pairs", lambda: D.near_copy_pairs(docs(spark, d)))
 
 
 _GRAMS = f"(select doc_id, w, {FOLD.format(PLAIN.format('text'))} as key from (select doc_id, text, string_split({FOLD.format(PLAIN.format('text'))}, ' ') as w from documents))"
@@ -418,10 +432,9 @@ def near_copy_pairs(spark, d):
 
 
 def v2_ops(spark, d, kind=None):
-    p = doc_pairs(spark, d)
-    p = p.filter(F.col("kind") == kind) if kind else p
-    streams = stored(D.pair_streams(p, D.token_arrays(docs(spark, d))), "streams")
-    return stored(D.word_ops(streams, ["pair_id"]), "ops")
+    streams = shared(spark, d, "streams", lambda: D.pair_streams(doc_pairs(spark, d), D.token_arrays(docs(spark, d))))
+    ops = shared(spark, d, "ops", lambda: D.word_ops(streams, ["pair_id"]))
+    return ops.join(doc_pairs(spark, d).filter(F.col("kind") == kind).select("pair_id"), "pair_id") if kind else ops
 
 
 _ARR = f"(select doc_id, list_transform({WORDS}, lambda x: {FOLD.format('x')}) as w from documents)"
@@ -515,7 +528,7 @@ def block_alignment(spark, d):
 # Layout
 
 def words(spark, d):
-    return stored(FX.layout(docs(spark, d)), "words")
+    return shared(spark, d, "words", lambda: FX.layout(docs(spark, d)))
 
 
 @query("header_footer")
@@ -542,7 +555,7 @@ def layout_columns(spark, d):
 @query("layout_tokens")
 def layout_tokens(spark, d):
     w = words(spark, d)
-    t = stored(L.word_tokens(w, L.processed_blocks(w)), "tokens")
+    t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
     i = L.page_info(w, t)
     return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "normalized"))), lambda x: x["normalized"]), " ").cast("binary")).alias("key")).join(i.groupBy("doc_id").agg(F.max("end").alias("end")), "doc_id")
 
@@ -555,7 +568,7 @@ def document_profile(spark, d):
 
 def changed_tokens(spark, d):
     w = words(spark, d)
-    t = stored(L.word_tokens(w, L.processed_blocks(w)), "tokens")
+    t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
     c = D.change_records(v2_ops(spark, d, "near"), ["pair_id"]).filter("b1 > b0").join(doc_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
     c = c.select("pair_id", "seq", F.col("revised_doc_id").alias("doc_id"), F.explode(F.sequence("b0", F.col("b1") - 1)).alias("token_index"))
     return c.join(t, ["doc_id", "token_index"])
