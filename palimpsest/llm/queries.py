@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import decontaminate
 from .licenses import scan_licenses
+from .oracle import ORACLE_SQL  # noqa: F401
 from .packing import TOKENIZER, pack, packed_digest
 from . import pii
 from .quality import fit, held_out, score
@@ -83,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_phrase_automata": op9_phrase_automata,
     "op10_lstm_crf_pii": op10_lstm_crf_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}
