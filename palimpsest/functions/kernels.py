@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -24,7 +25,88 @@ def ratio(a, b, autojunk: bool = True) -> float:
 
 def opcodes(a, b, autojunk: bool) -> list[tuple[str, int, int, int, int]]:
     """(op, a0, a1, b0, b1). Equal ends are not cut off first: that would change which of several equal matches is chosen."""
-    return SequenceMatcher(None, list(a), list(b), autojunk=autojunk).get_opcodes()
+    if autojunk and len(b) >= 200:  # popular elements are ignored from this length on
+        return SequenceMatcher(None, list(a), list(b), autojunk=True).get_opcodes()
+    return edits(matching_blocks(list(a), list(b)), len(a), len(b))
+
+
+SMALL = 400  # elements of both sides up to which difflib is faster
+
+
+class PhraseRanks:
+    """Numbers for all phrases of two sequences, by doubling: equal phrases of 2^p elements have equal ranks, and two overlapping ranks name any length.
+
+    Exact: ranks stand for the phrases themselves, not for hashes of them. Takes n log n room and time, however often elements recur.
+    """
+
+    def __init__(self, a: list, b: list):
+        ids: dict = {}
+        self.shift = len(a) + 1
+        both = [ids.setdefault(x, len(ids) + 1) for x in a] + [0] + [ids.setdefault(x, len(ids) + 1) for x in b]
+        self.levels = [np.array(both, dtype=np.int64)]
+
+    def level(self, p: int) -> np.ndarray:
+        while len(self.levels) <= p:
+            r, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.unique(r[: len(r) - half] * (int(r.max()) + 1) + r[half:], return_inverse=True)[1].reshape(-1))
+        return self.levels[p]
+
+    def phrases(self, lo: int, hi: int, k: int) -> np.ndarray:
+        """Names of the phrases of k elements within [lo, hi)."""
+        p = k.bit_length() - 1
+        r = self.level(p)
+        return r[lo : hi - k + 1] * len(self.levels[0]) + r[lo + k - (1 << p) : hi - (1 << p) + 1]
+
+    def longest(self, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+        """(i, j, k) of the longest common phrase of a[a0:a1] and b[b0:b1]: of equal ones the first in a, then the first in b."""
+        best, low, high = (a0, b0, 0), 0, min(a1 - a0, b1 - b0) + 1
+        step = 1
+        while high - low > 1:  # a common phrase of k elements holds one of k - 1
+            k = min(low + step, high - 1) if step else (low + high) // 2
+            x, y = self.phrases(a0, a1, k), self.phrases(b0 + self.shift, b1 + self.shift, k)
+            met = np.isin(x, y)
+            if met.any():
+                i = int(met.argmax())
+                best, low, step = (a0 + i, b0 + int((y == x[i]).argmax()), k), k, step * 2
+            else:
+                high, step = k, 0
+        return best
+
+
+def matching_blocks(a: list, b: list, small: int = SMALL) -> list[tuple[int, int, int]]:
+    """(i, j, k) of the equal runs that difflib finds when every element is an anchor, neighbours joined."""
+    ranks = PhraseRanks(a, b) if len(a) + len(b) > small else None
+    found, open_ranges = [], [(0, len(a), 0, len(b))]
+    while open_ranges:
+        a0, a1, b0, b1 = open_ranges.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if ranks is None or a1 - a0 + b1 - b0 <= small:
+            found += [(a0 + i, b0 + j, k) for i, j, k in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks() if k]
+            continue
+        i, j, k = ranks.longest(a0, a1, b0, b1)
+        if k:
+            found.append((i, j, k))
+            open_ranges += [(a0, i, b0, j), (i + k, a1, j + k, b1)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, k in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (*out[-1][:2], out[-1][2] + k)
+        else:
+            out.append((i, j, k))
+    return out
+
+
+def edits(blocks: list[tuple[int, int, int]], n: int, m: int) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes between and over equal runs."""
+    out, i, j = [], 0, 0
+    for x, y, k in [*blocks, (n, m, 0)]:
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        if k:
+            out.append(("equal", x, x + k, y, y + k))
+        i, j = x + k, y + k
+    return out
 
 
 @pandas_udf(T.StringType())

@@ -25,13 +25,17 @@ def pair_streams(pairs: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def word_ops(streams: DataFrame, keys: list[str]) -> DataFrame:
-    """F8: one row for each opcode with seq (1-based over all), op, ranges, and the streams. Equal streams skip the kernel."""
+    """F8: (keys, a, ak, b, bk, ops): one row for each pair, opcodes in an array, so streams are held once. Equal streams skip the kernel."""
     same = F.col("ak") == F.col("bk")
     whole = F.when(F.size("ak") > 0, F.array(F.struct(F.lit("equal").alias("op"), F.lit(0).alias("a0"), F.size("ak").alias("a1"), F.lit(0).alias("b0"), F.size("bk").alias("b1")))).otherwise(F.array().cast(K.OPS))
-    equal = streams.filter(same).withColumn("ops", whole.cast(K.OPS))
-    other = streams.filter(~same).withColumn("ops", K.exact_ops_udf("ak", "bk"))
-    rows = equal.unionByName(other).select(*keys, "a", "ak", "b", "bk", F.posexplode("ops").alias("__i", "o"))
-    return rows.select(*keys, "a", "ak", "b", "bk", (F.col("__i") + 1).alias("seq"), "o.*").withColumn("op_id", F.format_string("WOP-%04d", F.col("seq")))
+    found = K.exact_ops_udf(F.when(~same, F.col("ak")), F.when(~same, F.col("bk")))
+    return streams.withColumn("ops", F.when(same, whole.cast(K.OPS)).otherwise(found)).select(*keys, "a", "ak", "b", "bk", "ops")
+
+
+def op_rows(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """word_ops as one row for each opcode, without the streams: seq (1-based over all), op, ranges, op_id."""
+    rows = ops.select(*keys, F.posexplode("ops").alias("__i", "o")).select(*keys, (F.col("__i") + 1).alias("seq"), "o.*")
+    return rows.withColumn("op_id", F.format_string("WOP-%04d", F.col("seq")))
 
 
 def _range(array: str, a: Column, b: Column) -> Column:
@@ -46,7 +50,9 @@ def _at(array: str, i: Column) -> Column:
 def change_records(ops: DataFrame, keys: list[str]) -> DataFrame:
     """I3, I5, I7, F9, G19, G20 over word_ops: changes numbered CHG-0001 on, with texts, context, fragment, confidence, and the delete anchor."""
     a0, a1, b0, b1 = (F.col(c) for c in ("a0", "a1", "b0", "b1"))
-    ch = ops.filter("op <> 'equal'")
+    numbered = F.transform("ops", lambda o, i: F.struct((i + 1).alias("seq"), o.alias("o")))
+    ch = ops.select(*keys, "a", "ak", "b", "bk", F.posexplode(F.filter(numbered, lambda x: x["o"]["op"] != "equal")).alias("__n", "__x"))
+    ch = ch.select(*keys, "a", "ak", "b", "bk", "__n", "__x.seq", "__x.o.*").withColumn("op_id", F.format_string("WOP-%04d", F.col("seq")))
     gone, new = F.array_join(_range("a", a0, a1), " "), F.array_join(_range("b", b0, b1), " ")
     shared = (F.col("op") == "replace") & ((a1 - a0 >= 2) | (b1 - b0 >= 2)) & (a0 >= 2) & (b0 >= 2) & (_at("ak", a0 - 1) == _at("bk", b0 - 1))
     ch = ch.withColumn("__back", F.when(shared, 1).otherwise(0))
@@ -62,17 +68,15 @@ def change_records(ops: DataFrame, keys: list[str]) -> DataFrame:
     strategy = F.when(F.col("op") != "delete", None).when(b0 < F.size("b"), "nearest_surviving_revised_token_after").when(b0 >= 1, "nearest_surviving_revised_token_before").otherwise("original_location_fallback")
     marks = [before.alias("before_word"), F.nullif(deleted, F.lit("")).alias("deleted_text"), F.nullif(inserted, F.lit("")).alias("inserted_text"), after.alias("after_word")]
     out = ch.select(
-        *keys, "seq", "op_id", "op", "a0", "a1", "b0", "b1", F.nullif(gone, F.lit("")).alias("original_text"), F.nullif(new, F.lit("")).alias("revised_text"),
+        *keys, "__n", "seq", "op_id", "op", "a0", "a1", "b0", "b1", F.nullif(gone, F.lit("")).alias("original_text"), F.nullif(new, F.lit("")).alias("revised_text"),
         F.when(F.col("op") == "insert", "added").when(F.col("op") == "delete", "deleted").otherwise("modified").alias("change_type"),
         *marks, X.context_markdown(F.col("op"), before, deleted, inserted, after).alias("markdown"), X.context_plain(before, deleted, inserted, after).alias("plain"),
         fragment.alias("fragment"), place.alias("anchor_token"), strategy.alias("anchor_strategy"),
     )
-    # Confidence: the kernel sees replaced texts only.
-    sure = out.filter("op <> 'replace'").withColumn("confidence", F.lit(1.0))
-    rated = out.filter("op = 'replace'").withColumn("confidence", K.round4(K.share_udf(X.casefold(F.col("original_text")), X.casefold(F.col("revised_text")))))
-    both = sure.unionByName(rated)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
-    return both.withColumn("change_id", F.format_string("CHG-%04d", n))
+    # Confidence: the kernel sees replaced texts only; the rest are nulls to it.
+    side = lambda c: F.when(F.col("op") == "replace", X.casefold(F.col(c)))
+    rated = F.when(F.col("op") == "replace", K.round4(K.share_udf(side("original_text"), side("revised_text")))).otherwise(1.0)
+    return out.withColumn("confidence", rated).withColumn("change_id", F.format_string("CHG-%04d", F.col("__n") + 1)).drop("__n")
 
 
 def clause_fragments(rows: DataFrame, a: str, b: str) -> DataFrame:

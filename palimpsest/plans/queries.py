@@ -432,9 +432,13 @@ def near_copy_pairs(spark, d):
 
 
 def v2_ops(spark, d, kind=None):
-    streams = shared(spark, d, "streams", lambda: D.pair_streams(doc_pairs(spark, d), D.token_arrays(docs(spark, d))))
-    ops = shared(spark, d, "ops", lambda: D.word_ops(streams, ["pair_id"]))
-    return ops.join(doc_pairs(spark, d).filter(F.col("kind") == kind).select("pair_id"), "pair_id") if kind else ops
+    """Streams and opcodes of every pair of near copies, one row a pair."""
+    ops = shared(spark, d, "ops", lambda: D.word_ops(D.pair_streams(doc_pairs(spark, d), D.token_arrays(docs(spark, d))), ["pair_id"]))
+    return ops.join(doc_pairs(spark, d).filter(F.col("kind") == kind).select("pair_id"), "pair_id", "left_semi") if kind else ops
+
+
+def v2_rows(spark, d, kind=None):
+    return D.op_rows(v2_ops(spark, d, kind), ["pair_id"])
 
 
 _ARR = f"(select doc_id, list_transform({WORDS}, lambda x: {FOLD.format('x')}) as w from documents)"
@@ -442,9 +446,8 @@ _PID = "cast(p.original_doc_id as varchar) || '-' || cast(p.revised_doc_id as va
 
 
 def _rebuilt(spark, d, arr, a, b):
-    o = v2_ops(spark, d).withColumn("part", F.slice(F.col(arr), F.col(a) + 1, F.col(b) - F.col(a)))
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]))
-    return o.groupBy("pair_id").agg(F.md5(F.array_join(joined, " ").cast("binary")).alias("key"))
+    parts = F.flatten(F.transform("ops", lambda o: F.slice(F.col(arr), o[a] + 1, o[b] - o[a])))
+    return v2_ops(spark, d).select("pair_id", F.md5(F.array_join(parts, " ").cast("binary")).alias("key"))
 
 
 @query("v2_roundtrip_original", f"select {_PID} as pair_id, md5(array_to_string(d.w, ' ')) as key from {PAIRS} p join {_ARR} d on d.doc_id = p.original_doc_id")
@@ -459,12 +462,12 @@ def v2_roundtrip_revised(spark, d):
 
 @query("v2_op_lengths", f"select {_PID} as pair_id, cast(len(a.w) as bigint) as original_tokens, cast(len(b.w) as bigint) as revised_tokens from {PAIRS} p join {_ARR} a on a.doc_id = p.original_doc_id join {_ARR} b on b.doc_id = p.revised_doc_id")
 def v2_op_lengths(spark, d):
-    return v2_ops(spark, d).groupBy("pair_id").agg(F.sum(F.col("a1") - F.col("a0")).alias("original_tokens"), F.sum(F.col("b1") - F.col("b0")).alias("revised_tokens"))
+    return v2_rows(spark, d).groupBy("pair_id").agg(F.sum(F.col("a1") - F.col("a0")).alias("original_tokens"), F.sum(F.col("b1") - F.col("b0")).alias("revised_tokens"))
 
 
 @query("v2_exact_pairs_zero_changes", f"select {_PID} as pair_id, cast(0 as bigint) as changes from {PAIRS} p where kind = 'exact'")
 def v2_exact_pairs_zero_changes(spark, d):
-    return v2_ops(spark, d, "exact").groupBy("pair_id").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes"))
+    return v2_rows(spark, d, "exact").groupBy("pair_id").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes"))
 
 
 @query("v2_document_word_diff")
@@ -500,7 +503,7 @@ def v2_delete_anchor(spark, d):
 
 @query("diff_warnings")
 def diff_warnings(spark, d):
-    return R.diff_warnings(v2_ops(spark, d), ["pair_id"]).withColumn("changed_ratio", F.round("changed_ratio", 6))
+    return R.diff_warnings(v2_rows(spark, d), ["pair_id"]).withColumn("changed_ratio", F.round("changed_ratio", 6))
 
 
 @query("debug_payload")
@@ -645,7 +648,7 @@ def benchmark_report(spark, d):
     m = M.all_mutations(paragraphs(spark, d)).filter("mutation_type = 'sentence added'")
     a = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("paragraph").alias("text")), "row").select("row", F.col("toks").alias("a"), F.col("keys").alias("ak"))
     b = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("revised_text").alias("text")), "row").select("row", F.col("toks").alias("b"), F.col("keys").alias("bk"))
-    c = D.word_ops(a.join(b, "row"), ["row"]).groupBy("row").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes")).select("row.k", "row.mutation_type", "changes")
+    c = D.op_rows(D.word_ops(a.join(b, "row"), ["row"]), ["row"]).groupBy("row").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes")).select("row.k", "row.mutation_type", "changes")
     checked = R.case_checks(m.join(c, ["k", "mutation_type"]).withColumn("original_text", F.col("paragraph")))
     return R.benchmark_totals(checked).filter("mutation_type is not null").select("mutation_type", "cases", "passed")
 

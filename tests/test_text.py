@@ -1,7 +1,9 @@
 """Text functions against their golden literals and against Python's re."""
 
+import random
 import re
 import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,16 @@ def test_kernels_match_difflib(spark):
         if x.a and x.b:
             assert x.s == SequenceMatcher(None, x.a, x.b).ratio() and x.e == SequenceMatcher(None, x.a, x.b, autojunk=False).ratio()
     assert spark.createDataFrame([(2.675,), (0.125,)], "v double").select(K.round2("v")).toPandas().iloc[:, 0].tolist() == [2.67, 0.12]
+
+
+def test_matching_blocks_are_those_of_difflib():
+    r = random.Random(11)
+    for case in range(300):
+        words = "abcdefgh"[: r.randint(1, 8)]
+        a = [r.choice(words) for _ in range(r.randint(0, 60))]
+        b = [x if r.random() < 0.8 else r.choice(words) for x in a] if case % 2 else [r.choice(words) for _ in range(r.randint(0, 60))]
+        want = SequenceMatcher(None, a, b, autojunk=False)
+        for small in (0, 12):
+            found = K.matching_blocks(a, b, small)
+            assert found == [tuple(x) for x in want.get_matching_blocks() if x.size]
+            assert K.edits(found, len(a), len(b)) == want.get_opcodes()
