@@ -6,6 +6,7 @@ of the revised side are ignored as anchors (difflib's autojunk).
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
@@ -182,6 +183,59 @@ def exact_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(lambda x, y: ratio(x, y, False))(a, b)
 
 
+@pandas_udf(T.BooleanType())
+def alike_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Is F12's ratio at `least` or more? Most rows are settled by a bound: the characters in common, then the ratio itself."""
+
+    def alike(x: str, y: str, at: float) -> bool:
+        m = SequenceMatcher(None, x, y, autojunk=False)
+        return m.real_quick_ratio() >= at and m.quick_ratio() >= at and m.ratio() >= at
+
+    return pd.Series([x is not None and y is not None and alike(x, y, at) for x, y, at in zip(a, b, least)], dtype=bool)
+
+
+def _best_of(texts: list[str], others: list[str]) -> list[float]:
+    """score100 of each text and the other it is likest to. Others are tried by falling bound (characters in common) until none can be better."""
+    letters = {c: k for k, c in enumerate(sorted({c for t in (*texts, *others) for c in t}))}
+
+    def counted(rows: list[str]) -> np.ndarray:
+        out = np.zeros((len(rows), len(letters)), np.int32)
+        for n, t in enumerate(rows):
+            np.add.at(out[n], [letters[c] for c in t], 1)
+        return out
+
+    others = list(dict.fromkeys(others))
+    size, have = np.array([len(t) for t in others]), counted(others)
+    known: dict[str, float] = {}
+    for text, own in zip(texts, counted(texts)):
+        if text in known:
+            continue
+        bound = 200.0 * np.minimum(have, own).sum(axis=1) / np.maximum(size + len(text), 1)
+        best = 0.0
+        for k in np.argsort(-bound, kind="stable"):
+            if text and round(float(bound[k]), 2) <= best:
+                break
+            best = max(best, score100(text, others[k]))
+            if best == 100.0:
+                break
+        known[text] = best
+    return [known[t] for t in texts]
+
+
+@pandas_udf(T.DoubleType())
+def average_best_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """H1 over arrays of texts already normalised by block_key: mean of both directions' mean best score, not rounded; 0 if a side has none."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = list(x) if x is not None else [], list(y) if y is not None else []
+        if not x or not y:
+            out.append(0.0)
+            continue
+        there, back = _best_of(x, y), _best_of(y, x)
+        out.append((math.fsum(there) / len(there) + math.fsum(back) / len(back)) / 2)
+    return pd.Series(out, dtype="float64")
+
+
 def _ops(autojunk: bool):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else [{"op": o, "a0": i, "a1": j, "b0": k, "b1": n} for o, i, j, k, n in opcodes(x, y, autojunk)] for x, y in zip(a, b)])

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels as K
 from ..functions import text as X
+from ..session import stored
 
 MATCH_THRESHOLD, GATE, FUZZY, RENUMBERED = 60.0, 50.0, 0.72, 0.92
 ALIGNMENT = "order_index int, status string, confidence double, original_order int, revised_order int"
@@ -40,19 +41,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) == 0, 100.0).otherwise(F.least(a, b) / F.greatest(a, b) * 100.0)
 
 
-def clause_scores(pairs: DataFrame) -> DataFrame:
-    """G2 to G5 over rows of (pair, o.*, r.*) with structs o and r of clause_index, count, number, text, title, section_title."""
+def clause_scores(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """G2 to G5 over rows of (pair, o.*, r.*) with structs o and r of clause_index, count, number, text, title, section_title.
+
+    least: rows whose overall score cannot reach it, even with the best text score their lengths allow, are left out before texts are compared.
+    """
     key = lambda side, f: X.block_key(F.coalesce(F.col(f"{side}.{f}"), F.lit("")))
     f1 = lambda f: K.score100_udf(key("o", f), key("r", f))
-    scored = pairs.withColumn("text_score", f1("text")).withColumn("__n", f1("number")).withColumn("__s", f1("section_title")).withColumn("__h", f1("title"))
+    scored = pairs.withColumn("__n", f1("number")).withColumn("__s", f1("section_title")).withColumn("__h", f1("title"))
     o, r = (lambda f: F.col(f"o.{f}")), (lambda f: F.col(f"r.{f}"))
     one_null = lambda f: o(f).isNull() | r(f).isNull()
     scored = scored.withColumn("number_score", K.round2(number_score(o("number"), r("number"), F.col("__n"))))
     scored = scored.withColumn("section_score", F.when(o("section_title").isNull() & r("section_title").isNull(), 50.0).when(one_null("section_title"), 0.0).otherwise(F.col("__s")))
     scored = scored.withColumn("heading_score", F.when(one_null("title"), 0.0).otherwise(F.col("__h")))
     scored = scored.withColumn("position_score", K.round2(position_score(o("clause_index"), r("clause_index"), o("count"), r("count"))))
-    overall = F.col("number_score") * 0.30 + F.col("text_score") * 0.25 + F.col("section_score") * 0.20 + F.col("heading_score") * 0.15 + F.col("position_score") * 0.10
-    return scored.withColumn("overall", K.round2(overall)).drop("__n", "__s", "__h")
+    overall = lambda text: F.col("number_score") * 0.30 + text * 0.25 + F.col("section_score") * 0.20 + F.col("heading_score") * 0.15 + F.col("position_score") * 0.10
+    if least is not None:
+        n, m = F.length(key("o", "text")), F.length(key("r", "text"))
+        top = F.when(n + m == 0, 100.0).otherwise(F.least(n, m) * 200.0 / (n + m))
+        scored = scored.filter(overall(top + 0.01) >= least - 0.01)  # scores are rounded to 2 digits
+    scored = scored.withColumn("text_score", f1("text"))
+    return scored.withColumn("overall", K.round2(overall(F.col("text_score")))).drop("__n", "__s", "__h")
 
 
 def match_reason(number: Column, text: Column) -> Column:
@@ -66,11 +75,11 @@ def side_clauses(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return clauses.withColumn("clause_index", F.row_number().over(w.orderBy("unit_seq")) - 1).withColumn("count", F.count("*").over(w)).withColumn("text", F.col("body"))
 
 
-def score_matrix(original: DataFrame, revised: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """G1: every clause of one side against every clause of the other, within a pair, scored."""
+def score_matrix(original: DataFrame, revised: DataFrame, pair: str = "pair_id", least: float | None = None) -> DataFrame:
+    """G1: every clause of one side against every clause of the other, within a pair, scored; with least, only those that may reach it."""
     fields = ["clause_index", "count", "id", "number", "text", "title", "section_title"]
     side = lambda df, name: df.select(pair, F.struct(*fields).alias(name))
-    return clause_scores(side(original, "o").join(side(revised, "r"), pair))
+    return clause_scores(side(original, "o").join(side(revised, "r"), pair), least)
 
 
 def greedy_matches(scores: DataFrame, pair: str = "pair_id", threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -109,15 +118,8 @@ def alignment(original: DataFrame, revised: DataFrame, matches: DataFrame, pair:
 
 def average_best(a: DataFrame, b: DataFrame, pair: str, text: str) -> DataFrame:
     """H1: (pair, score): mean over both directions of each text's best F1 score on the other side; 100 if neither side has any, 0 if one has none."""
-    names = a.select(pair).union(b.select(pair)).distinct()
-    x = a.select(pair, F.col("seq").alias("x"), X.block_key(F.col(text)).alias("xt"))
-    y = b.select(pair, F.col("seq").alias("y"), X.block_key(F.col(text)).alias("yt"))
-    met = x.join(y, pair).withColumn("f", K.score100_udf("xt", "yt")).withColumn("g", K.score100_udf("yt", "xt"))
-    mean = lambda n, s, out: met.groupBy(pair, n).agg(F.max(s).alias("best")).groupBy(pair).agg(F.avg("best").alias(out))
-    scored = mean("x", "f", "__f").join(mean("y", "g", "__g"), pair).select(pair, K.round2((F.col("__f") + F.col("__g")) / 2).alias("score"))
-    have = lambda df, n: df.groupBy(pair).agg(F.count("*").alias(n))
-    out = names.join(scored, pair, "left").join(have(a, "__a"), pair, "left").join(have(b, "__b"), pair, "left")
-    return out.select(pair, F.coalesce("score", F.lit(0.0)).alias("score"))
+    side = lambda df, name: df.groupBy(pair).agg(F.collect_list(X.block_key(F.col(text))).alias(name))
+    return side(a, "__x").join(side(b, "__y"), pair, "full").select(pair, K.round2(K.average_best_udf("__x", "__y")).alias("score"))
 
 
 def document_gate(pairs: DataFrame, sections_o: DataFrame, sections_r: DataFrame, clauses_o: DataFrame, clauses_r: DataFrame, pair: str = "pair_id", least: float = GATE) -> DataFrame:
@@ -199,18 +201,34 @@ def align_clauses(original: DataFrame, revised: DataFrame, pair: str = "pair_id"
     return keyed(original).groupBy(pair).cogroup(keyed(revised).groupBy(pair)).applyInPandas(run, f"{pair} {kind}, {ALIGNMENT}")
 
 
+def open_pairs(met: DataFrame, original: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """Pairs in which some revised clause without an original of its number is like enough to some original: those that numbers do not settle."""
+    new = met.filter(F.col("o").isNull()).select(pair, F.col("r.number").alias("n"), X.clause_key(F.col("r.text")).alias("k"), X.word_key(F.col("r.heading")).alias("h"))
+    old = original.select(pair, F.col("number").alias("m"), X.clause_key(F.col("text")).alias("l"), X.word_key(F.col("heading")).alias("g"))
+    same_head = F.coalesce(F.col("h") == F.col("g"), F.lit(False))
+    least = F.when(F.coalesce(F.col("n") != F.col("m"), F.lit(False)), RENUMBERED).when(same_head, FUZZY - 0.051).otherwise(FUZZY)
+    longer = F.greatest(F.length("k") + F.length("l"), F.lit(1))
+    met_by_size = new.join(old, pair).withColumn("least", least).filter(F.least(F.length("k"), F.length("l")) * 2.0 / longer >= F.col("least"))
+    return met_by_size.filter(K.alike_udf("l", "k", "least")).select(pair).distinct()
+
+
 def clause_status(original: DataFrame, revised: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """Status counts' rows without Python where numbers settle a pair: (pair, status, id, number, original_text, revised_text).
+    """The rows that status counts need: (pair, status, id, number, original_text, revised_text, pages).
 
-    A pair needs the order-dependent step only if a revised clause has no original of its number while some original stays unmatched, or
-    unnumbered clauses exist on both sides; such pairs go to align_clauses, all others through joins.
+    Joins on numbers give them for every pair in which no clause is left to likeness; only the pairs of open_pairs go through align_clauses.
     """
     met = number_matches(original, revised, pair)
+    unsettled = stored(open_pairs(met, original, pair), "open")
     cols = ["order_index", "id", "number", "heading", "text", "page_number"]
     used = met.filter(F.col("o").isNotNull()).select(pair, F.col("o.id").alias("id")).distinct()
     gone = original.join(used, [pair, "id"], "left_anti").select(pair, F.lit("deleted").alias("status"), F.struct(*cols).alias("o"))
     rows = met.select(pair, F.when(F.col("o").isNull(), "added").when(F.col("same"), "unchanged").otherwise("modified").alias("status"), "o", "r")
-    rows = rows.unionByName(gone, allowMissingColumns=True)
+    rows = rows.unionByName(gone, allowMissingColumns=True).join(unsettled, pair, "left_anti")
+    if not unsettled.isEmpty():
+        pick = lambda df, s: df.select(pair, F.col("order_index").alias(f"{s}_order"), F.struct(*cols).alias(s[0]))
+        left, right = (df.join(unsettled, pair, "left_semi") for df in (original, revised))
+        full = align_clauses(left, right, pair).join(pick(left, "original"), [pair, "original_order"], "left").join(pick(right, "revised"), [pair, "revised_order"], "left")
+        rows = rows.unionByName(full.select(pair, "status", "o", "r"))
     base = F.coalesce("r", "o")
     return rows.select(pair, "status", base["id"].alias("id"), base["number"].alias("number"), F.col("o.text").alias("original_text"), F.col("r.text").alias("revised_text"), F.col("o.page_number").alias("page_number_original"), F.col("r.page_number").alias("page_number_revised"))
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import kernels as K
 from palimpsest.operators import align as A
 from palimpsest.operators import diff as D
 from palimpsest.operators import layout as L
@@ -160,3 +161,26 @@ def test_mutations(spark, kind, text, want):
 
 def test_mutation_not_applicable(spark):
     assert spark.createDataFrame([("no figures",)], "t string").select(M.mutate(F.col("t"), "amount changed").alias("m")).first()["m"] is None
+
+
+def test_kernel_free_status_sends_unsettled_pairs_to_the_full_alignment(spark):
+    o = [("1.1", None, "1.1 The tenant shall pay the rent on the first day of every month."), ("1.2", None, "1.2 Nothing like it."), (None, None, "Notices go to the address above.")]
+    r = [("3.7", None, "3.7 The tenant shall pay the rent on the first day of every month."), ("1.2", None, "1.2 Nothing like it."), (None, None, "Notices go to the address below."), ("9.9", None, "9.9 zzzz")]
+    fast = sorted(x.status for x in A.clause_status(side(spark, o), side(spark, r)).collect())
+    assert fast == sorted(s for s, *_ in aligned(spark, o, r)) == ["added", "modified", "modified", "unchanged"]
+
+
+def test_pruned_scores_give_the_same_matches_and_means(spark):
+    r = random.Random(5)
+    words = ["pay", "rent", "notice", "law", "term", "party", "shall", "days"]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.choice([0, 2, 5, 60])))
+    rows = [[(p, i, f"c{i}", r.choice([None, "1.1", "1.2", "2.1"]), text(), r.choice([None, "fees"]), r.choice([None, "terms"])) for p in range(12) for i in range(r.randint(1, 6))] for _ in range(2)]
+    schema = "pair_id int, clause_index int, id string, number string, text string, title string, section_title string"
+    a, b = (spark.createDataFrame(x, schema).withColumn("count", F.lit(6)).withColumn("seq", F.col("clause_index")) for x in rows)
+    key = lambda m: sorted((x.pair_id, x.i, x.j, x.overall, x.text_score) for x in m.collect())
+    assert key(A.greedy_matches(A.score_matrix(a, b))) == key(A.greedy_matches(A.score_matrix(a, b, least=A.MATCH_THRESHOLD)))
+    got = {x.pair_id: x.score for x in A.average_best(a, b, "pair_id", "text").collect()}
+    for p in range(12):
+        x, y = ([t[4] for t in side if t[0] == p] for side in rows)
+        mean = lambda u, v: sum(max(K.score100(s, t) for t in v) for s in u) / len(u)
+        assert got[p] == pytest.approx((mean(x, y) + mean(y, x)) / 2, abs=0.0051)
