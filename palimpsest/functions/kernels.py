@@ -183,6 +183,24 @@ def exact_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(lambda x, y: ratio(x, y, False))(a, b)
 
 
+@pandas_udf(T.DoubleType())
+def score100_from_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """F1 where it can be `least` or more, else null: the characters in common bound it."""
+
+    def run(x: str, y: str, at: float) -> float | None:
+        if x and y and SequenceMatcher(None, x, y).quick_ratio() * 100 < at - 0.01:
+            return None
+        return score100(x, y)
+
+    seen: dict = {}
+    out = []
+    for key in zip(a, b, least):
+        if key not in seen:
+            seen[key] = run(*key)
+        out.append(seen[key])
+    return pd.Series(out, dtype="float64")
+
+
 @pandas_udf(T.BooleanType())
 def alike_udf(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     """Is F12's ratio at `least` or more? Most rows are settled by a bound: the characters in common, then the ratio itself."""
@@ -319,3 +337,19 @@ def raw_chunks_udf(a: pd.Series, ak: pd.Series, b: pd.Series, bk: pd.Series) ->
 def clause_chunks_udf(a: pd.Series, ak: pd.Series, b: pd.Series, bk: pd.Series) -> pd.Series:
     """F10 and F11 over spaced_tokens and spaced_keys of both sides; a side that is null or empty gives one insert or delete."""
     return _chunks(True)(a, ak, b, bk)
+
+
+@pandas_udf(T.ArrayType(T.BooleanType()))
+def first_free_udf(i: pd.Series, j: pd.Series) -> pd.Series:
+    """Of candidates in order of preference, those whose both ends are still free."""
+
+    def choose(left_ends, right_ends) -> list[bool]:
+        left, right, keep = set(), set(), []
+        for x, y in zip(left_ends.tolist(), right_ends.tolist()):
+            keep.append(x not in left and y not in right)
+            if keep[-1]:
+                left.add(x)
+                right.add(y)
+        return keep
+
+    return pd.Series([choose(x, y) for x, y in zip(i, j)])

@@ -7,10 +7,13 @@ at a time; pairs that numbers settle never leave the JVM.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import kernels as K
@@ -18,7 +21,7 @@ from ..functions import text as X
 from ..session import stored
 
 MATCH_THRESHOLD, GATE, FUZZY, RENUMBERED = 60.0, 50.0, 0.72, 0.92
-ALIGNMENT = "order_index int, status string, confidence double, original_order int, revised_order int"
+ALIGNED = T.ArrayType(T.StructType([T.StructField("order_index", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("original_order", T.IntegerType()), T.StructField("revised_order", T.IntegerType())]))
 
 
 def top_level(number: Column) -> Column:
@@ -60,7 +63,10 @@ def clause_scores(pairs: DataFrame, least: float | None = None) -> DataFrame:
         n, m = F.length(key("o", "text")), F.length(key("r", "text"))
         top = F.when(n + m == 0, 100.0).otherwise(F.least(n, m) * 200.0 / (n + m))
         scored = scored.filter(overall(top + 0.01) >= least - 0.01)  # scores are rounded to 2 digits
-    scored = scored.withColumn("text_score", f1("text"))
+        need = (least - 0.01 - overall(F.lit(0.0))) / 0.25
+        scored = scored.withColumn("text_score", K.score100_from_udf(key("o", "text"), key("r", "text"), need)).filter(F.col("text_score").isNotNull())
+    else:
+        scored = scored.withColumn("text_score", f1("text"))
     return scored.withColumn("overall", K.round2(overall(F.col("text_score")))).drop("__n", "__s", "__h")
 
 
@@ -86,17 +92,11 @@ def greedy_matches(scores: DataFrame, pair: str = "pair_id", threshold: float =
     """One-to-one matches by falling overall, text and number score; ties go to the earlier original, then the earlier revised clause."""
     found = scores.filter(F.col("overall") >= threshold).select(pair, F.col("o.clause_index").cast("int").alias("i"), F.col("r.clause_index").cast("int").alias("j"), "overall", "text_score", "number_score")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["overall", "text_score", "number_score", "i", "j"], ascending=[False, False, False, True, True])
-        left, right, keep = set(), set(), []
-        for i, j in zip(rows.i, rows.j):
-            keep.append(i not in left and j not in right)
-            if keep[-1]:
-                left.add(i)
-                right.add(j)
-        return rows[keep]
-
-    return found.groupBy(pair).applyInPandas(choose, found.schema)
+    # Sorted in the JVM by what is preferred; only the two ends of each candidate go to Python.
+    prefer = F.struct((-F.col("overall")).alias("o"), (-F.col("text_score")).alias("t"), (-F.col("number_score")).alias("n"), "i", "j")
+    listed = found.groupBy(pair).agg(F.array_sort(F.collect_list(prefer)).alias("l")).withColumn("keep", K.first_free_udf("l.i", "l.j"))
+    chosen = listed.select(pair, F.explode(F.filter("l", lambda x, k: F.get(F.col("keep"), k))).alias("x"))
+    return chosen.select(pair, "x.i", "x.j", (-F.col("x.o")).alias("overall"), (-F.col("x.t")).alias("text_score"), (-F.col("x.n")).alias("number_score"))
 
 
 def alignment(original: DataFrame, revised: DataFrame, matches: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -144,10 +144,16 @@ def number_matches(original: DataFrame, revised: DataFrame, pair: str = "pair_id
     return met.withColumn("same", F.col("o").isNotNull() & (X.clause_key(F.col("o.text")) == X.clause_key(F.col("r.text"))))
 
 
-def _align_pair(o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-    """G15 to G18 of one pair: revised clauses in order take the original of their number, else the likest original not yet taken."""
-    o, r = o.sort_values("order_index"), r.sort_values("order_index")
-    originals = list(o.itertuples())
+class Clause(NamedTuple):
+    order_index: int
+    id: str
+    number: str | None
+    key: str
+    head: str | None
+
+
+def _align_pair(originals: list[Clause], revised: list[Clause]) -> list[dict]:
+    """G15 to G18 of one pair, both sides in order: revised clauses take the original of their number, else the likest original not yet taken."""
     by_number = {c.number: c for c in originals if c.number is not None}
     taken: set[str] = set()
     rows = []
@@ -157,16 +163,20 @@ def _align_pair(o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         for x in originals:
             if x.id in taken:
                 continue
-            score = SequenceMatcher(None, x.key, c.key, autojunk=False).ratio()
-            if x.number is not None and c.number is not None and x.number != c.number and score < RENUMBERED:
+            bonus = 0.05 if x.head is not None and c.head is not None and x.head == c.head else 0.0
+            other = x.number is not None and c.number is not None and x.number != c.number
+            least = max(RENUMBERED if other else 0.0, max(top, FUZZY) - bonus - 1e-9)  # below it x cannot be taken
+            m = SequenceMatcher(None, x.key, c.key, autojunk=False)
+            if m.real_quick_ratio() < least or m.quick_ratio() < least:
+                continue
+            score = m.ratio()
+            if other and score < RENUMBERED:
                 continue
-            if x.head is not None and c.head is not None and x.head == c.head:
-                score += 0.05
-            if score > top:
-                best, top = x, score
+            if score + bonus > top:
+                best, top = x, score + bonus
         return (best, min(top, 0.99)) if best is not None and top >= FUZZY else (None, 0.0)
 
-    for c in r.itertuples():
+    for c in revised:
         x, confidence = by_number.get(c.number) if c.number is not None else None, 0.0
         if x is not None:
             confidence = 1.0 if x.key == c.key else max(0.85, SequenceMatcher(None, x.key, c.key, autojunk=False).ratio())
@@ -179,26 +189,22 @@ def _align_pair(o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if x.id not in taken:
             at = next((k for k, row in enumerate(rows) if row[3] is not None and row[3] > x.order_index), len(rows))
             rows.insert(at, ("deleted", 1.0, x.order_index, None))
-    out = pd.DataFrame(rows, columns=["status", "confidence", "original_order", "revised_order"])
-    out[["original_order", "revised_order"]] = out[["original_order", "revised_order"]].astype("Int32")
-    return out.assign(order_index=range(len(rows)))
+    return [dict(zip(("order_index", "status", "confidence", "original_order", "revised_order"), (k, *row))) for k, row in enumerate(rows)]
 
 
-def align_clauses(original: DataFrame, revised: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """(pair, order_index, status, confidence, original_order, revised_order) over clauses of extract_clauses."""
-    keyed = lambda df: df.select(pair, "order_index", "id", "number", X.clause_key(F.col("text")).alias("key"), X.word_key(F.col("heading")).alias("head"))
-
-    def run(key: tuple, o: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        def clean(d: pd.DataFrame) -> pd.DataFrame:
-            d = d if "order_index" in d.columns else pd.DataFrame(columns=["order_index", "id", "number", "key", "head"])  # a side without clauses
-            return d.astype(object).where(d.notna(), None)
+@pandas_udf(ALIGNED)
+def _align_udf(oi: pd.Series, oid: pd.Series, on: pd.Series, ok: pd.Series, oh: pd.Series, ri: pd.Series, rid: pd.Series, rn: pd.Series, rk: pd.Series, rh: pd.Series) -> pd.Series:
+    side = lambda i, *rest: [] if i is None else [Clause(*x) for x in zip(i.tolist(), *rest)]
+    return pd.Series([_align_pair(side(*x[:5]), side(*x[5:])) for x in zip(oi, oid, on, ok, oh, ri, rid, rn, rk, rh)])
 
-        out = _align_pair(clean(o), clean(r))
-        out.insert(0, pair, key[0])
-        return out[[pair, "order_index", "status", "confidence", "original_order", "revised_order"]]
 
-    kind = original.schema[pair].dataType.simpleString()
-    return keyed(original).groupBy(pair).cogroup(keyed(revised).groupBy(pair)).applyInPandas(run, f"{pair} {kind}, {ALIGNMENT}")
+def align_clauses(original: DataFrame, revised: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """(pair, order_index, status, confidence, original_order, revised_order) over clauses of extract_clauses. One row a pair goes to Python."""
+    fields = [F.col("order_index").cast("int").alias("order_index"), "id", "number", X.clause_key(F.col("text")).alias("key"), X.word_key(F.col("heading")).alias("head")]
+    listed = lambda df, name: df.select(pair, F.struct(*fields).alias("c")).groupBy(pair).agg(F.array_sort(F.collect_list("c")).alias(name))
+    both = listed(original, "o").join(listed(revised, "r"), pair, "full")
+    args = [F.col(f"{s}.{f}") for s in ("o", "r") for f in Clause._fields]
+    return both.select(pair, _align_udf(*args).alias("a")).select(pair, F.inline("a"))
 
 
 def open_pairs(met: DataFrame, original: DataFrame, pair: str = "pair_id") -> DataFrame:

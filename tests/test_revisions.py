@@ -184,3 +184,11 @@ def test_pruned_scores_give_the_same_matches_and_means(spark):
         x, y = ([t[4] for t in side if t[0] == p] for side in rows)
         mean = lambda u, v: sum(max(K.score100(s, t) for t in v) for s in u) / len(u)
         assert got[p] == pytest.approx((mean(x, y) + mean(y, x)) / 2, abs=0.0051)
+
+
+def test_alignment_of_sides_cut_from_one_table(spark):
+    rows = [("x", "1.1", "1.1 a b c"), ("x", "1.2", "1.2 d e f"), ("y", "1.1", "1.1 a b c"), ("y", "1.2", "1.2 d e g")]
+    both = spark.createDataFrame([(1, s, i, f"clause-{n}", n, None, t) for i, (s, n, t) in enumerate(rows)], "pair_id int, side string, order_index int, id string, number string, heading string, text string")
+    o, r = (both.filter(F.col("side") == s).drop("side") for s in "xy")
+    a = A.align_clauses(o, r)
+    assert {x["status"]: x["count"] for x in a.groupBy("status").count().collect()} == {"unchanged": 1, "modified": 1}
