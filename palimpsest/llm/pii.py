@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with a CRF layer on top, trained in numpy.
 
 The network reads windows of WINDOW characters that overlap by WINDOW - STRIDE. Each window is decoded by Viterbi; a span is taken from
-a window that holds it away from its edges, and what windows say about one place is settled over the whole text. The patterns' spans
-always stay; the network adds spans where no pattern matched.
+a window that holds it away from its edges, or put together from windows that each hold a part, and what windows say about one place is
+settled over the whole text. The patterns' spans always stay; the network adds spans where no pattern of any kind matched, and none of
+its own kind matched and failed its test.
 """
 
 from __future__ import annotations
@@ -61,20 +62,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def matches(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
-    """Spans of the patterns by kind and start, and the places of matches that failed their test."""
+def matches(text: str) -> tuple[list[Span], list[Span]]:
+    """Spans of the patterns by kind and start, and the matches that failed their test."""
     good: list[Span] = emails(text) if "@" in text else []
-    bad: list[tuple[int, int]] = []
+    bad: list[Span] = []
     if _DIGIT.search(text):
         # A match of these begins at the first digit of a run, which the look-behind says at once; this keeps long runs linear.
         for kind, pattern, test in (("ip", _IP, _small_parts), ("card", _CARD, _card), ("phone", _PHONE, _phone)):
             if kind == "phone" and "+" not in text:
                 continue
             for m in pattern.finditer(text):
-                if test(m.group()):
-                    good.append((kind, m.start(), m.end()))
-                else:
-                    bad.append((m.start(), m.end()))
+                (good if test(m.group()) else bad).append((kind, m.start(), m.end()))
     return good, bad
 
 
@@ -302,31 +300,71 @@ def _some(starts: list[int], most: int) -> list[int]:
 
 def _plausible(kind: str, s: str) -> bool:
     n = len(_digits(s))
-    return {"email": "@" in s and len(s) >= 6, "ip": n >= 4 and (s.count(":") >= 3 or s.count(".") >= 3), "card": 16 <= n <= 19 and luhn(_digits(s)), "phone": 9 <= n <= 15}[kind] and len(s) <= WINDOW - STRIDE
+    return {"email": "@" in s and len(s) >= 6, "ip": n >= 4 and (s.count(":") >= 3 or s.count(".") >= 3), "card": 16 <= n <= 19 and luhn(_digits(s)), "phone": 9 <= n <= 15}[kind]
+
+
+def _pieces(tags: np.ndarray) -> list[Span]:
+    """Spans of one window's tags, by start."""
+    out, inner = [], np.flatnonzero(tags)
+    for a in inner[tags[inner] % 2 == 1]:
+        b = a + 1
+        while b < len(tags) and tags[b] == tags[a] + 1:
+            b += 1
+        out.append((KINDS[(tags[a] - 1) // 2], int(a), int(b)))
+    return out
+
+
+def _whole(length: int, read: dict[int, list[Span]]) -> tuple[set[Span], set[int]]:
+    """Spans of one text from the pieces of its windows by start, and the windows that a piece goes on into but that are not read yet.
+
+    A piece that runs into the edge of its window goes on in the next window with the piece that it overlaps there.
+    """
+    spans: set[Span] = set()
+    missing: set[int] = set()
+    begun: list[Span] = []  # cut on the right by the window at `last`
+    last = None
+    for s in sorted(read):
+        if last != s - STRIDE:
+            begun = []
+        on: list[Span] = []
+        for kind, a, b in read[s]:
+            a, b = s + a, min(s + b, length)
+            if a < s + EDGE and s > 0:
+                if s - STRIDE not in read:
+                    missing.add(s - STRIDE)
+                starts = [x for k, x, y in begun if k == kind and x < b and a < y]
+                if not starts:
+                    continue
+                a = min(starts)
+            if b > s + WINDOW - EDGE and s + WINDOW < length:
+                if s + STRIDE not in read:
+                    missing.add(s + STRIDE)
+                on.append((kind, a, b))
+            else:
+                spans.add((kind, a, b))
+        begun, last = on, s
+    return spans, missing
 
 
 def decode_all(model: Tagger, texts: Sequence[str]) -> list[list[Span]]:
     """The network's spans of each text, settled over its windows: of overlapping ones the longer stays, then the first."""
+    read: list[dict[int, list[Span]]] = [{} for _ in texts]
+    found: list[set[Span]] = [set() for _ in texts]
     jobs = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    found: list[list[Span]] = [[] for _ in texts]
-    for k in range(0, len(jobs), 512):
-        part = jobs[k : k + 512]
-        x = np.concatenate([_cut(codes(texts[i][s : s + WINDOW]), [0]) for i, s in part])
-        for (i, s), tags in zip(part, model.decode(x)):
-            text, a = texts[i], 0
-            inner = np.flatnonzero(tags)
-            for a in inner[tags[inner] % 2 == 1]:
-                b = a + 1
-                while b < WINDOW and tags[b] == tags[a] + 1:
-                    b += 1
-                if (a >= EDGE or s == 0) and (b <= WINDOW - EDGE or s + WINDOW >= len(text)):
-                    span = (KINDS[(tags[a] - 1) // 2], int(s + a), int(min(s + b, len(text))))
-                    if _plausible(span[0], text[span[1] : span[2]]):
-                        found[i].append(span)
+    while jobs:
+        for k in range(0, len(jobs), 512):
+            part = jobs[k : k + 512]
+            x = np.concatenate([_cut(codes(texts[i][s : s + WINDOW]), [0]) for i, s in part])
+            for (i, s), tags in zip(part, model.decode(x)):
+                read[i][s] = _pieces(tags)
+        touched, jobs = sorted({i for i, _ in jobs}), []
+        for i in touched:
+            found[i], missing = _whole(len(texts[i]), read[i])
+            jobs += [(i, s) for s in sorted(missing)]
     out = []
-    for spans in found:
+    for text, spans in zip(texts, found):
         kept: list[Span] = []
-        for x in sorted(set(spans), key=lambda x: (x[1] - x[2], x[1], x[0])):
+        for x in sorted((x for x in spans if _plausible(x[0], text[x[1] : x[2]])), key=lambda x: (x[1] - x[2], x[1], x[0])):
             if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
                 kept.append(x)
         out.append(kept)
@@ -338,8 +376,7 @@ def find(model: Tagger, texts: Sequence[str]) -> list[tuple[list[Span], list[Spa
     out = []
     for text, more in zip(texts, decode_all(model, texts)):
         base, bad = matches(text)
-        taken = [(a, b) for _, a, b in base] + bad
-        extra = [x for x in more if all(x[2] <= a or b <= x[1] for a, b in taken)]
+        extra = [x for x in more if all(x[2] <= a or b <= x[1] for _, a, b in base) and not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in bad)]
         order = lambda x: (KINDS.index(x[0]), x[1])
         out.append((sorted(base, key=order), sorted(base + extra, key=order)))
     return out

@@ -382,3 +382,43 @@ def test_personal_data(spark, docs, empty):
     clean = {x.doc_id: x.text for x in pii.redact(df.select("doc_id", "text"), model).collect()}
     assert "@" not in clean[1] and "<email>" in clean[1] and "<card>" in clean[1] and clean[2] is None and clean[3] == ""
     assert pii.find_personal_data(empty, model).count() == 0 and pii.redact(docs, model).count() == docs.count()
+
+
+def test_written_variants_are_found(spark):
+    rows = [(i, f"note {i}: write to ann.b{i}@mail.example.com or +1 (017) 555-77{i % 90 + 10}, from 10.0.0.{i % 250}, on page {i * 37}.") for i in range(60)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    r, cases = np.random.default_rng(77), []
+    for _ in range(180):
+        form, kind = pii.variants(r)
+        head = "Please write to the office at "
+        look = "(" if "(" in form else " @ " if " @ " in form else " dot " if " dot " in form else "00" if kind == "phone" else kind
+        cases.append((look, f"{head}{form} and wait for an answer.", (kind, len(head), len(head) + len(form))))
+    found, total = Counter(), Counter(look for look, _, _ in cases)
+    for (look, _, span), (base, spans) in zip(cases, pii.find(model, [t for _, t, _ in cases])):
+        assert span not in base
+        found[look] += span in spans
+    assert len(total) == 6 and all(found[look] * 2 >= n for look, n in total.items()), (found, total)
+
+
+class Marks:
+    """A network that tags a to w after one x as an email, as far as a window shows it."""
+
+    def decode(self, x):
+        inner = (x >= ord("a")) & (x <= ord("w")) | (x == ord("@"))
+        first = inner & ~np.pad(inner, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(first, 1, np.where(inner, 2, 0))
+
+
+def test_spans_longer_than_windows_are_whole():
+    for n in (20, 49, 60, 127, 128, 300, 700):
+        for lead in (0, 3, 77, 81, 200):
+            text = "X" * lead + "a" * n + "@" + "b" * n + "X" * 90 + "1"
+            assert pii.decode_all(Marks(), [text]) == [[("email", lead, lead + 2 * n + 1)]], (n, lead)
+
+
+def test_failed_matches_block_their_own_kind_only():
+    model = type("M", (), {"decode": lambda self, x: np.array([[0] * 3 + [1 + 2 * self.kind] + [2 + 2 * self.kind] * 15 + [0] * (pii.WINDOW - 19)] * len(x))})()
+    text = "at 0044 123 4567890 x"  # a run of digits that is no card
+    model.kind = pii.KINDS.index("phone")
+    assert pii.find(model, [text])[0][1] == [("phone", 3, 19)]
+    assert pii.matches("at 4111 1111 1111 1112 x")[1] == [("card", 3, 22)]
