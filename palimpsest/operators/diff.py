@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels as K
 from ..functions import text as X
+from ..session import stored
 
 
 def token_arrays(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,6 +238,35 @@ def near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5, most_doc
     return exact.unionByName(near).withColumn("pair_id", F.concat_ws("-", "original_doc_id", "revised_doc_id"))
 
 
+def whole_near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5) -> DataFrame:
+    """near_copy_pairs without the rarity bound: every pair that shares `least` of the smaller one's phrases, however common these are.
+
+    A text that shares so many phrases with another shares one of any n - ceil(least * n) + 1 of its n; its rarest ones find the
+    candidates, whose phrases are then compared. Equal texts are compared once. The result holds all pairs of a group, so it grows with the group's square.
+    """
+    keyed = docs.select("doc_id", X.block_key(F.col("text")).alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head")).filter("key is not null")
+    members = stored(keyed.join(heads, "key").select("doc_id", "head"), "members")
+    exact = members.filter("doc_id > head").select(F.col("head").alias("original_doc_id"), F.col("doc_id").alias("revised_doc_id"), F.lit("exact").alias("kind"))
+    sets = heads.select("head", F.array_distinct(F.transform(X.windows_of(F.split("key", " "), size), lambda g: F.xxhash64(g))).alias("gs"))
+    sets = stored(sets.withColumn("n", F.size("gs")).filter("n > 0"), "phrases")
+    phrases = sets.select("head", "n", F.explode("gs").alias("g"))
+    common = phrases.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+    held = stored(phrases.join(common, "g"), "held")
+    own = Window.partitionBy("head")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "g"))
+    first = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    met = first.alias("x").join(held.alias("y"), "g").filter("x.n < y.n or x.n = y.n and x.head <> y.head").select(F.least("x.head", "y.head").alias("a"), F.greatest("x.head", "y.head").alias("b")).distinct()
+    side = lambda h: sets.select(F.col("head").alias(h), F.col("gs").alias(f"g_{h}"), F.col("n").alias(f"n_{h}"))
+    near = met.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("g_a", "g_b")) >= least * F.least("n_a", "n_b")).select("a", "b")
+    of = lambda h, d: members.select(F.col("head").alias(h), F.col("doc_id").alias(d))
+    apart = near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    copies = members.filter("doc_id > head").join(sets.select("head"), "head", "left_semi").select("head", F.col("doc_id").alias("x"))
+    copies = copies.join(members.select("head", F.col("doc_id").alias("y")), "head").filter("x < y").select("x", "y")
+    near = apart.unionByName(copies).select(F.least("x", "y").alias("original_doc_id"), F.greatest("x", "y").alias("revised_doc_id"), F.lit("near").alias("kind"))
+    return exact.unionByName(near).withColumn("pair_id", F.concat_ws("-", "original_doc_id", "revised_doc_id"))
+
+
 def page_shifts(tokens: DataFrame, pair: str = "pair_id", size: int = 8) -> DataFrame:
     """G21 over tokens(pair, side, token_index, page_number, normalized): (pair, shifted): does a phrase of 8 words stand on another page of the revised side? Its last place there counts."""
     w = Window.partitionBy(pair, "side").orderBy("token_index")

@@ -192,3 +192,23 @@ def test_alignment_of_sides_cut_from_one_table(spark):
     o, r = (both.filter(F.col("side") == s).drop("side") for s in "xy")
     a = A.align_clauses(o, r)
     assert {x["status"]: x["count"] for x in a.groupBy("status").count().collect()} == {"unchanged": 1, "modified": 1}
+
+
+def test_near_copies_however_many(spark):
+    r = random.Random(3)
+    text = lambda n: [f"w{r.randint(0, 400)}" for _ in range(n)]
+    edited = lambda w, *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    group, copied, line = text(90), text(60), text(30)
+    texts = [edited(group, 2 * i) for i in range(24)] + [" ".join(copied)] * 20 + [edited(copied, 30)]
+    texts += [" ".join(line + text(r.randint(0, 60))) for _ in range(30)] + [" ".join(text(5)), "short one", "short one", ""]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    grams = [{tuple(w[i : i + 8]) for i in range(len(w) - 7)} for w in (t.split(" ") for t in texts)]
+    head = [texts.index(t) for t in texts]
+    want = {(a, b, "exact" if head[b] == a else "near") for b in range(len(texts)) for a in range(b) if head[b] == a or grams[a] and grams[b] and 2 * len(grams[a] & grams[b]) >= min(len(grams[a]), len(grams[b]))}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(x.original_doc_id, x.revised_doc_id, x.kind) for x in D.whole_near_copy_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(b < 24 and k == "near" for _, b, k in want) == 24 * 23 // 2 and (24, 44, "near") in want
+    bounded = {(x.original_doc_id, x.revised_doc_id, x.kind) for x in D.near_copy_pairs(df).collect()}
+    assert bounded < want
