@@ -656,6 +656,12 @@ def mutate_number(spark, d):
     return paragraphs(spark, d).filter("k between 2 and 999").select("k", M.number(F.col("paragraph"))["revised_text"].alias("revised_text"))
 
 
+@query("mutate_number_whole")
+def mutate_number_whole(spark, d):
+    """mutate_number over all paragraphs: its SQL says only the case in which the order's number is the one to change."""
+    return paragraphs(spark, d).select("k", M.number(F.col("paragraph"))["revised_text"].alias("revised_text"))
+
+
 @query("mutation_cases")
 def mutation_cases(spark, d):
     return M.build_cases(paragraphs(spark, d), 50, ["k"]).select("case_id", "attempt", "mutation_type", "change_type", "revised_text", "expected_highlight")

@@ -212,3 +212,22 @@ def test_near_copies_however_many(spark):
     assert sum(b < 24 and k == "near" for _, b, k in want) == 24 * 23 // 2 and (24, 44, "near") in want
     bounded = {(x.original_doc_id, x.revised_doc_id, x.kind) for x in D.near_copy_pairs(df).collect()}
     assert bounded < want
+
+
+def test_mutate_number_over_all_paragraphs(spark, tmp_path):
+    import re
+
+    from palimpsest.plans import queries as Q
+
+    keys = [1, 2, 45, 999, 1000, 1001, 1017, 1045, 2033, 5444, 60000, 150028]
+    spark.createDataFrame([(k, 7 * k % 1500 + 1) for k in keys], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    for t in ("lineitem", "documents"):
+        spark.range(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+
+    def changed(text):
+        m = re.search(r"(?<![\w.])(?:[2-9]|[1-9]\d|[1-9]\d{2})(?![\w.])", text)
+        return m and text.replace(m.group(), "45" if m.group() != "45" else "60", 1)
+
+    want = {x.k: changed(x.paragraph) for x in Q.paragraphs(spark, str(tmp_path)).collect()}
+    got = {x.k: x.revised_text for x in Q.QUERIES["mutate_number_whole"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == keys and got == want
