@@ -667,15 +667,26 @@ def mutation_cases(spark, d):
     return M.build_cases(paragraphs(spark, d), 50, ["k"]).select("case_id", "attempt", "mutation_type", "change_type", "revised_text", "expected_highlight")
 
 
+def benchmark(m: DataFrame) -> DataFrame:
+    """Mutations of paragraphs diffed, checked and totalled."""
+    a = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("paragraph").alias("text")), "row").select("row", F.col("toks").alias("a"), F.col("keys").alias("ak"))
+    b = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("revised_text").alias("text")), "row").select("row", F.col("toks").alias("b"), F.col("keys").alias("bk"))
+    c = D.op_rows(D.word_ops(a.join(b, "row"), ["row"]), ["row"]).groupBy("row").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes")).select("row.k", "row.mutation_type", "changes")
+    checked = R.case_checks(m.join(c, ["k", "mutation_type"], "left").fillna(0, ["changes"]).withColumn("original_text", F.col("paragraph")))
+    return R.benchmark_totals(checked)
+
+
 @query("benchmark_report", f"""select 'sentence added' as mutation_type, cast(count(*) as bigint) as cases, cast(count(*) as bigint) as passed from {_P}""")
 def benchmark_report(spark, d):
     """The whole quality benchmark for one mutation: mutate, diff, check, total."""
     m = M.all_mutations(paragraphs(spark, d)).filter("mutation_type = 'sentence added'")
-    a = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("paragraph").alias("text")), "row").select("row", F.col("toks").alias("a"), F.col("keys").alias("ak"))
-    b = D.token_arrays(m.withColumn("row", F.struct("k", "mutation_type")).select("row", F.col("revised_text").alias("text")), "row").select("row", F.col("toks").alias("b"), F.col("keys").alias("bk"))
-    c = D.op_rows(D.word_ops(a.join(b, "row"), ["row"]), ["row"]).groupBy("row").agg(F.count(F.when(F.col("op") != "equal", 1)).alias("changes")).select("row.k", "row.mutation_type", "changes")
-    checked = R.case_checks(m.join(c, ["k", "mutation_type"]).withColumn("original_text", F.col("paragraph")))
-    return R.benchmark_totals(checked).filter("mutation_type is not null").select("mutation_type", "cases", "passed")
+    return benchmark(m).filter("mutation_type is not null").select("mutation_type", "cases", "passed")
+
+
+@query("benchmark_report_whole")
+def benchmark_report_whole(spark, d):
+    """The whole quality benchmark: every mutation that applies, by type and in total (null type), with failures and average changes."""
+    return benchmark(M.all_mutations(paragraphs(spark, d)))
 
 
 @query("quiet_snippets", f"select k, array_to_string(w[1:8], ' ') as first_words, array_to_string(w[cast(floor(len(w) / 2) as int) + 1:cast(floor(len(w) / 2) as int) + 8], ' ') as middle_words from (select k, string_split(paragraph, ' ') as w from {_P})")

@@ -231,3 +231,30 @@ def test_mutate_number_over_all_paragraphs(spark, tmp_path):
     want = {x.k: changed(x.paragraph) for x in Q.paragraphs(spark, str(tmp_path)).collect()}
     got = {x.k: x.revised_text for x in Q.QUERIES["mutate_number_whole"](spark, str(tmp_path)).collect()}
     assert sorted(got) == keys and got == want
+
+
+def test_benchmark_report_over_all_mutations(spark, tmp_path):
+    import difflib
+    from collections import defaultdict
+
+    from palimpsest.plans import queries as Q
+
+    rows = [(k, "The Supplier shall deliver 7 parts to the Buyer for $100,000 before January 3, 2024. Notice takes 30 days. The liability is governed by the laws of Texas.") for k in range(3)]
+    rows += [(3, "Nothing applies but additions here"), (4, "The Company pays $250,000 in 45 days. Notice of termination is given by hand. It is so."), (5, "Amounts of $250,000 and 45 stand twice: $250,000 and 45.")]
+    m = M.all_mutations(spark.createDataFrame(rows, "k bigint, paragraph string")).cache()
+    cases = m.collect()
+    texts = sorted({t for x in cases for t in (x.paragraph, x.revised_text)})
+    keys = {texts[r.i]: r["keys"] for r in D.token_arrays(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "i").collect()}
+    want = defaultdict(lambda: [0, 0, 0, 0])
+    for x in cases:
+        n = sum(o[0] != "equal" for o in difflib.SequenceMatcher(None, keys[x.paragraph], keys[x.revised_text], autojunk=False).get_opcodes())
+        ok = (n > 0 or x.paragraph == x.revised_text) and (x.expected_highlight == "" or x.expected_highlight in x.revised_text)
+        for kind in (x.mutation_type, None):
+            for i, v in enumerate((1, ok, not ok, n)):
+                want[kind][i] += v
+    got = {r.mutation_type: [r.cases, r.passed, r.failed, r.average_changes] for r in Q.benchmark(m).collect()}
+    assert set(got) == {*M.CYCLE, None}
+    assert got == {k: [n, p, f, pytest.approx(c / n, abs=1e-4)] for k, (n, p, f, c) in want.items()}
+    spark.createDataFrame([(9, 12), (1045, 250)], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    whole = {r.mutation_type: r.cases for r in Q.QUERIES["benchmark_report_whole"](spark, str(tmp_path)).collect()}
+    assert set(whole) == {*M.CYCLE, None} and whole[None] == sum(v for k, v in whole.items() if k)
