@@ -441,19 +441,19 @@ def whole_near_copy_pairs(spark, d):
     return whole_pairs(spark, d).select("original_doc_id", "revised_doc_id", "kind")
 
 
-def _ops_of(spark, d, name, pairs, kind):
-    ops = shared(spark, d, name, lambda: D.word_ops(D.pair_streams(pairs, D.token_arrays(docs(spark, d))), ["pair_id"]))
-    return ops.join(pairs.filter(F.col("kind") == kind).select("pair_id"), "pair_id", "left_semi") if kind else ops
+def _ops_of(spark, d, name, pairs):
+    return shared(spark, d, name, lambda: D.word_ops(D.pair_streams(pairs, D.token_arrays(docs(spark, d))), ["pair_id"]))
 
 
 def v2_ops(spark, d, kind=None):
     """Streams and opcodes of every pair of near copies within FX2's rarity bound, one row a pair."""
-    return _ops_of(spark, d, "ops", doc_pairs(spark, d), kind)
+    ops = _ops_of(spark, d, "ops", doc_pairs(spark, d))
+    return ops.join(doc_pairs(spark, d).filter(F.col("kind") == kind).select("pair_id"), "pair_id", "left_semi") if kind else ops
 
 
-def whole_ops(spark, d, kind=None):
+def whole_ops(spark, d):
     """Streams and opcodes of every pair of near copies, one row a pair."""
-    return _ops_of(spark, d, "whole_ops", whole_pairs(spark, d), kind)
+    return _ops_of(spark, d, "whole_ops", whole_pairs(spark, d))
 
 
 def v2_rows(spark, d, kind=None):
@@ -527,13 +527,13 @@ def diff_warnings(spark, d):
 
 @query("debug_payload")
 def debug_payload(spark, d):
-    c = D.change_records(whole_ops(spark, d, "near"), ["pair_id"])
+    c = D.change_records(whole_ops(spark, d), ["pair_id"])
     return c.select("pair_id", "change_id", R.debug_payload().alias("payload"))
 
 
 @query("text_unit_fallback")
 def text_unit_fallback(spark, d):
-    p = whole_pairs(spark, d).filter("kind = 'near'")
+    p = whole_pairs(spark, d)
     u = FX.units(docs(spark, d))
     side = lambda s: p.join(u.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "unit_seq", "text")
     return D.compare_units(side("original").unionByName(side("revised"))).select("pair_id", "seq", "change_type", "original_seq", "revised_seq", "anchor_seq")
@@ -541,7 +541,7 @@ def text_unit_fallback(spark, d):
 
 @query("block_alignment")
 def block_alignment(spark, d):
-    p = whole_pairs(spark, d).filter("kind = 'near'")
+    p = whole_pairs(spark, d)
     u = FX.units(docs(spark, d)).withColumnRenamed("unit_seq", "seq")
     side = lambda s: p.join(u.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "seq", "text")
     return D.align_blocks(side("original").unionByName(side("revised"))).withColumn("similarity", F.round("similarity", 6))
@@ -591,7 +591,7 @@ def document_profile(spark, d):
 def changed_tokens(spark, d):
     w = words(spark, d)
     t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
-    c = D.change_records(whole_ops(spark, d, "near"), ["pair_id"]).filter("b1 > b0").join(whole_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
+    c = D.change_records(whole_ops(spark, d), ["pair_id"]).filter("b1 > b0").join(whole_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
     c = c.select("pair_id", "seq", F.col("revised_doc_id").alias("doc_id"), F.explode(F.sequence("b0", F.col("b1") - 1)).alias("token_index"))
     return c.join(t, ["doc_id", "token_index"])
 
@@ -617,7 +617,7 @@ def comparison_report(spark, d):
 
 @query("page_shift_ngrams")
 def page_shift_ngrams(spark, d):
-    p = whole_pairs(spark, d).filter("kind = 'near'")
+    p = whole_pairs(spark, d)
     w = words(spark, d)
     t = L.word_tokens(w, L.processed_blocks(w)).select("doc_id", "token_index", "page_number", "normalized")
     side = lambda s: p.join(t.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "token_index", "page_number", "normalized")

@@ -258,3 +258,17 @@ def test_benchmark_report_over_all_mutations(spark, tmp_path):
     spark.createDataFrame([(9, 12), (1045, 250)], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
     whole = {r.mutation_type: r.cases for r in Q.QUERIES["benchmark_report_whole"](spark, str(tmp_path)).collect()}
     assert set(whole) == {*M.CYCLE, None} and whole[None] == sum(v for k, v in whole.items() if k)
+
+
+def test_exact_pairs_have_line_and_block_changes(spark, tmp_path):
+    from palimpsest.plans import queries as Q
+
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(words[:6]) + "\n" + " ".join(words[6:]), " ".join(words[:3]) + "\n" + " ".join(words[3:])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [x.kind for x in Q.QUERIES["whole_near_copy_pairs"](spark, str(tmp_path)).collect()] == ["exact"]
+    assert {x.pair_id for x in Q.QUERIES["text_unit_fallback"](spark, str(tmp_path)).collect()} == {"0-1"}
+    assert {x.operation for x in Q.QUERIES["block_alignment"](spark, str(tmp_path)).collect()} - {"unchanged"}
+    assert [x.pair_id for x in Q.QUERIES["page_shift_ngrams"](spark, str(tmp_path)).collect()] == ["0-1"]
+    for name in ("debug_payload", "token_rects", "highlight_pages"):  # equal streams have no changed words
+        assert Q.QUERIES[name](spark, str(tmp_path)).count() == 0
