@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import stored
+from ..session import discard, stored
 
-__all__ = ["map_texts", "release", "split_batch", "stored", "table", "without"]
+__all__ = ["discard", "map_texts", "release", "split_batch", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Substring dedup by repeated-phrase automata: words covered by windows of 35 words that occur more than once are removed.
 
 1. Nominate. In each run of 20 phrases of 16 words (all that one window holds) the phrase of the least hash is an anchor. Equal windows
-   have equal anchors, so a window whose anchor occurs once in the corpus occurs once. Anchors are a tenth of the words.
-2. Confirm. Only windows with recurring anchors are counted, by their 64-bit hashes; those that occur once drop out, and what is left of
-   a text are its recurring passages.
-3. Locate. Texts and their confirmed passages are dealt out by text hash. Each shard compiles its passages into Aho-Corasick automata over
-   word numbers, streams its texts through them, and removes what they find.
-
-Counting keeps a count and one place for each hash, so a phrase that a third of all texts share is summed up before it is shuffled.
+   have equal anchors, so a window whose anchor occurs once in the corpus occurs once. Windows that share an anchor form a piece of 35
+   to 54 words; pieces with recurring anchors are what is left to look at.
+2. Confirm. The windows of those pieces are counted by anchor and hash (128 bits together), summed up before they are shuffled. Each
+   window that recurs has one representative, the least place that holds it: these are the confirmed passages.
+3. Compile. Passages are dealt into shards by anchor. Each shard builds an Aho-Corasick automaton over the words of its passages.
+4. Locate. Every document is streamed, piece by piece, through the shards that its recurring anchors reach. A window is removed where
+   the automaton finds its words at a place other than its representative's, and there the representative is removed as well: so
+   counts only nominate, and words decide. A shard that many pieces or passages reach is cut into blocks of both.
+
+Copies of a text are streamed once, with their number; a piece of a text with copies stands for as many places.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, split_batch, stored, without
+from .common import discard, release, split_batch, stored
 
 WINDOW, PHRASE = 35, 16
-#: Words of texts that share one automaton.
-SHARD_WORDS = 1 << 20
+#: Pieces that a shard has on average, and at most in one of its blocks; passages of one automaton.
+SHARD_PIECES, BLOCK_PIECES, BLOCK_PASSAGES = 1 << 12, 1 << 14, 1 << 16
+#: Shards in several blocks of which a table may be broadcast: 24 bytes each.
+BROADCAST_SHARDS = 1 << 17
 _M = 0x9E3779B97F4A7C15
 
 
@@ -65,20 +72,15 @@ def least_places(v: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hashed:
-    """Word hashes of a text with at least one window, its anchors, and which anchor each window has."""
+    """Word hashes of a text with at least one window; its pieces: anchor, place of the anchor, first window and end."""
 
     def __init__(self, words: list[bytes], window: int, phrase: int) -> None:
         self.words = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         value = mixed(rolling(self.words, phrase))
         place = least_places(value, window - phrase + 1)
-        new = np.concatenate(([True], place[1:] != place[:-1]))
-        self.of_window = np.cumsum(new) - 1
-        self.anchors = value[place[new]].view(np.int64)
-
-
-def runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+        self.first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        self.end = np.append(self.first[1:], len(place))
+        self.anchors = value[place[self.first]].view(np.int64)
 
 
 def _texts(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -87,124 +89,191 @@ def _texts(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]
             yield part, [t.split() for t in part.column(at).to_pylist()]
 
 
-def confirmed_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(tk, runs, once) for texts (tk, t): starts of windows with recurring anchors as runs (start, size), and those of them that occur once."""
-    spark = docs.sparkSession
-
-    def nominate(batches):
-        for part, texts in _texts(batches, 1):
-            anchors, keys, places = [], [], []
-            for tk, words in zip(part.column(0).to_pylist(), texts):
-                if len(words) >= window:
-                    a = Hashed(words, window, phrase).anchors
-                    anchors.append(a)
-                    keys.append(np.full(len(a), tk, np.int64))
-                    places.append(np.arange(len(a), dtype=np.int32))
-            if anchors:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (anchors, keys, places)], names=["anchor", "tk", "place"])
-
-    met = docs.mapInArrow(nominate, "anchor bigint, tk bigint, place int").groupBy("anchor").agg(F.count("*").alias("n"), F.min("tk").alias("tk"), F.min("place").alias("place"))
-    alone = stored(met.filter("n = 1").groupBy("tk").agg(F.collect_list("place").alias("places")), "anchors")
+def _columns(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+
+
+def _lists(values: np.ndarray, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
+
+
+def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(a, b, anchor, start, copies, hashes) of texts (a, b, t): the pieces with recurring anchors, once for copies of a text; hashes of their windows."""
+    spark = texts.sparkSession
+
+    def anchors(batches):
+        for part, found in _texts(batches, 2):
+            out = [(Hashed(words, window, phrase).anchors, a, b) for a, b, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found) if len(words) >= window]
+            if out:
+                yield _columns("anchor a b place", np.concatenate([x for x, _, _ in out]), *[np.concatenate([np.full(len(x[0]), x[k], np.int64) for x in out]) for k in (1, 2)], np.concatenate([np.arange(len(x), dtype=np.int32) for x, _, _ in out]))
+
+    met = texts.mapInArrow(anchors, "anchor bigint, a bigint, b bigint, place int").groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "place")).alias("at"))
+    alone = met.filter("n = 1").groupBy("at.a", "at.b").agg(F.collect_list("at.place").alias("alone"))
+    marks = stored(texts.groupBy("a", "b").agg(F.count("*").alias("copies")).join(alone, ["a", "b"], "left"), "anchors")
     release(spark)
 
-    def windows(batches):
-        for part, texts in _texts(batches, 1):
-            keys, starts, hashes = [], [], []
-            for tk, words, once in zip(part.column(0).to_pylist(), texts, part.column(2)):
-                if len(words) < window:
+    def pieces(batches):
+        seen = set()
+        for part, found in _texts(batches, 2):
+            rows, starts, hashes, sizes = [], [], [], []
+            for a, b, copies, alone, words in zip(*[part.column(k).to_pylist() for k in (0, 1, 3)], part.column(4), found):
+                if len(words) < window or copies > 1 and (a, b) in seen:
                     continue
+                if copies > 1:
+                    seen.add((a, b))
                 h = Hashed(words, window, phrase)
                 again = np.ones(len(h.anchors), bool)
-                if once.is_valid:
-                    again[once.values.to_numpy(zero_copy_only=False)] = False
-                if not again.any():
-                    continue
-                whole = mixed(rolling(h.words, window)).view(np.int64)
-                for a, b in runs(again[h.of_window]):
-                    keys.append(tk)
-                    starts.append(a)
-                    hashes.append(whole[a:b])
-            if keys:
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes)))], names=["tk", "start", "hashes"])
-
-    joined = docs.join(alone.hint("shuffle_hash"), "tk", "left").select("tk", "t", "places")
-    found = stored(joined.mapInArrow(windows, "tk bigint, start int, hashes array<bigint>"), "windows")
+                if alone.is_valid:
+                    again[alone.values.to_numpy(zero_copy_only=False)] = False
+                size = h.end - h.first
+                if again.any():
+                    whole = mixed(rolling(h.words, window)).view(np.int64)
+                    rows.append((a, b, h.anchors[again], copies))
+                    starts.append(h.first[again].astype(np.int32))
+                    sizes.append(size[again])
+                    hashes.append(whole[np.repeat(again, size)])
+            if rows:
+                n = [len(x) for x in starts]
+                spread = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), n)
+                yield _columns("a b anchor start copies hashes", spread(0), spread(1), np.concatenate([r[2] for r in rows]), np.concatenate(starts), spread(3), _lists(np.concatenate(hashes), np.concatenate(sizes)))
+
+    joined = texts.join(marks.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "copies", "alone")
+    out = stored(joined.mapInArrow(pieces, "a bigint, b bigint, anchor bigint, start int, copies bigint, hashes array<bigint>"), "pieces")
+    discard(marks)
+    release(spark)
+    return out
+
+
+def representatives(pieces: DataFrame) -> DataFrame:
+    """(a, b, start, anchor, own) of the pieces that hold representatives of recurring windows: own are their places within the piece."""
+    each = pieces.select("a", "b", "anchor", "start", "copies", F.posexplode("hashes").alias("i", "hash"))
+    counted = each.groupBy("anchor", "hash").agg(F.sum("copies").alias("n"), F.min(F.struct("a", "b", "start", "i")).alias("at")).filter("n > 1")
+    return counted.groupBy("at.a", "at.b", "at.start").agg(F.first("anchor").alias("anchor"), F.collect_list("at.i").alias("own"))
+
+
+def locate(rows: pa.Table, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(a, b, first word, end) of the words that a window found elsewhere covers, in the pieces of one block and at its passages' representatives.
+
+    rows: a, b, start, copies, words (joined by a space), own (a passage's windows, null for a piece that is streamed).
+    """
+    import ahocorasick
+
+    number: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    places: list[tuple[int, int, int]] = []
+    streamed = []
+    for a, b, start, copies, words, own in zip(*[rows.column(c).to_pylist() for c in ("a", "b", "start", "copies", "words", "own")]):
+        words = words.split()
+        if own is None:
+            streamed.append((a, b, start, copies, words))
+            continue
+        numbers = [number.setdefault(w, len(number) + 1) for w in words]
+        for i in own:
+            automaton.add_word(tuple(numbers[i : i + window]), len(places))
+            places.append((a, b, start + i))
+    if not places:
+        return []
+    automaton.make_automaton()
+    covered: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for a, b, start, copies, words in streamed:
+        first = start - window + 1
+        for end, k in automaton.iter(tuple([number.get(w, 0) for w in words])):
+            at = places[k]
+            if at != (a, b, first + end) or copies > 1:
+                covered[a, b].add(first + end)
+                covered[at[:2]].add(at[2])
+    out = []
+    for (a, b), starts in covered.items():
+        s = np.sort(np.fromiter(starts, np.int64, len(starts)))
+        cut = np.flatnonzero(np.diff(s) > window)
+        out += [(a, b, int(x), int(y) + window) for x, y in zip(s[np.concatenate(([0], cut + 1))], s[np.append(cut, len(s) - 1)])]
+    return out
+
+
+def repeats(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_pieces: int = SHARD_PIECES, block_pieces: int = BLOCK_PIECES, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
+    """(a, b, ranges) of texts (a, b, t) with recurring windows: word ranges (lo, hi) that they cover."""
+    spark = texts.sparkSession
+    pieces = nominated(texts, window, phrase)
+    own = stored(representatives(pieces), "passages")
     release(spark)
-    each = found.select("tk", "start", F.posexplode("hashes").alias("i", "hash"))
-    counted = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("tk").alias("tk"), F.min(F.col("start") + F.col("i")).alias("at"))
-    once = counted.filter("n = 1").groupBy("tk").agg(F.collect_list("at").alias("once"))
-    held = found.groupBy("tk").agg(F.collect_set(F.struct("start", F.size("hashes").alias("size"))).alias("runs"))
-    out = stored(held.join(once, "tk", "left"), "passages")
+    shards = max(1, math.ceil(pieces.count() / shard_pieces))
+    shard = F.pmod("anchor", F.lit(shards))
+    load = pieces.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).join(own.groupBy(shard.alias("shard")).agg(F.sum(F.size("own")).alias("p")), "shard")
+    load = load.select("shard", F.ceil(F.col("n") / block_pieces).alias("rows"), F.ceil(F.col("p") / block_passages).alias("columns"))
+    full = stored(load.filter("rows > 1 or columns > 1"), "shards")
+    n_full = full.count()
+
+    held = pieces.groupBy("a", "b").agg(F.collect_set(F.struct("start", F.size("hashes").alias("size"), "anchor", "copies")).alias("pieces"))
+    held = held.join(own.groupBy("a", "b").agg(F.collect_list(F.struct("start", "own")).alias("passages")), ["a", "b"], "left")
+
+    def cut(batches):
+        seen = set()
+        for part, found in _texts(batches, 2):
+            out = []
+            for a, b, held, passages, words in zip(*[part.column(k).to_pylist() for k in (0, 1, 3, 4)], found):
+                if held[0]["copies"] > 1:
+                    if (a, b) in seen:
+                        continue
+                    seen.add((a, b))
+                mine = {p["start"]: p["own"] for p in passages or ()}
+                for p in held:
+                    start = p["start"]
+                    out.append((a, b, p["anchor"], start, p["copies"], b" ".join(words[start : start + p["size"] + window - 1]), mine.get(start)))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+                yield _columns("a b anchor start copies words own", *[pa.array(c, t) for c, t in zip(zip(*out), kinds)])
+
+    streamed = texts.join(held.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "pieces", "passages")
+    streamed = streamed.mapInArrow(cut, "a bigint, b bigint, anchor bigint, start int, copies bigint, words binary, own array<int>").withColumn("shard", shard)
+    if n_full:  # every block of pieces meets every block of passages
+        streamed = streamed.join(F.broadcast(full) if n_full <= BROADCAST_SHARDS else full, "shard", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+    else:
+        streamed = streamed.withColumns({"rows": F.lit(1), "columns": F.lit(1)})
+    dealt = F.pmod(F.xxhash64("a", "b", "start"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", "a", "start"), F.col("columns")).cast("int")
+    as_piece = F.expr("transform(sequence(0, cast(columns as int) - 1), j -> struct(__i as i, j as j, cast(null as array<int>) as own))")
+    as_passage = F.expr("transform(sequence(0, cast(rows as int) - 1), i -> struct(i as i, __j as j, own as own))")
+    streamed = streamed.withColumns({"__i": dealt[0], "__j": dealt[1]}).withColumn("x", F.explode(F.when(F.col("own").isNull(), as_piece).otherwise(F.concat(as_piece, as_passage))))
+    streamed = streamed.select("shard", "x.i", "x.j", "a", "b", "start", "copies", "words", "x.own")
+
+    def search(rows: pa.Table) -> pa.Table:
+        out = locate(rows, window)
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "hi"])
+
+    found = streamed.groupBy("shard", "i", "j").applyInArrow(search, "a bigint, b bigint, lo int, hi int")
+    out = stored(found.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "repeats")
+    discard(pieces, own, full)
     release(spark)
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep=None, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep=None, text: str = "text", **bounds: int) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space).
 
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of `window` words over it has the same words as a window that starts anywhere else,
-    in the same text or another; copies of a text are other texts. Null and empty texts have no words, and shorter texts than a window no
-    window. Input columns with those names give way.
+    in the same text or another; copies of a text are other texts (equal 128-bit hashes say that texts are copies). Null and empty texts
+    have no words, and shorter texts than a window no window. Input columns with those names give way. bounds: those of repeats().
     """
-    import ahocorasick
-
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "n_removed", "kept")]
-    base = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("tk", F.xxhash64("t"))
-    passages = confirmed_passages(base.select("tk", F.col("t").cast("binary").alias("t")), window, phrase)
-    whole = base.withColumn("t", F.col("t").cast("binary")).join(passages.hint("shuffle_hash"), "tk", "left")
-    whole = whole.select(*[f"k{i}" for i in range(len(keep))], "t", "runs", "once")
+    base = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    base = base.withColumn("a", F.xxhash64("t")).withColumn("b", F.xxhash64(F.lit(1), "t"))
+    found = repeats(base.select("a", "b", "t"), window, phrase, **bounds)
+    whole = base.join(found.hint("shuffle_hash"), ["a", "b"], "left").select(*[f"k{i}" for i in range(len(keep))], "t", "ranges")
     schema = ", ".join([*[f"k{i} {whole.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))], "n_words bigint, n_removed bigint, kept string"])
     at = len(keep)
 
-    def covered(n: int, spans, once) -> np.ndarray:
-        """Words under confirmed windows."""
-        starts = np.zeros(n - window + 1, bool)
-        for r in spans:
-            starts[r["start"] : r["start"] + r["size"]] = True
-        if once is not None:
-            starts[once] = False
-        edge = np.zeros(n + 1, np.int32)
-        first = np.flatnonzero(starts)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + window, -1)
-        return np.cumsum(edge[:-1]) > 0
-
-    def locate(texts: list[list[bytes]], confirmed: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-        """Every occurrence in these texts of any passage confirmed in one of them."""
-        number: dict[bytes, int] = {}
-        numbered = [tuple([number.setdefault(w, len(number)) for w in words]) for words in texts]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for words, spans in zip(numbered, confirmed):
-            for a, b in spans:
-                automaton.add_word(words[a:b], b - a)
-        automaton.make_automaton()
-        return [[(end + 1 - size, end + 1) for end, size in automaton.iter(words)] for words in numbered]
-
     def remove(batches):
         for part, texts in _texts(batches, at):
-            spans, once = part.column(at + 1).to_pylist(), part.column(at + 2).to_pylist()
-            confirmed = [runs(covered(len(w), s, o)) if s else [] for w, s, o in zip(texts, spans, once)]
             kept, removed = [], []
-            shard, size = 0, 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size >= SHARD_WORDS:
-                    own = range(shard, i)
-                    found = locate([texts[j] for j in own], [confirmed[j] for j in own]) if any(confirmed[j] for j in own) else [[] for _ in own]
-                    for j, places in zip(own, found):
-                        stay, n, end = [], 0, 0
-                        for a, b in sorted(places):
-                            if b > end:
-                                stay += texts[j][end:a] if a > end else []
-                                n += b - max(a, end)
-                                end = b
-                        stay += texts[j][end:]
-                        kept.append(b" ".join(stay).decode())
-                        removed.append(n)
-                    shard, size = i, 0
-                if i < len(texts):
-                    size += len(texts[i])
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array([len(w) for w in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*part.schema.names[:at], "n_words", "n_removed", "kept"])
+            for words, ranges in zip(texts, part.column(at + 1).to_pylist()):
+                stay, n, end = [], 0, 0
+                for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
+                    if hi > end:
+                        stay += words[end:lo] if lo > end else []
+                        n += hi - max(lo, end)
+                        end = hi
+                kept.append(b" ".join(stay + words[end:]).decode())
+                removed.append(n)
+            yield _columns(" ".join([*part.schema.names[:at], "n_words n_removed kept"]), *part.columns[:at], pa.array([len(w) for w in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()))
 
     out = whole.mapInArrow(remove, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")

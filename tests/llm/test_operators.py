@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -301,6 +302,22 @@ def test_repeats_removed(spark, docs, empty, window, phrase):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_full_shards_are_cut_into_blocks(spark, docs):
+    few = {"shard_pieces": 10**9, "block_pieces": 6000, "block_passages": 9000}  # one shard for all, in blocks
+    rows = lambda **b: Counter(tuple(r) for r in substrings.remove_repeats(docs, 6, 3, keep=["doc_id"], **b).collect())
+    assert rows() == rows(**few) == rows(shard_pieces=500)
+
+
+def test_words_decide_not_hashes():
+    """A passage nominated by a colliding hash is not removed: no other place holds its words."""
+    row = lambda a, words, own, copies=1: {"a": a, "b": 0, "start": 0, "copies": copies, "words": words, "own": own}
+    table = lambda *rows: pa.Table.from_pylist(list(rows))
+    one, two = b"a b c d e f", b"a b c x e f"
+    assert substrings.locate(table(row(1, one, [0]), row(1, one, None), row(2, two, None)), 5) == []
+    assert sorted(substrings.locate(table(row(1, one, [0]), row(1, one, None), row(2, b"z a b c d e", None)), 5)) == [(1, 0, 0, 5), (2, 0, 1, 6)]
+    assert substrings.locate(table(row(1, one, [1]), row(1, one, None, 2)), 5) == [(1, 0, 1, 6)]
+
+
 def test_rolling_and_least_places():
     r = np.random.default_rng(2)
     h = r.integers(0, 2**64, 60, np.uint64)
