@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import split_batch
 
@@ -69,10 +70,11 @@ def minimum_bin_slack(counts: np.ndarray, capacity: int) -> Iterator[tuple[dict[
 
 
 class Ids:
-    """Token ids as little-endian 32-bit bytes, as the tokenizers library gives them for the file at `path`.
+    """Token ids as little-endian 32-bit bytes, as the tokenizers library gives them for the file at `path` with its defaults.
 
     Texts of ASCII and Latin letters, where the split into pieces is beyond doubt, run the file's own merges in tiktoken, several times faster;
-    any other text, and any file that is not a byte-level BPE whose ids are ranks, goes to tokenizers. Tests hold the two against each other.
+    any other text, any that holds an added token's string (which is that token), and any file that is not a byte-level BPE whose ids are
+    ranks, goes to tokenizers. Tests hold the two against each other.
     """
 
     simple = re.compile("[\t-\r -~\u00a1-\u00a8\u00ab-\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u017f]*")
@@ -82,7 +84,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self._merges(path)
 
     @staticmethod
@@ -101,7 +103,7 @@ class Ids:
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if self.merges is not None and self.simple.fullmatch(text):
+        if self.merges is not None and self.simple.fullmatch(text) and not any(t in text for t in self.added):
             return array("I", self.merges.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -152,11 +154,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end: int = 0,
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all docs, each followed by the id `end`, in sequences of at most `length`.
 
     ids holds little-endian 32-bit ids. A sequence's pieces lie at offsets without gaps from 0; what is missing to `length` is padding.
-    A null or empty text has the id `end` alone. Null doc_ids and repeated rows are documents of their own. Other columns are not read, so
+    A null or empty text has the id `end` alone. doc_id may be of any plain type. Null doc_ids and repeated rows are documents of their own. Other columns are not read, so
     clashing names do not matter. Each task packs its own rows in blocks of bounded size: nothing is shuffled, and a task that runs again
     packs the same rows alike. sequence_id is unique: the task's number times 2^40 plus a count.
     """
-    schema = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    kind = docs.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
@@ -171,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end: int = 0,
                 key, start, raw, total, sequence, at = zip(*pieces[i : i + 4096])
                 long = lambda x: pa.array(x, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [long(key), long(start), long([len(x) // 4 for x in raw]), pa.array(raw, pa.binary()), long(total), long(sequence), long(at)],
+                    [pa.array(key, to_arrow_type(kind)), long(start), long([len(x) // 4 for x in raw]), pa.array(raw, pa.binary()), long(total), long(sequence), long(at)],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
@@ -183,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end: int = 0,
                         yield from rows(False)
         yield from rows(True)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:
