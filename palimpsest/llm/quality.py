@@ -17,18 +17,17 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 CHUNK, WIDTH, SIZE, FILTERS = 256, 8, 8, 16
-#: The bound of the training sample: documents of each class, and chunks of each document, spread evenly over it.
-SAMPLE, SAMPLE_CHUNKS = 2000, 8
+#: The bound of the training sample: labelled documents of each class, each read as a whole.
+SAMPLE = 1500
 THRESHOLD = 0.3
 
 
-def chunks(text: bytes, most: int | None = None) -> np.ndarray:
+def chunks(text: bytes) -> np.ndarray:
     """Rows of CHUNK + WIDTH - 1 bytes; the last is filled with zero bytes, and an empty text is one row of them."""
     n = max(1, -(-len(text) // CHUNK))
     raw = np.zeros(n * CHUNK + WIDTH - 1, np.uint8)
     raw[: len(text)] = np.frombuffer(text, np.uint8)
-    rows = np.lib.stride_tricks.as_strided(raw, (n, CHUNK + WIDTH - 1), (CHUNK, 1))
-    return rows if most is None or n <= most else rows[np.unique(np.linspace(0, n - 1, most).round().astype(int))]
+    return np.lib.stride_tricks.as_strided(raw, (n, CHUNK + WIDTH - 1), (CHUNK, 1))
 
 
 @dataclass
@@ -72,37 +71,39 @@ class Model:
         return out
 
 
+def gradients(m: Model, rows: list[np.ndarray], labels: np.ndarray) -> dict:
+    """Of the mean log loss over some documents, by parameter. rows: each document's chunks."""
+    x, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    value, at = m.pooled(x, m.tables(), True)
+    largest, mean = np.maximum.reduceat(value, start), np.add.reduceat(value, start) / size[:, None]
+    error = (m.probability(largest, mean) - labels) / len(rows)
+    z = np.concatenate([largest, mean], axis=1)
+    back = error[:, None] * m.top
+    doc = np.repeat(np.arange(len(rows)), size)
+    top = value == largest[doc]
+    top = top / np.maximum(np.add.reduceat(top.astype(float), start), 1)[doc]  # ties share
+    g = (back[doc, :FILTERS] * top + back[doc, FILTERS:] / size[doc, None]) * (value > 0)
+    seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # the bytes under each largest answer: chunk, filter, offset
+    d_embed, d_filters = np.zeros_like(m.embed), np.zeros_like(m.filters)
+    for k in range(WIDTH):
+        b = seen[:, :, k]
+        d_filters[k] = np.einsum("mfd,mf->df", m.embed[b], g)
+        np.add.at(d_embed, b.ravel(), (g[:, :, None] * m.filters[k].T[None]).reshape(-1, SIZE))
+    return {"embed": d_embed, "filters": d_filters, "bias": g.sum(axis=0), "top": z.T @ error, "shift": error.sum()}
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, share: float, epochs: int = 12, seed: int = 3, rate: float = 0.01, decay: float = 1e-4) -> Model:
     """Adam on the log loss. rows: each document's chunks. share: of good ones among all labelled documents, to which the probabilities are shifted."""
     rng = np.random.default_rng(seed)
     m = Model(rng.normal(0, 0.5, (256, SIZE)), rng.normal(0, 0.3, (WIDTH, SIZE, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0)
-    names = ("embed", "filters", "bias", "top", "shift")
-    first, second, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
+    first, second, step = dict.fromkeys(vars(m), 0.0), dict.fromkeys(vars(m), 0.0), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), 32):
-            take = order[i : i + 32]
-            x, size = np.concatenate([rows[k] for k in take]), np.array([len(rows[k]) for k in take])
-            start = np.concatenate(([0], np.cumsum(size)[:-1]))
-            value, at = m.pooled(x, m.tables(), True)
-            largest, mean = np.maximum.reduceat(value, start), np.add.reduceat(value, start) / size[:, None]
-            error = (m.probability(largest, mean) - labels[take]) / len(take)
-            z = np.concatenate([largest, mean], axis=1)
-            back = error[:, None] * m.top
-            doc = np.repeat(np.arange(len(take)), size)
-            top = value == largest[doc]
-            top = top / np.maximum(np.add.reduceat(top.astype(float), start), 1)[doc]  # ties share
-            g = (back[doc, :FILTERS] * top + back[doc, FILTERS:] / size[doc, None]) * (value > 0)
-            seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # the bytes under each largest answer: chunk, filter, offset
-            d_embed, d_filters = np.zeros_like(m.embed), np.zeros_like(m.filters)
-            for k in range(WIDTH):
-                b = seen[:, :, k]
-                d_filters[k] = np.einsum("mfd,mf->df", m.embed[b], g)
-                np.add.at(d_embed, b.ravel(), (g[:, :, None] * m.filters[k].T[None]).reshape(-1, SIZE))
-            grads = {"embed": d_embed, "filters": d_filters, "bias": g.sum(axis=0), "top": z.T @ error, "shift": error.sum()}
-            step += 1
-            for n in names:
-                grad = grads[n] + decay * getattr(m, n)
+            take, step = order[i : i + 32], step + 1
+            for n, grad in gradients(m, [rows[k] for k in take], labels[take]).items():
+                grad = grad + decay * getattr(m, n)
                 first[n] = 0.9 * first[n] + 0.1 * grad
                 second[n] = 0.999 * second[n] + 0.001 * grad**2
                 setattr(m, n, getattr(m, n) - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8))
@@ -117,26 +118,22 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chunks: int = SAMPLE_CHUNKS) -> Model:
-    """Trains on labelled documents outside the held-out fold: at most `sample` of each class, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Trains on labelled documents outside the held-out fold, whole texts: at most `sample` of each class, the first by a hash of the id.
 
-    Several labels of one id count as their smallest. Without any labelled document the model answers 0.5 or more for every text.
+    Of rows that repeat an id the least text counts. Several labels of one id count as their smallest. Without any labelled document the model answers 0.5 or more for every text.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out())
     share = known.agg(F.avg("quality")).first()[0]
     order = [F.xxhash64("doc_id", F.lit(11)), "doc_id"]
     chosen = known.filter("quality = 0").orderBy(*order).limit(sample).union(known.filter("quality = 1").orderBy(*order).limit(sample))
 
-    def make():
-        return lambda texts: [[chunks(t, sample_chunks).tobytes() for t in texts]]
-
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
-    got = map_texts(some, make, "rows binary", ["doc_id", "quality"]).groupBy("doc_id").agg(F.min(F.struct("rows", "quality")).alias("r")).select("doc_id", "r.*").collect()
+    got = some.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "quality")).alias("r")).select("doc_id", "r.*").collect()
     got.sort(key=lambda r: r["doc_id"])
     if len({r["quality"] for r in got}) < 2:
         return Model(np.zeros((256, SIZE)), np.zeros((WIDTH, SIZE, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0 if not got or got[0]["quality"] else -2.0)
-    rows = [np.frombuffer(bytes(r["rows"]), np.uint8).reshape(-1, CHUNK + WIDTH - 1) for r in got]
-    return train(rows, np.array([r["quality"] for r in got], float), share)
+    return train([chunks(r["text"].encode()) for r in got], np.array([r["quality"] for r in got], float), share)
 
 
 def score(docs: DataFrame, model: Model, keep=None, threshold: float = THRESHOLD) -> DataFrame:
