@@ -22,13 +22,18 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from dw left join cov on dw.doc_id = cov.doc_id left join its on dw.doc_id = its.doc_id"""
 
 
-def _level(name: str, children: str, parents: str, parent: str, child: str) -> str:
-    return f"""
-known_{name} as (select c.{child}, c.{parent}, c.k, c.n, p.mean as prior from {children} c join {parents} p on c.{parent} = p.{parent}),
-parts_{name} as (select {parent}, sum(cast(n as double)) as pages, sum(cast(n as double) * n) as squares, count(*) as c, sum(n * (k / cast(n as double) - prior) * (k / cast(n as double) - prior)) as spread, max(prior * (1 - prior)) as noise from known_{name} where n > 0 group by {parent}),
-between_{name} as (select {parent}, noise, pages - squares / pages as room, case when pages - squares / pages > 0 then (spread - (c - 1) * noise) / (pages - squares / pages) end as b from parts_{name}),
-strength_{name} as (select {parent}, least(greatest(case when room > 0 and b > 0 then noise / b - 1 else {MOST_STRENGTH} end, {LEAST_STRENGTH}), {MOST_STRENGTH}) as strength from between_{name}),
-level_{name} as (select {child}, n, coalesce(strength, {MOST_STRENGTH}) as strength, (k + coalesce(strength, {MOST_STRENGTH}) * prior) / (n + coalesce(strength, {MOST_STRENGTH})) as mean from known_{name} left join strength_{name} using ({parent}))"""
+_SUMS = "sum(k) as k, sum(n) as n, sum(cast(n as double) * n) as squares, count(*) filter (where n > 0) as c, sum(case when n > 0 then cast(k as double) * k / n else 0 end) as kk"
+
+
+def _strength(p: str) -> str:
+    room, noise = "(n - squares / n)", f"({p} * (1 - {p}))"
+    between = f"((kk - 2 * {p} * k + {p} * {p} * n - (c - 1) * {noise}) / {room})"
+    found = f"case when n > 0 and {room} > 0 and {between} > 0 then {noise} / {between} - 1 else {MOST_STRENGTH} end"
+    return f"least(greatest({found}, {LEAST_STRENGTH}), {MOST_STRENGTH})"
+
+
+def _mean(prior: str, weight: str) -> str:
+    return f"(k + {weight} * {prior}) / (n + {weight})"
 
 
 _RULES = (("www.example.com", "/en/", "www.example.com/en/", "allow"), ("example.com", "/en/", "example.com/en/", "block"), ("net", "/es/", "net/es/", "block"), ("net", "/fr/", "net/fr/", "block"), ("com", "/", "com/", "allow"))
@@ -39,20 +44,21 @@ def _case(field: int) -> str:
 
 
 OP5 = f"""
-with lab as (select doc_id, bool_and(quality = 1 and toxic = 0) as good from labels group by doc_id),
-parsed as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, good
-  from pages left join lab on page_id = doc_id),
+with parsed as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 ruled as (select *, {_case(2)} as rule, {_case(3)} as rule_verdict from parsed),
-h0 as (select host, count(*) filter (where good) as k, count(good) as n, string_split(host, '.') as l from ruled group by host),
+h0 as (select host, count(*) filter (where rule_verdict = 'allow') as k, count(rule_verdict) as n, string_split(host, '.') as l from ruled group by host),
 h1 as (select *, case when len(l) > 1 and array_to_string(l[-2:], '.') in ({", ".join(f"'{s}'" for s in LONG_SUFFIXES)}) then 2 else 1 end as ns from h0),
 hosts as (select host, k, n, array_to_string(l[-ns:], '.') as suffix, case when len(l) <= ns + 1 then host else array_to_string(l[-(ns + 1):], '.') end as domain from h1),
-domains as (select domain, suffix, sum(k) as k, sum(n) as n from hosts group by 1, 2),
-suffixes as (select suffix, '.' as everything, sum(k) as k, sum(n) as n from domains group by 1),
-top as (select '.' as everything, (sum(k) + 1) / cast(sum(n) + 2 as double) as mean from suffixes),
-{_level("s", "suffixes", "top", "everything", "suffix")},
-{_level("d", "domains", "level_s", "suffix", "domain")},
-{_level("h", "hosts", "level_d", "domain", "host")},
-good as (select host, mean - {Z} * sqrt(mean * (1 - mean) / (n + strength + 1)) >= {THRESHOLD} as good from level_h)
+domains as (select domain, suffix, {_SUMS} from hosts group by 1, 2),
+suffixes as (select suffix, {_SUMS} from domains group by 1),
+t0 as (select {_SUMS} from suffixes), t1 as (select *, (k + 1) / cast(n + 2 as double) as mean from t0),
+top as (select mean as prior, {_strength("mean")} as weight from t1),
+s1 as (select suffixes.*, {_mean("prior", "weight")} as mean from suffixes, top),
+s2 as (select suffix, mean as prior, {_strength("mean")} as weight from s1),
+d1 as (select domains.*, {_mean("prior", "weight")} as mean from domains join s2 using (suffix)),
+d2 as (select domain, mean as prior, {_strength("mean")} as weight from d1),
+h2 as (select host, n, weight, {_mean("prior", "weight")} as mean from hosts join d2 using (domain)),
+good as (select host, mean - {Z} * sqrt(mean * (1 - mean) / (n + weight + 1)) >= {THRESHOLD} as good from h2)
 select page_id, ruled.host, path, rule, coalesce(rule_verdict, case when good.good then 'allow' else 'block' end) as verdict from ruled join good on ruled.host = good.host"""
 
 OP7 = """

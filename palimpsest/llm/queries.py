@@ -42,10 +42,8 @@ def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of its number: good if quality is 1 and toxic is not."""
-    outcomes = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(outcomes, "page_id", "left")
-    return judge_urls(pages, good=F.col("good")).select("page_id", "host", "path", "rule", "verdict")
+    """A page that a rule fits has the rule's verdict as its labelled outcome; no other table says anything about pages."""
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import discard, stored, without
 
 #: Fixed values: (verdict, host and path prefix) of the production rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Public suffixes of two labels; any other suffix is the last label.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 
+#: Suffixes of which a table may be broadcast: about 50 bytes each.
+BROADCAST_SUFFIXES = 1 << 17
+
 Z, THRESHOLD, LEAST_STRENGTH, MOST_STRENGTH = 1.28, 0.5, 1.0, 1000.0
 
 
@@ -62,32 +65,41 @@ def reputation(outcomes: DataFrame, z: float = Z, threshold: float = THRESHOLD)
     good = bound >= threshold. Hosts without labels get their domain's prior. Without any labels the prior is one good and one bad page.
     """
     hosts = outcomes.groupBy("host").agg(F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("k"), F.count("good").alias("n"))
-    hosts = stored(hosts, "hosts")
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("all", F.lit("."))
-    everything = suffixes.groupBy("all").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).select("all", ((F.col("k") + 1) / (F.col("n") + 2)).alias("mean"))
-    level = everything
-    for child, parent, table in (("suffix", "all", suffixes), ("domain", "suffix", domains), ("host", "domain", hosts)):
-        level = _posterior(table, level, parent, child)
-    bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
-    level = level.withColumn("bound", bound).withColumn("good", F.col("bound") >= threshold)
-    return hosts.select("host", "domain", "suffix", "k", "n").join(level.select("host", "mean", "bound", "good"), "host")
-
-
-def _posterior(children: DataFrame, parents: DataFrame, parent: str, child: str) -> DataFrame:
-    """(child, n, mean, strength): children(child, parent, k, n) shrunk to the means of parents(parent, mean)."""
-    known = children.join(parents.select(parent, F.col("mean").alias("prior")), parent)
-    rate, n, prior = F.col("k") / F.col("n"), F.col("n").cast("double"), F.col("prior")
-    parts = known.filter("n > 0").groupBy(parent).agg(
-        F.sum(n).alias("pages"), F.sum(n * n).alias("squares"), F.count(F.lit(1)).alias("c"), F.sum(n * (rate - prior) * (rate - prior)).alias("spread"), F.max(prior * (1 - prior)).alias("noise")
-    )
-    room = F.col("pages") - F.col("squares") / F.col("pages")
-    between = (F.col("spread") - (F.col("c") - 1) * F.col("noise")) / room
-    found = F.when((room > 0) & (between > 0), F.col("noise") / between - 1).otherwise(F.lit(MOST_STRENGTH))
-    strength = parts.select(parent, F.least(F.greatest(found, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
-    joined = known.join(strength, parent, "left").withColumn("strength", F.coalesce("strength", F.lit(MOST_STRENGTH)))
-    return joined.select(child, "n", ((F.col("k") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))).alias("mean"), "strength")
+    hosts = stored(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = stored(hosts.groupBy("domain", "suffix").agg(*_sums()), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(*_sums()), "suffixes")
+    total = suffixes.agg(*_sums())
+    top = total.select(((F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("mean"), *total.columns).withColumn("strength", _strength(F.col("mean"))).first()
+    known = suffixes.withColumn("mean", _mean(F.lit(top["mean"]), F.lit(top["strength"])))
+    known = known.select("suffix", F.col("mean").alias("prior"), _strength(F.col("mean")).alias("weight"))
+    known = F.broadcast(known) if suffixes.count() <= BROADCAST_SUFFIXES else known
+    known = domains.join(known, "suffix").withColumn("mean", _mean(F.col("prior"), F.col("weight")))
+    known = known.select("domain", F.col("mean").alias("prior"), _strength(F.col("mean")).alias("weight"))
+    level = hosts.join(known, "domain").withColumn("mean", _mean(F.col("prior"), F.col("weight")))
+    bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("weight") + 1))
+    level = stored(level.withColumn("bound", bound).select("host", "domain", "suffix", "k", "n", "mean", "bound", (F.col("bound") >= threshold).alias("good")), "reputation")
+    discard(hosts, domains, suffixes)
+    return level
+
+
+def _sums() -> list[Column]:
+    """Of children(k, n): good and labelled pages, squares of the latter, children with labelled pages, and k * k / n."""
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    labelled = F.col("n") > 0
+    return [F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum(n * n).alias("squares"), F.count(F.when(labelled, 1)).alias("c"), F.sum(F.when(labelled, k * k / n).otherwise(0.0)).alias("kk")]
+
+
+def _mean(prior: Column, strength: Column) -> Column:
+    """Posterior mean of k good of n pages."""
+    return (F.col("k") + strength * prior) / (F.col("n") + strength)
+
+
+def _strength(prior: Column) -> Column:
+    """Pages that the prior counts for, by the spread of the children's rates around it: sum of n * (k / n - prior)^2 = kk - 2 * prior * k + prior^2 * n."""
+    spread, noise = F.col("kk") - 2 * prior * F.col("k") + prior * prior * F.col("n"), prior * (1 - prior)
+    room = F.when(F.col("n") > 0, F.col("n") - F.col("squares") / F.col("n"))
+    between = F.when(room > 0, (spread - (F.col("c") - 1) * noise) / room)
+    return F.least(F.greatest(F.when(between > 0, noise / between - 1).otherwise(F.lit(MOST_STRENGTH)), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, good: Column | None = None, url: str = "url", z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
