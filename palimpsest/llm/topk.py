@@ -1,8 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into 4 segments of 16 bits; the index holds every distinct code under each segment's value. Round r probes, for
-every open query, the values at distance r of its segments. After it every code at distance 4 * (r + 1) - 1 or less has been seen
-(were it farther than r in all four segments, it would be at 4 * (r + 1) or more), so a query closes once k verified neighbours lie within that.
+A 64-bit code is cut into m segments of about log2(codes) bits; the index holds every distinct code under each segment's value. Round r
+probes, for every open query, the values at distance r of its segments. After it every code at distance m * (r + 1) - 1 or less has been
+seen (were it farther than r in all segments, it would be at m * (r + 1) or more), so a query closes once k verified neighbours lie within that.
+
+Codes and probes meet by cells, the high bits of a segment's value. A cell that many codes share (a frequent value) or that many queries
+probe is cut into blocks, and every block of codes meets every block of queries; only such cells are copied.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import release, stored
+from .common import discard, release, stored
 
-SEGMENTS, BITS = 4, 16
-#: Codes of the index, and queries, that meet in one task at a time.
-CELL_CODES, BLOCK_QUERIES = 1 << 16, 1 << 15
+#: Codes of the index that a cell has on average, and codes and queries that meet at a time.
+CELL_CODES, BLOCK_CODES, BLOCK_QUERIES = 1 << 14, 1 << 16, 1 << 15
+#: Cells of which a table may be broadcast: 24 bytes each.
+BROADCAST_CELLS = 1 << 17
 
 
 def sign_codes(vectors: DataFrame, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
@@ -38,91 +43,131 @@ def sign_codes(vectors: DataFrame, vector: str = "embedding", id: str = "vec_id"
     return vectors.filter(F.col(vector).isNotNull() & F.col(id).isNotNull()).select(F.col(id).cast("bigint"), vector).mapInArrow(run, "id bigint, code bigint")
 
 
+def edges_for(codes: int) -> list[int]:
+    """Where segments begin and end: about log2(codes) bits each, from 8 to 2 of them."""
+    m = min(8, max(2, round(64 / math.log2(codes + 2))))
+    return [round(64 * i / m) for i in range(m + 1)]
+
+
 def _masks(bits: int) -> list[np.ndarray]:
     every = np.arange(1 << bits)
     ones = np.bitwise_count(every)
     return [every[ones == t] for t in range(bits + 1)]
 
 
-def _prober(r: int, low: int, k: int):
-    """Best k codes (distance, then smallest id) for each query of a cell among the values at distance r of its segment."""
-
+def _values(codes: np.ndarray, edges: list[int], seg: int) -> np.ndarray:
+    return ((codes.view(np.uint64) >> np.uint64(edges[seg])) & np.uint64((1 << edges[seg + 1] - edges[seg]) - 1)).astype(np.int64)
+
+
+def _best(queries: np.ndarray, code, least, n, value, asked, r: int, cell: int, low: int, masks, k: int):
+    """(query, code, distance, least, n) of the best k codes of a cell for each query, among those whose value is r off; code and the rest in order of value."""
+    edge = np.searchsorted(value, np.arange((1 << low) + 1)) if 1 << low <= len(code) else None
+    for q, v in zip(queries, asked):
+        t = r - (int(v) >> low ^ cell).bit_count()
+        if not 0 <= t <= low:
+            continue
+        inner = int(v) & (1 << low) - 1
+        if edge is None or len(masks[t]) > len(code):
+            rows = np.flatnonzero(np.bitwise_count(value ^ inner) == t)
+        else:
+            at = masks[t] ^ inner
+            a, b = edge[at], edge[at + 1]
+            a, size = a[b > a], (b - a)[b > a]
+            rows = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        if len(rows):
+            d = np.bitwise_count((code[rows] ^ q).view(np.uint64)).astype(np.int64)
+            if len(rows) > k:
+                near = d <= np.partition(d, k - 1)[k - 1]
+                rows, d = rows[near], d[near]
+            order = np.lexsort((least[rows], d))[:k]
+            rows = rows[order]
+            yield np.full(len(rows), q), code[rows], d[order], least[rows], n[rows]
+
+
+def _prober(edges: list[int], high: int, r: int, k: int):
     def probe(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64)] * 5
+        found = []
         if index.num_rows and queries.num_rows:
             seg, cell = index.column("seg")[0].as_py(), index.column("cell")[0].as_py()
+            low = edges[seg + 1] - edges[seg] - high
             code, least, n = (index.column(c).to_numpy() for c in ("code", "least", "n"))
-            value = (code.view(np.uint64) >> np.uint64(seg * BITS)).astype(np.int64) & ((1 << low) - 1)
-            order = np.lexsort((least, value))
-            code, least, n = code[order], least[order], n[order]
-            edge = np.searchsorted(value[order], np.arange((1 << low) + 1))
-            masks, found = _masks(low), []
-            for q in queries.column("qcode").to_numpy():
-                v = int(q) >> seg * BITS & (1 << BITS) - 1
-                t = r - (v >> low ^ cell).bit_count()
-                if not 0 <= t <= low:
-                    continue
-                at = masks[t] ^ (v & (1 << low) - 1)
-                a, b = edge[at], edge[at + 1]
-                full = b > a
-                a, size = a[full], (b - a)[full]
-                if not len(a):
-                    continue
-                rows = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                d = np.bitwise_count((code[rows] ^ q).view(np.uint64)).astype(np.int64)
-                best = np.lexsort((least[rows], d))[:k]
-                rows = rows[best]
-                found.append((np.full(len(rows), q), code[rows], d[best], least[rows], n[rows]))
-            if found:
-                out = [np.concatenate(c) for c in zip(*found)]
+            value = _values(code, edges, seg) & ((1 << low) - 1)
+            order = np.argsort(value, kind="stable")
+            q = queries.column("qcode").to_numpy()
+            masks = _masks(low) if 1 << low <= len(code) else [()] * (low + 1)
+            found = list(_best(q, code[order], least[order], n[order], value[order], _values(q, edges, seg), r, cell, low, masks, k))
+        out = [np.concatenate(c) for c in zip(*found)] or [np.empty(0, np.int64)] * 5
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["qcode", "code", "d", "least", "n"])
 
     return probe
 
 
-def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def _placed(codes: DataFrame, edges: list[int], high: int, r: int | None = None) -> DataFrame:
+    """codes (first column a code) with seg and cell: their own cells, or with r those that hold values at distance r."""
+    masks = _masks(high)
+
+    def run(batches):
+        for batch in batches:
+            code = batch.column(0).to_numpy(zero_copy_only=False)
+            for seg in range(len(edges) - 1):
+                low = edges[seg + 1] - edges[seg] - high
+                cell = _values(code, edges, seg) >> low
+                near = masks[0] if r is None else np.concatenate([masks[t] for t in range(max(0, r - low), min(r, high) + 1)] or [masks[0][:0]])
+                for at in range(0, len(near), 256):
+                    part = near[at : at + 256]
+                    rows = pa.array(np.repeat(np.arange(len(code)), len(part)))
+                    cells = (cell[:, None] ^ part[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns], pa.array(np.full(len(cells), seg, np.int32)), pa.array(cells.astype(np.int32))], names=[*batch.schema.names, "seg", "cell"])
+
+    return codes.mapInArrow(run, T.StructType([*codes.schema.fields, T.StructField("seg", T.IntegerType()), T.StructField("cell", T.IntegerType())]))
+
+
+def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, block_codes: int = BLOCK_CODES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, neighbour_id, distance) of the k nearest rows of codes(id, code) for each row of queries(id, code), itself left out.
 
-    Ties go to the smaller id; repeated rows count once; with fewer than k others all are returned, and nothing for an empty table.
-    Copies of a code share one index entry with their k + 1 smallest ids, which is all that any query can need.
+    Ties go to the smaller id; repeated rows count once, whatever their other columns hold; rows without an id or code are left out; with
+    fewer than k others all are returned, and nothing for an empty table. Copies of a code share one index entry with their k + 1 smallest
+    ids, which is all that any query can need.
     """
     spark, need = codes.sparkSession, k + 1  # the query itself may be among them
+    codes, queries = (t.select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).na.drop().distinct() for t in (codes, queries))
     first = Window.partitionBy("code").orderBy("id")
-    ids = codes.distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= need)
+    ids = codes.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= need)
     distinct = stored(ids.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    asked = stored(queries.select(F.col("code").alias("qcode")).distinct(), "asked")
-    total, n_asked = distinct.agg(F.sum(F.size("ids")), F.count("*")).first(), asked.count()
-    if not total[1] or not n_asked:
+    open_ = stored(queries.select(F.col("code").alias("qcode")).distinct(), "open")
+    total = distinct.count()
+    if not total or open_.isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank int, neighbour_id bigint, distance int")
-    high = min(BITS - 4, max(3, math.ceil(math.log2(max(1, total[1] / CELL_CODES)))))  # bits of a segment that name a cell
-    low, blocks = BITS - high, math.ceil(n_asked / BLOCK_QUERIES)
-    each = F.explode(F.expr(f"sequence(0, {SEGMENTS - 1})")).alias("seg")
-    index = distinct.select("code", F.element_at("ids", 1).alias("least"), F.size("ids").cast("bigint").alias("n"), each)
-    index = index.withColumn("cell", F.expr(f"shiftright({_segment('code')}, {low})")).withColumn("block", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    edges = edges_for(total)
+    m, bits = len(edges) - 1, min(b - a for a, b in zip(edges, edges[1:]))
+    high = min(bits, max(3, math.ceil(math.log2(max(1, total / CELL_CODES)))))  # bits of a segment that name a cell
+    index = _placed(distinct.select("code", F.element_at("ids", 1).alias("least"), F.size("ids").cast("bigint").alias("n")), edges, high)
     index = stored(index, "index")
+    held = stored(index.groupBy("seg", "cell").agg(F.count("*").alias("codes")), "cells")
 
-    best, open_, r = None, asked, 0
+    best, r = None, 0
     while True:
-        probes = open_.select("qcode", each, F.pmod(F.xxhash64("qcode"), F.lit(blocks)).cast("int").alias("block"))
-        probes = probes.withColumn("cell", F.explode(F.expr(f"sequence(0, {(1 << high) - 1})"))).filter(F.expr(f"bit_count(shiftright({_segment('qcode')}, {low}) ^ cell) between {max(0, r - low)} and {r}"))
-        keys = ["seg", "cell", "block"]
-        found = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_prober(r, low, need), "qcode bigint, code bigint, d bigint, least bigint, n bigint")
+        probes = _placed(open_, edges, high, r)
+        cells = held.join(probes.groupBy("seg", "cell").agg(F.count("*").alias("asked")), ["seg", "cell"])
+        cells = cells.select("seg", "cell", F.ceil(F.col("codes") / block_codes).cast("int").alias("rows"), F.ceil(F.col("asked") / block_queries).cast("int").alias("columns"))
+        cells = F.broadcast(cells) if m << high <= BROADCAST_CELLS else cells
+        keys, every = ["seg", "cell", "i", "j"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        near = index.join(cells, ["seg", "cell"]).withColumn("i", F.pmod(F.xxhash64("code"), F.col("rows")).cast("int")).withColumn("j", every("columns")).drop("rows", "columns")
+        probes = probes.join(cells, ["seg", "cell"]).withColumn("j", F.pmod(F.xxhash64("qcode"), F.col("columns")).cast("int")).withColumn("i", every("rows")).drop("rows", "columns")
+        found = near.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_prober(edges, high, r, need), "qcode bigint, code bigint, d bigint, least bigint, n bigint")
         found = found.distinct() if best is None else found.union(best).distinct()
         nearest = Window.partitionBy("qcode").orderBy("d", "least")
-        best = stored(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= need).drop("r"), "best")
-        covered = SEGMENTS * (r + 1) - 1
-        closed = best.filter(F.col("d") <= covered).groupBy("qcode").agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
-        open_ = stored(open_.join(closed, "qcode", "left_anti"), "open")
+        before, best = best, stored(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= need).drop("r"), "best")
+        closed = best.filter(F.col("d") <= m * (r + 1) - 1).groupBy("qcode").agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
+        asked, open_ = open_, stored(open_.join(closed, "qcode", "left_anti"), "open")
+        discard(asked, *([before] if before is not None else []))
         release(spark)
         r += 1
-        if r > BITS or open_.isEmpty():
+        if open_.isEmpty() or r > max(b - a for a, b in zip(edges, edges[1:])):
             break
+    discard(index, held, open_)
     listed = best.join(distinct, "code").groupBy("qcode").agg(F.collect_list(F.struct("d", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id")))))
-    answers = queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("qcode")).join(listed.select("qcode", F.array_sort(flat).alias("near")), "qcode")
+    answers = queries.select(F.col("id").alias("query_id"), F.col("code").alias("qcode")).join(listed.select("qcode", F.array_sort(flat).alias("near")), "qcode")
     own = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return answers.select("query_id", F.posexplode(own).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.col("x.d").cast("int").alias("distance"))
-
-
-def _segment(code: str) -> str:
-    return f"cast((shiftrightunsigned({code}, seg * {BITS}) & {(1 << BITS) - 1}) as int)"
