@@ -8,6 +8,7 @@ its own kind matched and failed its test.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -20,10 +21,9 @@ from .common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, EDGE = 128, 80, 4
-#: The bound of the training sample: documents, and windows of each.
-SAMPLE, SAMPLE_WINDOWS = 1200, 2
-#: Windows trained on: those of the sample, again and again with other variants set in.
-TRAINED = 2400
+#: The bound of the training sample: documents that are read for it, whole, and windows of them that are trained on, again and again with
+#: other variants set in until there are TRAINED.
+SAMPLE, TRAINED = 4800, 2400
 EMBED, HIDDEN = 12, 20
 TAGS = 1 + 2 * len(KINDS)  # outside; then first and further characters of each kind
 CODES = 131  # ASCII, other letters, anything else, padding
@@ -98,7 +98,11 @@ def codes(text: str) -> np.ndarray:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or @. No kind can do without one, so elsewhere every tag but `outside` is ruled out."""
+    """Starts of the windows that hold a digit or @.
+
+    A span without either is never plausible (_plausible), and a span that runs from one of these windows into another has that read too, so
+    reading every window gives the same spans.
+    """
     last = max(0, -(-(len(text) - WINDOW) // STRIDE)) if len(text) > WINDOW else 0
     found: list[int] = []
     done = -1
@@ -267,17 +271,24 @@ def _tags(length: int, spans: Sequence[Span], start: int) -> np.ndarray:
     return y
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS, text: str = "text") -> Tagger:
-    """Trains on windows of at most `sample` documents with a digit or @, the first by a hash of the text; labelled by the patterns' spans, and half of them with a variant set in."""
-    some = docs.select(F.col(text).alias("t")).filter(F.col("t").rlike("[0-9@]")).orderBy(F.xxhash64("t"), F.crc32(F.col("t").cast("binary"))).limit(sample)
+def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Tagger:
+    """Trains on windows labelled by the patterns' spans, over half of them with a variant set in.
+
+    The windows are those of about `sample` whole documents with a digit or @, chosen by a hash of id and text; of their distinct windows
+    the TRAINED first by a hash count. Texts never leave their tasks. The same rows give the same model, however they are partitioned.
+    """
+    signed = docs.filter(F.col(text).rlike("[0-9@]"))
+    n = signed.count()
+    key = F.pmod(F.xxhash64(F.lit(17), *[F.col(c) for c in ("doc_id",) if c in docs.columns], F.col(text)), F.lit(1 << 30))
+    some = signed.filter(key < math.ceil(min(1, sample / max(1, n)) * (1 << 30)))
 
     def make():
-        return lambda raw: [[[s[k : k + WINDOW] for k in _some(windows(s), sample_windows)] for s in (b.decode() for b in raw)]]
+        return lambda raw: [[[s[k : k + WINDOW] for k in windows(s)] for s in (b.decode() for b in raw)]]
 
-    got = [w for r in map_texts(some, make, "windows array<string>", [], "t").collect() for w in r["windows"]]
+    each = map_texts(some, make, "windows array<string>", [], text).select(F.explode("windows").alias("w")).distinct()
+    got = [r["w"] for r in each.orderBy(F.xxhash64("w"), "w").limit(TRAINED).collect()]
     r = np.random.default_rng(13)
-    got = sorted(got) or ["".join(r.choice(list("abcdef ,."), WINDOW)) for _ in range(64)]
-    got = [got[i] for i in r.permutation(len(got))]
+    got = got or ["".join(r.choice(list("abcdef ,."), WINDOW)) for _ in range(64)]
     xs, ys = [], []
     for k in range(TRAINED):
         w = got[k % len(got)]
@@ -294,10 +305,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_windows: int = SAMPLE_WIND
     return Tagger().train(np.array(xs), np.array(ys))
 
 
-def _some(starts: list[int], most: int) -> list[int]:
-    return starts if len(starts) <= most else [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, most).round().astype(int))]
-
-
 def _plausible(kind: str, s: str) -> bool:
     n = len(_digits(s))
     return {"email": "@" in s and len(s) >= 6, "ip": n >= 4 and (s.count(":") >= 3 or s.count(".") >= 3), "card": 16 <= n <= 19 and luhn(_digits(s)), "phone": 9 <= n <= 15}[kind]
@@ -346,11 +353,11 @@ def _whole(length: int, read: dict[int, list[Span]]) -> tuple[set[Span], set[int
     return spans, missing
 
 
-def decode_all(model: Tagger, texts: Sequence[str]) -> list[list[Span]]:
-    """The network's spans of each text, settled over its windows: of overlapping ones the longer stays, then the first."""
+def decode_all(model: Tagger, texts: Sequence[str], first=windows) -> list[list[Span]]:
+    """The network's spans of each text, settled over its windows: of overlapping ones the longer stays, then the first. first: windows to begin with."""
     read: list[dict[int, list[Span]]] = [{} for _ in texts]
     found: list[set[Span]] = [set() for _ in texts]
-    jobs = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
+    jobs = [(i, s) for i, t in enumerate(texts) for s in first(t)]
     while jobs:
         for k in range(0, len(jobs), 512):
             part = jobs[k : k + 512]
