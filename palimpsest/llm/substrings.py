@@ -5,10 +5,11 @@
    to 54 words; pieces with recurring anchors are what is left to look at.
 2. Confirm. The windows of those pieces are counted by anchor and hash (128 bits together), summed up before they are shuffled. Each
    window that recurs has one representative, the least place that holds it: these are the confirmed passages.
-3. Compile. Passages are dealt into shards by anchor. Each shard builds an Aho-Corasick automaton over the words of its passages.
-4. Locate. Every document is streamed, piece by piece, through the shards that its recurring anchors reach. A window is removed where
-   the automaton finds its words at a place other than its representative's, and there the representative is removed as well: so
-   counts only nominate, and words decide. A shard that many pieces or passages reach is cut into blocks of both.
+3. Compile. Passages are dealt into shards by anchor. Each shard builds an Aho-Corasick automaton of its passages' anchor phrases, over words.
+4. Locate. Every document is streamed, piece by piece, through the shards that its recurring anchors reach. Around each phrase that the
+   automaton finds, the windows are compared with the shard's passages, word for word. A window is removed where its words stand at a
+   place other than its representative's, and there the representative is removed as well: so counts only nominate, and words
+   decide. A shard that many pieces or passages reach is cut into blocks of both.
 
 Copies of a text are streamed once, with their number; a piece of a text with copies stands for as many places.
 """
@@ -16,20 +17,21 @@ Copies of a text are streamed once, with their number; a piece of a text with co
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, split_batch, stored
 
 WINDOW, PHRASE = 35, 16
-#: Pieces that a shard has on average, and at most in one of its blocks; passages of one automaton.
-SHARD_PIECES, BLOCK_PIECES, BLOCK_PASSAGES = 1 << 12, 1 << 14, 1 << 16
+#: Pieces that a shard has on average, and at most in one of its blocks; windows of the passages of one automaton.
+SHARD_PIECES, BLOCK_PIECES, BLOCK_PASSAGES = 1 << 13, 1 << 15, 1 << 17
 #: Shards in several blocks of which a table may be broadcast: 24 bytes each.
 BROADCAST_SHARDS = 1 << 17
 _M = 0x9E3779B97F4A7C15
@@ -72,7 +74,7 @@ def least_places(v: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hashed:
-    """Word hashes of a text with at least one window; its pieces: anchor, place of the anchor, first window and end."""
+    """Word hashes of a text with at least one window; its pieces: anchor and the place of its phrase, first window and end."""
 
     def __init__(self, words: list[bytes], window: int, phrase: int) -> None:
         self.words = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -80,7 +82,8 @@ class Hashed:
         place = least_places(value, window - phrase + 1)
         self.first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         self.end = np.append(self.first[1:], len(place))
-        self.anchors = value[place[self.first]].view(np.int64)
+        self.places = place[self.first]
+        self.anchors = value[self.places].view(np.int64)
 
 
 def _texts(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -98,7 +101,12 @@ def _lists(values: np.ndarray, sizes) -> pa.ListArray:
 
 
 def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(a, b, anchor, start, copies, hashes) of texts (a, b, t): the pieces with recurring anchors, once for copies of a text; hashes of their windows."""
+    """(piece, a, b, anchor, start, at, copies, hashes) of texts (a, b, t): the pieces with recurring anchors, once for copies of a text.
+
+    piece: a number of its own; at: place of the anchor phrase in the piece; hashes: of its windows, of which there are at most 32.
+    """
+    if window - phrase + 1 > 32:
+        raise ValueError("a window holds at most 32 phrases")
     spark = texts.sparkSession
 
     def anchors(batches):
@@ -107,15 +115,15 @@ def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> D
             if out:
                 yield _columns("anchor a b place", np.concatenate([x for x, _, _ in out]), *[np.concatenate([np.full(len(x[0]), x[k], np.int64) for x in out]) for k in (1, 2)], np.concatenate([np.arange(len(x), dtype=np.int32) for x, _, _ in out]))
 
-    met = texts.mapInArrow(anchors, "anchor bigint, a bigint, b bigint, place int").groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "place")).alias("at"))
-    alone = met.filter("n = 1").groupBy("at.a", "at.b").agg(F.collect_list("at.place").alias("alone"))
+    met = texts.mapInArrow(anchors, "anchor bigint, a bigint, b bigint, place int").groupBy("anchor").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("a", "b", "place")])
+    alone = met.filter("n = 1").groupBy("a", "b").agg(F.collect_list("place").alias("alone"))
     marks = stored(texts.groupBy("a", "b").agg(F.count("*").alias("copies")).join(alone, ["a", "b"], "left"), "anchors")
     release(spark)
 
     def pieces(batches):
-        seen = set()
+        seen, number = set(), TaskContext.get().partitionId() << 36
         for part, found in _texts(batches, 2):
-            rows, starts, hashes, sizes = [], [], [], []
+            rows, starts, places, hashes, sizes = [], [], [], [], []
             for a, b, copies, alone, words in zip(*[part.column(k).to_pylist() for k in (0, 1, 3)], part.column(4), found):
                 if len(words) < window or copies > 1 and (a, b) in seen:
                     continue
@@ -130,63 +138,77 @@ def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> D
                     whole = mixed(rolling(h.words, window)).view(np.int64)
                     rows.append((a, b, h.anchors[again], copies))
                     starts.append(h.first[again].astype(np.int32))
+                    places.append((h.places - h.first)[again].astype(np.int32))
                     sizes.append(size[again])
                     hashes.append(whole[np.repeat(again, size)])
             if rows:
                 n = [len(x) for x in starts]
                 spread = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), n)
-                yield _columns("a b anchor start copies hashes", spread(0), spread(1), np.concatenate([r[2] for r in rows]), np.concatenate(starts), spread(3), _lists(np.concatenate(hashes), np.concatenate(sizes)))
+                yield _columns("piece a b anchor start at copies hashes", np.arange(number, number + sum(n)), spread(0), spread(1), np.concatenate([r[2] for r in rows]), np.concatenate(starts), np.concatenate(places), spread(3), _lists(np.concatenate(hashes), np.concatenate(sizes)))
+                number += sum(n)
 
     joined = texts.join(marks.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "copies", "alone")
-    out = stored(joined.mapInArrow(pieces, "a bigint, b bigint, anchor bigint, start int, copies bigint, hashes array<bigint>"), "pieces")
+    out = stored(joined.mapInArrow(pieces, "piece bigint, a bigint, b bigint, anchor bigint, start int, at int, copies bigint, hashes array<bigint>"), "pieces")
     discard(marks)
     release(spark)
     return out
 
 
 def representatives(pieces: DataFrame) -> DataFrame:
-    """(a, b, start, anchor, own) of the pieces that hold representatives of recurring windows: own are their places within the piece."""
-    each = pieces.select("a", "b", "anchor", "start", "copies", F.posexplode("hashes").alias("i", "hash"))
-    counted = each.groupBy("anchor", "hash").agg(F.sum("copies").alias("n"), F.min(F.struct("a", "b", "start", "i")).alias("at")).filter("n > 1")
-    return counted.groupBy("at.a", "at.b", "at.start").agg(F.first("anchor").alias("anchor"), F.collect_list("at.i").alias("own"))
+    """(piece, own) of the pieces that hold representatives of recurring windows: bit i of own says that its window i is one."""
+    each = pieces.select("piece", "anchor", "copies", F.posexplode("hashes").alias("i", "hash"))
+    counted = each.groupBy("anchor", "hash").agg(F.sum("copies").alias("n"), F.min(F.shiftleft("piece", 5) + F.col("i")).alias("at")).filter("n > 1")
+    return counted.groupBy(F.shiftright("at", 5).alias("piece")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("own"))
 
 
-def locate(rows: pa.Table, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[tuple[int, int, int, int]]:
     """(a, b, first word, end) of the words that a window found elsewhere covers, in the pieces of one block and at its passages' representatives.
 
-    rows: a, b, start, copies, words (joined by a space), own (a passage's windows, null for a piece that is streamed).
+    rows: a, b, start, at (place of the anchor phrase), copies, words (joined by a space), and own: for a passage the bits of the windows it
+    stands for, null for a piece that is streamed. A piece's windows overlap, so what they cover is one range.
     """
     import ahocorasick
 
     number: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    passages: dict[bytes, tuple[int, int]] = {}  # a window's words: its passage, and its place there
     places: list[tuple[int, int, int]] = []
     streamed = []
-    for a, b, start, copies, words, own in zip(*[rows.column(c).to_pylist() for c in ("a", "b", "start", "copies", "words", "own")]):
-        words = words.split()
+    for row in zip(*[rows.column(c).to_pylist() for c in ("own", "a", "b", "start", "at", "copies", "words")]):
+        own, a, b, start, at, _, raw = row
         if own is None:
-            streamed.append((a, b, start, copies, words))
+            streamed.append(row)
             continue
-        numbers = [number.setdefault(w, len(number) + 1) for w in words]
-        for i in own:
-            automaton.add_word(tuple(numbers[i : i + window]), len(places))
-            places.append((a, b, start + i))
-    if not places:
+        words = raw.split()
+        automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words[at : at + phrase]]))
+        edge = list(accumulate(map(len, words), initial=0))
+        for i in range(own.bit_length()):
+            if own >> i & 1:
+                passages[raw[edge[i] + i : edge[i + window] + i + window - 1]] = (len(places), i)
+        places.append((a, b, start))
+    if not passages:
         return []
     automaton.make_automaton()
-    covered: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for a, b, start, copies, words in streamed:
-        first = start - window + 1
-        for end, k in automaton.iter(tuple([number.get(w, 0) for w in words])):
-            at = places[k]
-            if at != (a, b, first + end) or copies > 1:
-                covered[a, b].add(first + end)
-                covered[at[:2]].add(at[2])
+    met = [0] * len(places)
     out = []
-    for (a, b), starts in covered.items():
-        s = np.sort(np.fromiter(starts, np.int64, len(starts)))
-        cut = np.flatnonzero(np.diff(s) > window)
-        out += [(a, b, int(x), int(y) + window) for x, y in zip(s[np.concatenate(([0], cut + 1))], s[np.append(cut, len(s) - 1)])]
+    get, known, find = number.get, passages.get, automaton.iter
+    for _, a, b, start, _, copies, raw in streamed:
+        words = raw.split()
+        edge, seen, mask = None, 0, 0
+        for end, _ in find(tuple([get(w, 0) for w in words])):
+            edge = edge or list(accumulate(map(len, words), initial=0))
+            first, last = max(seen, end + 1 - window), min(end + 1 - phrase, len(words) - window)
+            for i in range(first, last + 1):
+                found = known(raw[edge[i] + i : edge[i + window] + i + window - 1])
+                if found is not None:
+                    k, j = found
+                    if copies > 1 or i != j or places[k] != (a, b, start):
+                        mask |= 1 << i
+                        met[k] |= 1 << j
+            seen = max(seen, last + 1)
+        if mask:
+            out.append((a, b, start + (mask & -mask).bit_length() - 1, start + mask.bit_length() - 1 + window))
+    out += [(a, b, start + (m & -m).bit_length() - 1, start + m.bit_length() - 1 + window) for (a, b, start), m in zip(places, met) if m]
     return out
 
 
@@ -198,50 +220,58 @@ def repeats(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_
     release(spark)
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
     shard = F.pmod("anchor", F.lit(shards))
-    load = pieces.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).join(own.groupBy(shard.alias("shard")).agg(F.sum(F.size("own")).alias("p")), "shard")
+    places = pieces.select("piece", "a", "b", "anchor", "start", "at", "copies", F.size("hashes").cast("byte").alias("size"))
+    places = stored(places.join(own, "piece", "left"), "places")
+    discard(pieces, own)
+    release(spark)
+    load = places.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.sum(F.bit_count(F.coalesce("own", F.lit(0)))).alias("p"))
     load = load.select("shard", F.ceil(F.col("n") / block_pieces).alias("rows"), F.ceil(F.col("p") / block_passages).alias("columns"))
     full = stored(load.filter("rows > 1 or columns > 1"), "shards")
     n_full = full.count()
 
-    held = pieces.groupBy("a", "b").agg(F.collect_set(F.struct("start", F.size("hashes").alias("size"), "anchor", "copies")).alias("pieces"))
-    held = held.join(own.groupBy("a", "b").agg(F.collect_list(F.struct("start", "own")).alias("passages")), ["a", "b"], "left")
+    held = places.groupBy("a", "b").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("start", "size", "anchor", "at", "own")).alias("pieces"))
 
     def cut(batches):
         seen = set()
         for part, found in _texts(batches, 2):
-            out = []
-            for a, b, held, passages, words in zip(*[part.column(k).to_pylist() for k in (0, 1, 3, 4)], found):
-                if held[0]["copies"] > 1:
+            lists = part.column(4)
+            ends, flat = lists.offsets.to_numpy(zero_copy_only=False), lists.values
+            start, size = (flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("start", "size"))
+            rows, kept, pieces = [], np.zeros(len(flat), bool), []
+            for k, (a, b, copies, words) in enumerate(zip(*[part.column(k).to_pylist() for k in (0, 1, 3)], found)):
+                if copies > 1:
                     if (a, b) in seen:
                         continue
                     seen.add((a, b))
-                mine = {p["start"]: p["own"] for p in passages or ()}
-                for p in held:
-                    start = p["start"]
-                    out.append((a, b, p["anchor"], start, p["copies"], b" ".join(words[start : start + p["size"] + window - 1]), mine.get(start)))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield _columns("a b anchor start copies words own", *[pa.array(c, t) for c, t in zip(zip(*out), kinds)])
+                own = slice(ends[k], ends[k + 1])
+                rows.append((a, b, copies, ends[k + 1] - ends[k]))
+                kept[own] = True
+                raw, edge = b" ".join(words), list(accumulate(map(len, words), initial=0))
+                pieces += [raw[edge[i] + i : edge[j] + j - 1] for i, j in zip(start[own].tolist(), (start[own] + size[own] + window - 1).tolist())]
+            if rows:
+                spread = lambda c: np.repeat(np.array([r[c] for r in rows], np.int64), [r[3] for r in rows])
+                field = lambda c: flat.field(flat.type.get_field_index(c)).filter(pa.array(kept))
+                yield _columns("a b anchor start at copies words own", spread(0), spread(1), field("anchor"), field("start"), field("at"), spread(2), pa.array(pieces, pa.binary()), field("own"))
 
-    streamed = texts.join(held.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "pieces", "passages")
-    streamed = streamed.mapInArrow(cut, "a bigint, b bigint, anchor bigint, start int, copies bigint, words binary, own array<int>").withColumn("shard", shard)
+    streamed = texts.join(held.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "copies", "pieces")
+    streamed = streamed.mapInArrow(cut, "a bigint, b bigint, anchor bigint, start int, at int, copies bigint, words binary, own bigint").withColumn("shard", shard)
     if n_full:  # every block of pieces meets every block of passages
         streamed = streamed.join(F.broadcast(full) if n_full <= BROADCAST_SHARDS else full, "shard", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
     else:
         streamed = streamed.withColumns({"rows": F.lit(1), "columns": F.lit(1)})
     dealt = F.pmod(F.xxhash64("a", "b", "start"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", "a", "start"), F.col("columns")).cast("int")
-    as_piece = F.expr("transform(sequence(0, cast(columns as int) - 1), j -> struct(__i as i, j as j, cast(null as array<int>) as own))")
+    as_piece = F.expr("transform(sequence(0, cast(columns as int) - 1), j -> struct(__i as i, j as j, cast(null as bigint) as own))")
     as_passage = F.expr("transform(sequence(0, cast(rows as int) - 1), i -> struct(i as i, __j as j, own as own))")
     streamed = streamed.withColumns({"__i": dealt[0], "__j": dealt[1]}).withColumn("x", F.explode(F.when(F.col("own").isNull(), as_piece).otherwise(F.concat(as_piece, as_passage))))
-    streamed = streamed.select("shard", "x.i", "x.j", "a", "b", "start", "copies", "words", "x.own")
+    streamed = streamed.select("shard", "x.i", "x.j", "a", "b", "start", "at", "copies", "words", "x.own")
 
     def search(rows: pa.Table) -> pa.Table:
-        out = locate(rows, window)
+        out = locate(rows, window, phrase)
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "hi"])
 
     found = streamed.groupBy("shard", "i", "j").applyInArrow(search, "a bigint, b bigint, lo int, hi int")
     out = stored(found.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "repeats")
-    discard(pieces, own, full)
+    discard(places, full)
     release(spark)
     return out
 

@@ -59,7 +59,6 @@ def test_packing_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     pieces = packing.pack(docs.withColumn("start", F.lit(1)).withColumn("ids", F.lit("x")), path, length=64).toPandas()
     want = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids) + (0,)) for i, x, *_ in corpus())
     got = Counter()
@@ -79,15 +78,19 @@ def test_packing_round_trip(spark, docs, empty):
         rows = rows.sort_values("offset")
         assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 64
     assert packing.pack(empty, path).count() == 0
+    named = packing.pack(spark.createDataFrame([("x-1", "one <|endoftext|> two")], "doc_id string, text string"), path).first()
+    assert named.doc_id == "x-1" and np.frombuffer(named.ids, "<u4").tolist() == [*t.encode("one <|endoftext|> two", add_special_tokens=False).ids, 0] and 50256 in np.frombuffer(named.ids, "<u4")
 
 
 def test_fast_ids_equal_tokenizers():
-    ids, r = packing.Ids(public_tokenizers.path(packing.TOKENIZER)), random.Random(7)
+    from tokenizers import Tokenizer
+
+    ids, plain, r = packing.Ids(public_tokenizers.path(packing.TOKENIZER)), Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), random.Random(7)
     assert ids.merges is not None
     bits = [" ", "  ", "\n", "\t", "a", "b's", "é", "1", ".", "!?", "<|endoftext|>", "\x1c", "日本", "\x00", "\x85", "ſt", "²", "\xa0", "ß", "Don't", "½", "\x7f"]
     for _ in range(3000):
         x = "".join(r.choices(bits, k=r.randint(0, 14)))
-        assert np.frombuffer(ids.of(x), "<u4").tolist() == ids.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
+        assert np.frombuffer(ids.of(x), "<u4").tolist() == plain.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 # Licenses
@@ -110,6 +113,51 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan_licenses(docs, keep=["doc_id"]).filter("license is not null").count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+    return row[-1]
+
+
+def test_alignment_by_brute_force():
+    r = random.Random(15)
+    for _ in range(400):
+        a, b = (r.sample(range(30), r.randint(0, 20)) for _ in range(2))
+        assert len(licenses.align(a, b)) == longest_common(a, b)  # where no word recurs, nothing longer exists
+        a, b = (r.choices(range(12), k=r.randint(0, 20)) for _ in range(2))
+        assert len(licenses.align(a, b)) <= longest_common(a, b)
+        pairs = [(i, y) for i, y in enumerate(r.choices(range(9), k=r.randint(0, 9)))]
+        rising = max((k for k in range(len(pairs) + 1) for c in itertools.combinations(pairs, k) if all(p[1] < q[1] for p, q in zip(c, c[1:]))), default=0)
+        assert len(licenses.longest_rising(pairs)) == rising
+
+
+def test_scan_by_brute_force():
+    """Every stretch of every length, aligned: no better place is missed than the scan finds; and what lies between a license's words does not matter."""
+    r, template = random.Random(16), "one two three four five six seven eight"
+    scanner = licenses.Scanner({"x": template}, 0.75)
+    for _ in range(150):
+        inner = [w.encode() for w in template.split() if r.random() < 0.9]
+        for _ in range(r.choice([0, 0, 2, 30])):
+            inner.insert(r.randrange(len(inner) + 1), b"pad%d" % r.randrange(40))
+        words = [b"w%d" % r.randrange(20) for _ in range(r.randint(0, 9))] + inner + [b"w%d" % r.randrange(20) for _ in range(r.randint(0, 9))]
+        best = max(len(licenses.align(words[i:j], template.encode().split())) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+        found = scanner.scan(words)
+        assert (found[0][4] if found else 0) == (best if best >= 6 else 0)
+
+
+def test_license_ties_and_repeats(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "c d a b")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), {"y": "a b", "x": "c d", "z": "..."}, keep=["doc_id"]).collect()
+    assert [(r.doc_id, r.license, r.licenses) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, "x", "x,y"), (1, "x", "x,y"), (2, "x", "x,y")]
+    whole = {n: t for n, t in licenses.TEMPLATES.items()}
+    out = licenses.Scanner(licenses.TEMPLATES, 1.0)
+    assert all(n in [x[0] for x in out.scan(dec.normal_words(t.encode()))] for n, t in whole.items())
+
+
 # Decontamination
 
 def brute_hits(text, items, window=13):
@@ -127,17 +175,19 @@ def brute_hits(text, items, window=13):
     return len(w), len(hit), len(ids), hashlib.sha256(joined.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 120])
-def test_decontamination(spark, empty, block):
+@pytest.mark.parametrize("block,part", [(4 << 20, 4096), (300, 4096), (700, 26)])
+def test_decontamination(spark, empty, block, part, monkeypatch):
+    monkeypatch.setattr(dec, "PART_WORDS", part)
     r = random.Random(6)
     word = lambda: r.choice(["one", "two", "été", "x9", "Straße", "the"])
     items = [(i, " ".join(word() for _ in range(r.choice([1, 2, 5, 14, 20])))) for i in range(8)] + [(8, None), (9, "..."), (10, "The the, the"), (None, "zz yy"), (3, "again one two")]
+    items = [(str(i) if i is not None else None, t) for i, t in items] + [("a,b", "one two, the"), ("c", "one two the"), ("b", " ".join(word() for _ in range(90)))]
     rows = [(i, " ".join(word() for _ in range(r.randint(0, 50))) + (f" ({items[i % 8][1].upper()})! " if i % 3 else "")) for i in range(30)] + [(30, None), (31, ""), (32, LONG)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_hit", F.lit("clash"))
-    out = dec.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block, keep=["doc_id"]).collect()
+    out = dec.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block, keep=["doc_id"]).collect()
     got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in out}
     assert got == {i: brute_hits(t, items) for i, t in rows}
-    assert dec.decontaminate(empty, spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+    assert dec.decontaminate(empty, spark.createDataFrame(items, "item_id string, text string")).count() == 0
     assert dec.decontaminate(df, spark.createDataFrame([], "item_id bigint, text string")).filter("contaminated").count() == 0
 
 
@@ -160,6 +210,66 @@ def test_quality_held_out(spark, empty):
     assert quality.score(df, quality.fit(empty, labels), keep=["doc_id"]).filter("predicted = 1").count() == 403
 
 
+def small_model(seed=1):
+    r = np.random.default_rng(seed)
+    return quality.Model(r.normal(size=(256, quality.SIZE)), r.normal(size=(quality.WIDTH, quality.SIZE, quality.FILTERS)), r.normal(size=quality.FILTERS), r.normal(size=2 * quality.FILTERS) / 9, -0.3)
+
+
+def brute_score(m, text):
+    """Every filter at every place of the text by loops, the largest of each chunk, then largest and mean over chunks."""
+    n = max(1, -(-len(text) // quality.CHUNK))
+    raw = text + bytes(n * quality.CHUNK + quality.WIDTH - 1 - len(text))
+    pooled = []
+    for c in range(n):
+        best = [0.0] * quality.FILTERS
+        for i in range(c * quality.CHUNK, (c + 1) * quality.CHUNK):
+            total = m.bias.copy()
+            for k in range(quality.WIDTH):
+                total += m.embed[raw[i + k]] @ m.filters[k]
+            best = [max(a, b) for a, b in zip(best, total)]
+        pooled.append(best)
+    z = [max(col) for col in zip(*pooled)] + [sum(col) / n for col in zip(*pooled)]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, m.top)) + m.shift)))
+
+
+def test_quality_by_brute_force(spark):
+    m, r = small_model(), random.Random(5)
+    texts = [None, "", "short", "é" * 300, "".join(chr(r.randrange(32, 400)) for _ in range(700)), "same", "same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for x in quality.score(df, m, keep=["doc_id"]).collect():
+        want = brute_score(m, (texts[x.doc_id] or "").encode())
+        assert abs(x.score - want) < 1e-4 and x.predicted == int(want >= 0.3)
+
+
+def test_quality_gradients():
+    m, r = small_model(4), random.Random(6)
+    rows = [quality.chunks(bytes(r.randrange(97, 110) for _ in range(n))) for n in (5, 400, 900)]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = m.scores([bytes(x[:, : quality.CHUNK].ravel()) for x in rows])
+        return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())
+
+    got = quality.gradients(m, rows, labels)
+    for name, at in (("embed", (100, 3)), ("filters", (2, 1, 5)), ("bias", (7,)), ("top", (3,)), ("top", (20,))):
+        p, old = getattr(m, name), getattr(m, name)[at]
+        slopes = []
+        p[at] = old + 1e-4
+        up = loss()
+        p[at] = old - 1e-4
+        slopes.append((up - loss()) / 2e-4)
+        p[at] = old
+        assert abs(slopes[0] - got[name][at]) < 2e-2 * max(1, abs(got[name][at])), (name, slopes, got[name][at])
+
+
+def test_quality_repeated_labels_and_rows(spark):
+    rows = [(i, ("good words here " if i % 2 else "|| || ||") * 9) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:9] + [(3, "another text of id 3")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] * 2 + [(4, 1, 0)], "doc_id int, quality int, toxic int")
+    one, two = (quality.fit(d, labels) for d in (df, df.repartition(5)))
+    assert all(np.array_equal(getattr(one, n), getattr(two, n)) for n in vars(one))
+
+
 def test_quality_sees_every_byte():
     m = quality.Model(np.eye(256, quality.SIZE), np.random.default_rng(1).normal(size=(quality.WIDTH, quality.SIZE, quality.FILTERS)), np.zeros(quality.FILTERS), np.ones(2 * quality.FILTERS), 0.0)
     m.embed[:] = 0
@@ -179,6 +289,59 @@ def test_rules_and_reputation(spark):
     assert got[5][:3] == got[6][:3] == ("", "", None) and got[8][:2] == ("h", "") and got[9][:3] == ("q.net", "/es", None)
     assert {v[3] for v in got.values()} <= {"allow", "block"}
     assert reputation.judge_urls(df.limit(0)).count() == 0
+    long = "http://" + "sub." * 3000 + "net/fr/" + "x/" * 50000
+    more = spark.createDataFrame([(1, long), (1, long), (2, "http://a.org/"), (2, "http://a.org/")], "page_id int, url string")
+    rows = reputation.judge_urls(more).collect()
+    assert Counter((r.page_id, r.rule, r.verdict) for r in rows)[(1, "net/fr/", "block")] == 2 and len(rows) == 4
+
+
+def brute_reputation(outcomes, z=reputation.Z):
+    """Mean and bound of every host by plain loops over the levels."""
+    def up(table, name):
+        out = defaultdict(list)
+        for key, (k, n) in table.items():
+            out[name(key)].append((k, n))
+        return out
+
+    def strength(children, prior):
+        known = [(k, n) for k, n in children if n]
+        pages, noise = sum(n for _, n in known), prior * (1 - prior)
+        room = pages - sum(n * n for _, n in known) / pages if pages else 0
+        between = (sum(n * (k / n - prior) ** 2 for k, n in known) - (len(known) - 1) * noise) / room if room > 0 else 0
+        return min(max(noise / between - 1 if between > 0 else reputation.MOST_STRENGTH, reputation.LEAST_STRENGTH), reputation.MOST_STRENGTH)
+
+    total = lambda rows: (sum(k for k, _ in rows), sum(n for _, n in rows))
+    suffix = lambda h: ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) in reputation.LONG_SUFFIXES and "." in h else h.split(".")[-1]
+    domain = lambda h: h if len(h.split(".")) <= len(suffix(h).split(".")) + 1 else ".".join(h.split(".")[-len(suffix(h).split(".")) - 1 :])
+    hosts = {h: (sum(g is True for g in gs), sum(g is not None for g in gs)) for h, gs in outcomes.items()}
+    in_domain = up(hosts, domain)
+    domains = {d: total(rows) for d, rows in in_domain.items()}
+    in_suffix = up(domains, suffix)
+    suffixes = {s: total(rows) for s, rows in in_suffix.items()}
+    k, n = total(suffixes.values())
+    prior = (k + 1) / (n + 2)
+    weight = strength(suffixes.values(), prior)
+    mean_s = {s: (k + weight * prior) / (n + weight) for s, (k, n) in suffixes.items()}
+    weight_s = {s: strength(in_suffix[s], mean_s[s]) for s in suffixes}
+    mean_d = {d: (k + weight_s[suffix(d)] * mean_s[suffix(d)]) / (n + weight_s[suffix(d)]) for d, (k, n) in domains.items()}
+    weight_d = {d: strength(in_domain[d], mean_d[d]) for d in domains}
+    out = {}
+    for h, (k, n) in hosts.items():
+        w, m = weight_d[domain(h)], mean_d[domain(h)]
+        mean = (k + w * m) / (n + w)
+        out[h] = (mean, mean - z * (mean * (1 - mean) / (n + w + 1)) ** 0.5)
+    return out
+
+
+def test_reputation_by_brute_force(spark):
+    r, outcomes = random.Random(14), defaultdict(list)
+    hosts = [f"{a}{d}.{s}" for s in ("com", "org", "co.uk", "uk") for d in ("a", "b", "c") for a in ("", "x.", "y.", "z.w.")] + ["", "com", "co.uk", "localhost"]
+    for h in hosts:
+        for _ in range(r.randint(1, 40)):
+            outcomes[h].append(r.choice([True, False, None] if "a." in h else [True, True, True, None, False]))
+    got = reputation.reputation(spark.createDataFrame([(h, g) for h, gs in outcomes.items() for g in gs], "host string, good boolean")).collect()
+    want = brute_reputation(outcomes)
+    assert len(got) == len(want) and all(abs(x.mean - want[x.host][0]) < 1e-9 and abs(x.bound - want[x.host][1]) < 1e-9 for x in got)
 
 
 def test_reputation_shrinks(spark):
@@ -209,6 +372,58 @@ def test_two_pass_shuffle(spark, docs, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(corpus())
 
 
+def brute_order(rows, seed, buckets):
+    """Records of (key, text) in the order of the shuffle: hash, bucket, sorted bucket, Fisher-Yates by a Mersenne Twister seeded with seed + bucket."""
+    def mixed(key, text):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        h = h if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little"), h)
+        return h if text is None else xxhash.xxh64_intdigest(text.encode(), h)
+
+    held = defaultdict(list)
+    for row in rows:
+        h = mixed(*row)
+        held[(h - 2**64 if h >> 63 else h) % buckets].append(row)
+    for b in sorted(held):
+        r = np.random.MT19937()
+        r._legacy_seeding([0, seed + b])
+        records, order = sorted(held[b], key=lambda x: (x[0] is not None, x[0], x[1] is not None, (x[1] or "").encode())), []
+        for i in range(len(records)):
+            n = i + 1
+            if n & -n == n:
+                j = n * (int(r.random_raw()) >> 1) >> 31
+            else:
+                while True:
+                    bits = int(r.random_raw()) >> 1
+                    j = bits % n
+                    if bits - j + n - 1 < 2**31:
+                        break
+            order.append(None)
+            order[i] = order[j]
+            order[j] = i
+        yield from (records[k] for k in order)
+
+
+@pytest.mark.parametrize("partitions", ["3", "9"])
+def test_shuffle_places_by_brute_force(spark, docs, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)  # places do not depend on it
+    got = sharding.two_pass_shuffle(docs.select("doc_id", "text"), shards=3, seed=11, least_buckets=8).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = list(brute_order([(i, t) for i, t, *_ in corpus()], 11, 8))
+    assert {r.slot * 3 + r.shard: (r.doc_id, r.text) for r in got} == dict(enumerate(want)) and len(got) == len(want)
+
+
+def test_shuffle_scatters_equal_rows(spark):
+    rows = [(1, "same")] * 500 + [(2, None)] * 30 + [(i, f"text {i}") for i in range(3, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    places = lambda d, **b: sorted((r.shard, r.slot, r.doc_id, r.text or "") for r in sharding.two_pass_shuffle(d, shards=4, least_buckets=16, **b).collect())
+    got = places(df, most_copies=25)
+    assert Counter((i, t) for _, _, i, t in got) == Counter((i, t or "") for i, t in rows) and got == places(df.repartition(7), most_copies=25)
+    assert sorted(s * 4 + k for k, s, *_ in got) == list(range(len(rows)))
+    at = sorted(s * 4 + k for k, s, i, _ in got if i == 1)
+    assert max(b - a for a, b in zip(at, at[1:])) < 60 and places(df)[0] is not None
+
+
 # Top-k
 
 def test_hamming_topk(spark):
@@ -223,6 +438,11 @@ def test_hamming_topk(spark):
         got[x.query_id].append((x.distance, x.neighbour_id))
     want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:5] for q in codes if q % 20 == 0}
     assert dict(got) == want
+    wide = df.union(df).withColumn("note", F.monotonically_increasing_id())  # extra columns make repeated rows differ
+    blocks = topk.hamming_topk(wide, wide.filter("id % 20 = 0"), 5, block_codes=20, block_queries=3)
+    assert Counter(tuple(x) for x in blocks.collect()) == Counter((q, k + 1, i, d) for q, near in want.items() for k, (d, i) in enumerate(near))
+    odd = df.union(spark.createDataFrame([(None, 5), (900, None)], "id bigint, code bigint"))
+    assert topk.hamming_topk(odd, odd.filter("id is null or id % 300 = 0"), 5).count() == 5 * 2
     few = spark.createDataFrame([(0, 1), (20, 3), (1, 0)], "id bigint, code bigint")
     assert topk.hamming_topk(few, few.filter("id % 20 = 0")).count() == 4
     assert topk.hamming_topk(df.limit(0), df).count() == 0
@@ -310,12 +530,12 @@ def test_full_shards_are_cut_into_blocks(spark, docs):
 
 def test_words_decide_not_hashes():
     """A passage nominated by a colliding hash is not removed: no other place holds its words."""
-    row = lambda a, words, own, copies=1: {"a": a, "b": 0, "start": 0, "copies": copies, "words": words, "own": own}
+    row = lambda a, words, own, copies=1: {"a": a, "b": 0, "start": 0, "at": 1, "copies": copies, "words": words, "own": own}
     table = lambda *rows: pa.Table.from_pylist(list(rows))
     one, two = b"a b c d e f", b"a b c x e f"
-    assert substrings.locate(table(row(1, one, [0]), row(1, one, None), row(2, two, None)), 5) == []
-    assert sorted(substrings.locate(table(row(1, one, [0]), row(1, one, None), row(2, b"z a b c d e", None)), 5)) == [(1, 0, 0, 5), (2, 0, 1, 6)]
-    assert substrings.locate(table(row(1, one, [1]), row(1, one, None, 2)), 5) == [(1, 0, 1, 6)]
+    assert substrings.locate(table(row(1, one, 1), row(1, one, None), row(2, two, None)), 5, 3) == []
+    assert sorted(substrings.locate(table(row(1, one, 1), row(1, one, None), row(2, b"z a b c d e", None)), 5, 3)) == [(1, 0, 0, 5), (2, 0, 1, 6)]
+    assert set(substrings.locate(table(row(1, one, 2), row(1, one, None, 2)), 5, 3)) == {(1, 0, 1, 6)}
 
 
 def test_rolling_and_least_places():
@@ -410,6 +630,9 @@ def test_written_variants_are_found(spark):
         head = "Please write to the office at "
         look = "(" if "(" in form else " @ " if " @ " in form else " dot " if " dot " in form else "00" if kind == "phone" else kind
         cases.append((look, f"{head}{form} and wait for an answer.", (kind, len(head), len(head) + len(form))))
+    texts = [t + " nothing here " * 30 + t for _, t, _ in cases[:60]] + [t for _, t in rows[:20]] + ["no sign in here at all " * 30]
+    every = lambda t: [*range(0, max(0, -(-(len(t) - pii.WINDOW) // pii.STRIDE)) * pii.STRIDE + 1, pii.STRIDE)]
+    assert pii.decode_all(model, texts) == pii.decode_all(model, texts, every)  # windows without a sign add nothing
     found, total = Counter(), Counter(look for look, _, _ in cases)
     for (look, _, span), (base, spans) in zip(cases, pii.find(model, [t for _, t, _ in cases])):
         assert span not in base
