@@ -220,34 +220,37 @@ def align_blocks(blocks: DataFrame, pair: str = "pair_id", threshold: float = MO
     return keyed.groupBy(pair).applyInPandas(run, f"{pair} {blocks.schema[pair].dataType.simpleString()}, seq int, operation string, original_seq int, revised_seq int, similarity double")
 
 
-def near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5, most_docs: int = 20) -> DataFrame:
-    """FX2: (pair_id, original_doc_id, revised_doc_id, kind) of documents that share words: exact (equal B3 text) and near (half of the smaller one's 8-word phrases, rare ones only).
+def block_changes(matches: DataFrame, original: DataFrame, revised: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """I6 (dormant): the changes of align_blocks, CHG-0001 on, with texts, block ids, places, section path, revised-side fragments and confidence.
 
-    The rarity bound is the fixture's definition of a near copy. Phrases are counted first, so none held by many documents is ever joined.
+    original and revised are processed blocks (pair, seq, page_index, block_index, text, x0, y0, x1, y1, section_path). A replaced block's
+    path is the revised one's, unless it has none; its confidence is the likeness, every other change's is 1.
     """
-    keyed = docs.select("doc_id", X.block_key(F.col("text")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("original_doc_id"))
-    exact = keyed.join(heads, "key").filter("doc_id > original_doc_id").select("original_doc_id", F.col("doc_id").alias("revised_doc_id"), F.lit("exact").alias("kind"))
-    phrases = keyed.select("doc_id", F.explode(F.array_distinct(X.windows_of(F.split("key", " "), size))).alias("g")).select("doc_id", F.xxhash64("g").alias("g"))
-    sizes = phrases.groupBy("doc_id").agg(F.count("*").alias("n"))
-    rare = phrases.groupBy("g").agg(F.count("*").alias("c")).filter((F.col("c") > 1) & (F.col("c") < most_docs)).select("g")
-    held = phrases.join(rare, "g")
-    met = held.alias("x").join(held.alias("y"), "g").filter("x.doc_id < y.doc_id").groupBy(F.col("x.doc_id").alias("original_doc_id"), F.col("y.doc_id").alias("revised_doc_id")).agg(F.count("*").alias("shared"))
-    met = met.join(sizes.select(F.col("doc_id").alias("original_doc_id"), F.col("n").alias("n_o")), "original_doc_id").join(sizes.select(F.col("doc_id").alias("revised_doc_id"), F.col("n").alias("n_r")), "revised_doc_id")
-    near = met.filter(F.col("shared") >= least * F.least("n_o", "n_r")).join(exact, ["original_doc_id", "revised_doc_id"], "left_anti").select("original_doc_id", "revised_doc_id", F.lit("near").alias("kind"))
-    return exact.unionByName(near).withColumn("pair_id", F.concat_ws("-", "original_doc_id", "revised_doc_id"))
-
-
-def whole_near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5) -> DataFrame:
-    """near_copy_pairs without the rarity bound: every pair that shares `least` of the smaller one's phrases, however common these are.
-
-    A text that shares so many phrases with another shares one of any n - ceil(least * n) + 1 of its n; its rarest ones find the
-    candidates, whose phrases are then compared. Equal texts are compared once. The result holds all pairs of a group, so it grows with the group's square.
+    cols = ["page_index", "block_index", "text", "x0", "y0", "x1", "y1", "section_path"]
+    side = lambda df, s: df.select(pair, F.col("seq").alias(f"{s}_seq"), F.struct(*cols).alias(s))
+    rows = matches.filter("operation <> 'unchanged'").join(side(original, "original"), [pair, "original_seq"], "left").join(side(revised, "revised"), [pair, "revised_seq"], "left")
+    name = lambda s: F.when(F.col(s).isNotNull(), F.format_string("page-%d-block-%d", F.col(f"{s}.page_index"), F.col(f"{s}.block_index")))
+    path = F.when(F.size("revised.section_path") > 0, F.col("revised.section_path")).otherwise(F.coalesce("original.section_path", F.array().cast("array<string>")))
+    kind = F.when(F.col("operation") == "insert", "added").when(F.col("operation") == "delete", "deleted").otherwise("modified")
+    rows = rows.withColumns({"change_type": kind, "original_text": F.col("original.text"), "revised_text": F.col("revised.text"), "section_path": path})
+    n = F.row_number().over(Window.partitionBy(pair).orderBy("seq"))
+    rows = rows.withColumns({"change_id": F.format_string("CHG-%04d", n), "original_block_id": name("original"), "revised_block_id": name("revised"), "confidence": F.when(F.col("change_type") == "modified", F.col("similarity")).otherwise(1.0)})
+    place = lambda s: F.when(F.col(s).isNotNull(), F.struct(*[F.col(f"{s}.{c}") for c in cols if c not in ("text", "section_path")], F.array_join("section_path", " > ").alias("section"))).alias(f"{s}_location")
+    rows = rows.select(pair, "change_id", "change_type", "original_text", "revised_text", "original_block_id", "revised_block_id", place("original"), place("revised"), "section_path", "similarity", "confidence")
+    changed = searchable_changes(rows.filter("change_type = 'modified'"), "original_text", "revised_text").withColumnRenamed("searchable", "fragments")
+    return changed.unionByName(rows.filter("change_type <> 'modified'").withColumn("fragments", F.array().cast("array<string>")))
+
+
+def near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5) -> DataFrame:
+    """FX2: (pair_id, original_doc_id, revised_doc_id, kind): exact copies (equal B3 text) with the first document of their text, and pairs of
+    such first documents that share half of the smaller one's 8-word phrases (near), however common these are.
+
+    A text that shares so many phrases with another shares one of any n - ceil(least * n) + 1 of its n; its rarest ones find the candidates,
+    whose phrases are then compared. Copies are never expanded into pairs: a copy's links are those of its first document.
     """
-    keyed = docs.select("doc_id", X.block_key(F.col("text")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head")).filter("key is not null")
-    members = stored(keyed.join(heads, "key").select("doc_id", "head"), "members")
-    exact = members.filter("doc_id > head").select(F.col("head").alias("original_doc_id"), F.col("doc_id").alias("revised_doc_id"), F.lit("exact").alias("kind"))
+    keyed = docs.select("doc_id", X.block_key(F.col("text")).alias("key")).filter("key is not null")
+    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"))
+    exact = keyed.join(heads, "key").filter("doc_id > head").select(F.col("head").alias("original_doc_id"), F.col("doc_id").alias("revised_doc_id"), F.lit("exact").alias("kind"))
     sets = heads.select("head", F.array_distinct(F.transform(X.windows_of(F.split("key", " "), size), lambda g: F.xxhash64(g))).alias("gs"))
     sets = stored(sets.withColumn("n", F.size("gs")).filter("n > 0"), "phrases")
     phrases = sets.select("head", "n", F.explode("gs").alias("g"))
@@ -258,12 +261,8 @@ def whole_near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5) ->
     first = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
     met = first.alias("x").join(held.alias("y"), "g").filter("x.n < y.n or x.n = y.n and x.head <> y.head").select(F.least("x.head", "y.head").alias("a"), F.greatest("x.head", "y.head").alias("b")).distinct()
     side = lambda h: sets.select(F.col("head").alias(h), F.col("gs").alias(f"g_{h}"), F.col("n").alias(f"n_{h}"))
-    near = met.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("g_a", "g_b")) >= least * F.least("n_a", "n_b")).select("a", "b")
-    of = lambda h, d: members.select(F.col("head").alias(h), F.col("doc_id").alias(d))
-    apart = near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
-    copies = members.filter("doc_id > head").join(sets.select("head"), "head", "left_semi").select("head", F.col("doc_id").alias("x"))
-    copies = copies.join(members.select("head", F.col("doc_id").alias("y")), "head").filter("x < y").select("x", "y")
-    near = apart.unionByName(copies).select(F.least("x", "y").alias("original_doc_id"), F.greatest("x", "y").alias("revised_doc_id"), F.lit("near").alias("kind"))
+    near = met.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("g_a", "g_b")) >= least * F.least("n_a", "n_b"))
+    near = near.select(F.col("a").alias("original_doc_id"), F.col("b").alias("revised_doc_id"), F.lit("near").alias("kind"))
     return exact.unionByName(near).withColumn("pair_id", F.concat_ws("-", "original_doc_id", "revised_doc_id"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..session import stored
 
 #: Terms and names that are exchanged, the first one present in this order.
 MONTHS = "January February March April May June July August September October November December".split()
@@ -17,6 +18,7 @@ PERIOD_WORDS = "confidential confidentiality termination liability indemnity not
 #: The mutation types of a benchmark in their cycle.
 CYCLE = ["amount changed", "date changed", "number changed", "party name changed", "jurisdiction changed", "sentence added", "sentence deleted", "phrase modified", "termination period changed", "liability cap changed"]
 
+#: What an amount, a date, a lone number and a period look like.
 AMOUNT = r"(?:US\$|\$|USD\s*)\s?[0-9][0-9,]*(?:\.[0-9]+)?"
 DATE = r"\b(?:" + "|".join(MONTHS) + r")\s+[0-9]{1,2},\s+[0-9]{4}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b"
 NUMBER = r"(?U)(?<![\w.])(?:[2-9]|[1-9][0-9]|[1-9][0-9]{2})(?![\w.])"
@@ -145,19 +147,41 @@ def all_mutations(paragraphs: DataFrame, text: str = "paragraph") -> DataFrame:
     return paragraphs.select("*", F.explode(every).alias("__m")).select("*", "__m.*").drop("__m")
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with __k, their number from 0 in this order: sorted by ranges, then numbered within each range beyond the sizes of those before it."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stored(sorted_.withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = parts.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return parts.withColumn("__at", place).join(base, "__p").withColumn("__k", F.col("__base") + F.col("__at")).drop("__p", "__base", "__at")
+
+
 def build_cases(paragraphs: DataFrame, wanted: int, order: list[str], text: str = "paragraph") -> DataFrame:
     """Round robin: attempt k takes paragraph k mod n and type k mod 10; the first `wanted` attempts that apply are the cases. At most max(20 * wanted, 10 * n) attempts.
 
-    The round robin is a join on the paragraph's number, so attempts are rows and not a loop.
+    The round robin is a join on the paragraph's number, so attempts are rows and not a loop. The first paragraphs are tried by themselves,
+    more of them as long as too few apply; only then are all of them numbered.
     """
-    numbered = paragraphs.withColumn("__k", F.row_number().over(Window.orderBy(*order)) - 1)
-    n = numbered.count()
+    spark, n = paragraphs.sparkSession, paragraphs.count()
     if not n:
-        return paragraphs.sparkSession.createDataFrame([], "case_id string, attempt bigint, original_text string, mutation_type string, change_type string, revised_text string, expected_highlight string")
-    attempts = paragraphs.sparkSession.range(max(20 * wanted, 10 * n)).withColumnRenamed("id", "attempt").withColumn("__k", F.col("attempt") % n).withColumn("__type", F.col("attempt") % len(CYCLE))
-    pick = F.lit(None)
-    for i, kind in reversed(list(enumerate(CYCLE))):
-        pick = F.when(F.col("__type") == i, MUTATIONS[kind](F.col(text))).otherwise(pick) if i < len(CYCLE) - 1 else F.when(F.col("__type") == i, MUTATIONS[kind](F.col(text)))
-    rows = attempts.join(numbered, "__k").withColumn("__m", pick).filter(F.col("__m").isNotNull()).orderBy("attempt").limit(wanted)
-    case = F.format_string("case_%04d", F.row_number().over(Window.orderBy("attempt")))
-    return rows.withColumn("case_id", case).select("case_id", "attempt", F.col(text).alias("original_text"), "__m.*")
+        return spark.createDataFrame([], "case_id string, attempt bigint, original_text string, mutation_type string, change_type string, revised_text string, expected_highlight string")
+
+    def cases(numbered: DataFrame, attempts: int) -> DataFrame:
+        tried = spark.range(attempts).withColumnRenamed("id", "attempt").withColumn("__k", F.col("attempt") % n).withColumn("__type", F.col("attempt") % len(CYCLE))
+        pick = F.when(F.col("__type") == 0, MUTATIONS[CYCLE[0]](F.col(text)))
+        for i, kind in enumerate(CYCLE[1:], 1):
+            pick = pick.when(F.col("__type") == i, MUTATIONS[kind](F.col(text)))
+        rows = tried.join(numbered, "__k").withColumn("__m", pick).filter(F.col("__m").isNotNull()).orderBy("attempt").limit(wanted)
+        case = F.format_string("case_%04d", F.row_number().over(Window.orderBy("attempt")))  # over the wanted cases
+        return rows.withColumn("case_id", case).select("case_id", "attempt", F.col(text).alias("original_text"), "__m.*")
+
+    most = max(20 * wanted, 10 * n)
+    some = 2 * wanted
+    while some < min(n, 32 * wanted):
+        first = paragraphs.orderBy(*order).limit(some).withColumn("__k", F.row_number().over(Window.orderBy(*order)) - 1)  # `some` rows
+        found = stored(cases(first, some), "cases")
+        if found.count() == wanted:
+            return found
+        some *= 4
+    return cases(_numbered(paragraphs, order), most)
