@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from textwrap import wrap
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -115,9 +118,9 @@ def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@pandas_udf(T.StringType())
-def casefold_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else s.casefold())
+def compatible(text: Column) -> Column:
+    """B1's compatibility step: NFKC. ASCII texts never go to Python."""
+    return F.coalesce(nfkc_udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def _half_even(value: float | None, digits: int) -> float | None:
@@ -353,3 +356,38 @@ def first_free_udf(i: pd.Series, j: pd.Series) -> pd.Series:
         return keep
 
     return pd.Series([choose(x, y) for x, y in zip(i, j)])
+
+
+@pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def section_paths_udf(levels: pd.Series, titles: pd.Series) -> pd.Series:
+    """The path at each heading of a document: a heading of level k follows the first k - 1 titles of the path before it."""
+
+    def of(ks, ts):
+        path, out = [], []
+        for k, t in zip(ks, ts):
+            path = [*path[: max(k - 1, 0)], t]
+            out.append(path)
+        return out
+
+    return pd.Series([of(k, t) for k, t in zip(levels, titles)])
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def wrapped_udf(text: pd.Series, width: pd.Series) -> pd.Series:
+    """Lines of a paragraph, broken at white space, hyphens or, in longer words, anywhere, at most `width` characters each."""
+    return pd.Series([None if t is None else wrap(t, int(w)) for t, w in zip(text, width)])
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("y", T.DoubleType())])))
+def pages_of_udf(rows: pd.Series, margin: pd.Series, pitch: pd.Series, height: pd.Series) -> pd.Series:
+    """Page and height of each written row of a document; a row that begins below the bottom margin starts a page at the top margin."""
+
+    def of(places, top, step, size):
+        page, shift, out = 0, 0, []
+        for k in places:
+            if top + step * (k - shift) > size - top:
+                page, shift = page + 1, k
+            out.append({"page": page, "y": top + step * (k - shift)})
+        return out
+
+    return pd.Series([of(*x) for x in zip(rows, margin, pitch, height)])

@@ -17,6 +17,7 @@ DISPLAY_MAP = {"\u00a0": " ", "–": "-", "—": "-"} | QUOTES
 #: Words too common to search for alone.
 SEARCH_STOP_WORDS = "a an and are as at be by for from in is it of on or that the to with".split()
 EDGE_STOP_WORDS = "the and of in to for with this that using a an".split()
+COMMON_WORDS = "a an and are as at be by for from in is it of on or that the this to with".split()
 UNIT_WORDS = "day days month months year years percent percentage dollar dollars usd eur gbp".split()
 #: What counts as part of a word in any script: letters, numbers of any kind, and _.
 WORD = r"\p{L}\p{N}_"
@@ -40,13 +41,29 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding does beyond lower case, by rule: to single characters, and to several."""
+    one, several = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        low, fold = c.lower(), c.casefold()
+        if len(low) == 1 and fold != low:
+            (one if len(fold) == 1 else several)[low] = fold
+    return one, several
+
+
+FOLD_ONE, FOLD_SEVERAL = _foldings()
+
+
 def casefold(text: Column) -> Column:
-    """Case folding for the scripts at hand: lower case, and ß as ss. For any other script use kernels.casefold_udf."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then what folding changes beyond it, such as ß to ss. Only texts with characters that become several are taken apart."""
+    low = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    table = F.map_from_arrays(F.split(F.lit(" ".join(FOLD_SEVERAL)), " "), F.split(F.lit(" ".join(FOLD_SEVERAL.values())), " "))
+    apart = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(low.rlike("[" + "".join(FOLD_SEVERAL) + "]"), apart).otherwise(low)
 
 
 def display_text(text: Column) -> Column:
-    """B1 without the compatibility step (kernels.nfkc_udf): white space, quotes and dashes made plain; case kept."""
+    """B1 after the compatibility step (kernels.display_udf has both): white space, quotes and dashes made plain; case kept."""
     return collapse(_mapped(text, DISPLAY_MAP))
 
 
@@ -246,6 +263,65 @@ def visual_fragment(text: Column) -> Column:
     return F.when(F.size(found) == 0, F.lit(False)).when(number_like(key), F.lit(True)).otherwise((F.length(key) >= 8) & edges)
 
 
+def common_word(word: Column) -> Column:
+    """A word that says nothing by itself."""
+    return alignment_key(word).isin(*COMMON_WORDS)
+
+
+def _highlight_word(word: Column) -> Column:
+    key = alignment_key(word)
+    return F.when(key.rlike("^[0-9]+$"), F.length(key) >= 2).otherwise((F.length(key) >= 8) & ~key.isin(*COMMON_WORDS))
+
+
+def highlight_phrase(phrase: Column) -> Column:
+    """D13 for highlights by search: 8 to 96 characters without common words at the edges and with a word worth finding, or a lone number of two digits or more."""
+
+    def of(found: Column) -> Column:
+        first = alignment_key(F.element_at(found, 1))
+        short = (F.size(found) == 1) & first.rlike("^[0-9]{2,}$")
+        inner = ~common_word(F.element_at(found, 1)) & ~common_word(F.element_at(found, -1)) & F.exists(found, _highlight_word)
+        several = F.when(F.size(found) == 1, _highlight_word(F.element_at(found, 1))).otherwise(inner)
+        return F.when(F.size(found) == 0, F.lit(False)).when(F.length(phrase) < 8, short).when(F.length(phrase) > 96, F.lit(False)).otherwise(several)
+
+    return let(fragment_words(phrase), of)
+
+
+def visual_fragments(text: Column) -> Column:
+    """I8 for highlights: common words off the edges; up to four words as they are, else all runs of four words worth finding, or of three if none of four is."""
+    none = F.array().cast("array<string>")
+
+    def of(plain: Column, found: Column) -> Column:
+        phrase = F.array_join(found, " ")
+        runs = lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(found, i, n), " ")), highlight_phrase)
+        best = let(runs(4), lambda four: F.when(F.size(four) > 0, four).otherwise(runs(3)))
+        many = let(best, lambda b: F.when(F.size(b) > 0, first_by_key(b, alignment_key)).when(highlight_phrase(plain), F.array(plain)).otherwise(none))
+        kept = F.when(highlight_phrase(phrase), F.array(phrase)).otherwise(none)
+        single = F.when(_highlight_word(F.element_at(found, 1)), found).otherwise(none)
+        return F.when(F.size(found) == 0, none).when(F.size(found) == 1, single).when(F.size(found) <= 4, kept).otherwise(many)
+
+    return let(visual_text(text), lambda plain: let(trim_edges(fragment_words(plain), COMMON_WORDS), lambda found: of(plain, found)))
+
+
+def render_fragment(fragment: Column) -> Column:
+    """D13 for the renderer of word changes: a digit anywhere, or 8 characters and 8 words at most."""
+    found = fragment_words(fragment, money=True)
+    return (F.size(found) > 0) & (number_like(fragment) | ((F.length(fragment) >= 8) & (F.size(found) <= 8)))
+
+
+def change_fragments(change_type: Column, revised: Column, fragments: Column, confidence: Column) -> Column:
+    """K8: what to search for on the page of a change: an added text, a modified one's fragments, or without any its revised text if the confidence is 0.9 or more."""
+    none = F.array().cast("array<string>")
+    whole = F.when(F.coalesce(F.length(revised) > 0, F.lit(False)), F.array(revised)).otherwise(none)
+    some = F.when(F.size(fragments) > 0, fragments).when(confidence >= 0.9, F.when(revised.isNotNull(), F.array(revised)).otherwise(none)).otherwise(none)
+    candidates = F.when(change_type == "added", whole).when(change_type.isin("modified", "uncertain"), some).otherwise(none)
+
+    def of(candidate: Column) -> Column:
+        clean = F.regexp_replace(collapse(candidate), r"^[.,;:!? ]+|[.,;:!? ]+$", "")
+        return let(clean, lambda c: F.when(c == "", none).otherwise(first_by_key(F.concat(F.when(render_fragment(c), F.array(c)).otherwise(none), visual_fragments(c)), alignment_key)))
+
+    return first_by_key(F.flatten(F.transform(candidates, of)), alignment_key)
+
+
 def context_markdown(kind: Column, before: Column, deleted: Column, inserted: Column, after: Column) -> Column:
     """The words around a change, deleted text as ~~text~~, inserted text as ++text++, or plain where it replaces."""
     gone = F.when((kind != "insert") & (deleted != ""), F.concat(F.lit("~~"), deleted, F.lit("~~")))

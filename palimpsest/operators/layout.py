@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels as K
 from ..functions import patterns as P
 from ..functions import text as X
 
@@ -69,10 +70,14 @@ def typed(blocks: DataFrame) -> DataFrame:
 def section_paths(blocks: DataFrame) -> DataFrame:
     """Blocks with section_path: headings above, one for each level, carried over pages; margins and noise have none."""
     body = ~F.col("block_type").isin("header", "footer", "noise")
-    mark = F.when(body & (F.col("block_type") == "heading"), F.struct(P.heading_level(F.col("text")).alias("level"), X.collapse(F.col("text")).alias("title")))
-    above = F.collect_list(mark).over(Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, 0))
-    path = F.aggregate("__above", F.array().cast("array<string>"), lambda acc, h: F.concat(F.slice(acc, 1, F.greatest(h["level"] - 1, F.lit(0))), F.array(h["title"])))
-    return blocks.withColumn("__above", above).withColumn("section_path", F.when(body, path).otherwise(F.array().cast("array<string>"))).drop("__above")
+    heads = blocks.filter(body & (F.col("block_type") == "heading"))
+    heads = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "place", P.heading_level(F.col("text")).cast("int").alias("level"), X.collapse(F.col("text")).alias("title")))).alias("h"))
+    paths = heads.select("doc_id", F.explode(F.arrays_zip("h", K.section_paths_udf("h.level", "h.title").alias("path"))).alias("x"))
+    paths = paths.select("doc_id", F.col("x.h.page_index").alias("page_index"), F.col("x.h.place").alias("place"), F.col("x.path").alias("__path"))
+    above = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, 0)
+    none = F.array().cast("array<string>")
+    b = blocks.join(paths, ["doc_id", "page_index", "place"], "left").withColumn("__path", F.last("__path", ignorenulls=True).over(above))
+    return b.withColumn("section_path", F.when(body, F.coalesce("__path", none)).otherwise(none)).drop("__path")
 
 
 def processed_blocks(words: DataFrame) -> DataFrame:
@@ -97,6 +102,23 @@ def word_tokens(words: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def adapted_documents(blocks: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A10: pages (doc_id, page_number, text) and documents (doc_id, title, full_text) of processed blocks.
+
+    A page is its blocks' texts in order with a blank line between them, or where it has none the raw page text of raw(doc_id, page_number,
+    text). The title is the first heading; without one it is null.
+    """
+    text = P.strip(F.array_join("lines", "\n"))
+    full = blocks.withColumn("__t", text).filter("__t <> ''").groupBy("doc_id", (F.col("page_index") + 1).alias("page_number"))
+    joined = full.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "__t"))), lambda x: x["__t"]), "\n\n").alias("__text"))
+    pages = raw.select("doc_id", "page_number", "text").join(joined, ["doc_id", "page_number"], "full")
+    pages = pages.select("doc_id", "page_number", F.coalesce("__text", P.strip(F.col("text")), F.lit("")).alias("text"))
+    whole = P.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\n\n"))
+    title = F.min(F.when((F.col("block_type") == "heading") & (P.strip(F.col("text")) != ""), F.struct("page_index", "place", P.strip(F.col("text")).alias("title"))))
+    titles = blocks.groupBy("doc_id").agg(title.alias("h")).select("doc_id", F.col("h.title").alias("title"))
+    return pages, pages.groupBy("doc_id").agg(whole.alias("full_text")).join(titles, "doc_id", "left").select("doc_id", "title", "full_text")
+
+
 def page_info(words: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each page's first token and the one after its last; null for pages without tokens."""
     pages = words.select("doc_id", (F.col("page_index") + 1).alias("page_number")).distinct()
@@ -182,12 +204,17 @@ def token_rects(tokens: DataFrame, keys: list[str], gap: float = 4.0, pad: float
     return rects.withColumn("rect", F.row_number().over(Window.partitionBy(*keys, "page_number").orderBy("y0", "x0", "x1")))
 
 
-def merge_nearby(rects: DataFrame, keys: list[str], line: float = 2.0, gap: float = 2.0) -> DataFrame:
-    """K2: rectangles in order of y0, x0 joined to the one before on the same line (y0 within 2) and no more than 2 apart."""
-    w = Window.partitionBy(*keys).orderBy("y0", "x0")
-    new = ~F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(w)) <= line) & (F.col("x0") - F.lag("x1").over(w) <= gap), F.lit(False))
-    r = rects.withColumn("__g", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.groupBy(*keys, "__g").agg(*merged_box()).drop("__g")
+def merge_nearby(rects: Column, line: float = 2.0, gap: float = 2.0) -> Column:
+    """K2: an array of rectangles, in order of y0 and x0, each joined to the merged one before it if y0 and y1 differ by 2 at most and it begins no more than 2 beyond its end."""
+    order = F.transform(F.array_sort(F.transform(rects, lambda r, i: F.struct(r["y0"].alias("y0"), r["x0"].alias("x0"), i.alias("i"), r["x1"].alias("x1"), r["y1"].alias("y1")))), lambda r: F.struct(r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1")))
+
+    def join(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        near = (F.abs(last["y0"] - r["y0"]) <= line) & (F.abs(last["y1"] - r["y1"]) <= line) & (r["x0"] - last["x1"] <= gap)
+        grown = F.struct(F.least(last["x0"], r["x0"]).alias("x0"), F.least(last["y0"], r["y0"]).alias("y0"), F.greatest(last["x1"], r["x1"]).alias("x1"), F.greatest(last["y1"], r["y1"]).alias("y1"))
+        return F.when(F.coalesce(near, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(order, F.slice(order, 1, 0), join)
 
 
 def distinct_rects(rects: Column, near: float = 2.0) -> Column:
@@ -212,17 +239,16 @@ def deletion_marker(x0: Column, y0: Column, version: int = 2) -> Column:
     return F.struct(*[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))])
 
 
-def overlaps(a: str, b: str) -> Column:
-    """Do two boxes, columns named a.x0 and so on, meet?"""
-    c = lambda s, n: F.col(f"{s}.{n}")
-    return (c(a, "x0") < c(b, "x1")) & (c(b, "x0") < c(a, "x1")) & (c(a, "y0") < c(b, "y1")) & (c(b, "y0") < c(a, "y1"))
+def overlaps(a: Column, b: Column) -> Column:
+    """Do two boxes meet?"""
+    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
 
 
 def span_boxes(annotations: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Each annotation's span ids with their boxes; a missing span gives a warning."""
     each = annotations.select(*keys, "annotation_id", F.explode("span_ids").alias("span_id"))
     got = each.join(spans.select(*keys, "span_id", "x0", "y0", "x1", "y1"), [*keys, "span_id"], "left")
-    return got.withColumn("warning", F.when(F.col("x0").isNull(), F.lit("MISSING_SPAN_BBOX")))
+    return got.withColumn("warning", F.when(F.col("x0").isNull(), F.concat_ws(":", "annotation_id", F.lit("MISSING_SPAN"), "span_id")))
 
 
 def capped_highlights(rects: DataFrame, keys: list[str], per_page: int = 25, per_change: int = 6) -> DataFrame:
@@ -232,18 +258,101 @@ def capped_highlights(rects: DataFrame, keys: list[str], per_page: int = 25, per
     return rects.withColumn("__own", own).withColumn("__rank", rank).filter((F.col("__own") <= per_change) & (F.col("__rank") <= per_page)).drop("__own", "__rank")
 
 
+def search_pages(wanted: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """K7, search: wanted(keys, doc_id, page_number, place, fragment) with rects: boxes (x0, y0, x1, y1), one for each line, of every place on the page where the fragment's words stand, compared by alignment_key."""
+    row = F.struct("block_index", "line_index", "x0", "word_index", X.alignment_key(F.col("text")).alias("k"), "y0", "x1", "y1")
+    pages = words.filter(valid_box()).groupBy("doc_id", (F.col("page_index") + 1).alias("page_number")).agg(F.array_sort(F.collect_list(row)).alias("__ws"))
+    met = wanted.join(pages, ["doc_id", "page_number"], "left").withColumn("__f", F.transform(X.words(F.col("fragment")), X.alignment_key)).withColumn("__ks", F.transform("__ws", lambda w: w["k"]))
+    n = F.size("__f")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("__ks") - n + 1, F.lit(1))), lambda i: F.slice("__ks", i, n) == F.col("__f"))
+    met = met.withColumn("__at", F.when((n > 0) & F.col("__ws").isNotNull(), starts)).drop("__ks")
+    each = met.select(*keys, "place", F.explode("__at").alias("__s"), "__f", "__ws").select(*keys, "place", "__s", F.explode(F.slice("__ws", F.col("__s"), F.size("__f"))).alias("w"))
+    lines = each.groupBy(*keys, "place", "__s", "w.block_index", "w.line_index").agg(*merged_box("w.x0", "w.y0", "w.x1", "w.y1"))
+    rects = lines.groupBy(*keys, "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("__s", "block_index", "line_index", "x0", "y0", "x1", "y1"))), lambda r: F.struct(r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))).alias("rects"))
+    return wanted.join(rects, [*keys, "place"], "left").withColumn("rects", F.coalesce("rects", F.array().cast(RECTS)))
+
+
+RECTS = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+
+
+def _shrunk_all(rects: Column) -> Column:
+    def one(r: Column) -> Column:
+        y0, y1 = shrunk(r["y0"], r["y1"])
+        return F.struct(r["x0"].alias("x0"), y0.alias("y0"), r["x1"].alias("x1"), y1.alias("y1"))
+
+    return F.transform(rects, one)
+
+
+def highlight_by_search(annotations: DataFrame, words: DataFrame, spans: DataFrame, keys: list[str], prepared: bool = False) -> DataFrame:
+    """K7: (keys, annotation_id, rects, warnings) of annotations(keys, annotation_id, annotation_type, target_id, doc_id, page_number, texts, span_ids).
+
+    Fragments of the changed texts are searched on the target page; places that touch the target's spans count (all, if it has none). Rectangles
+    are shrunk, told apart, joined along lines, and limited in number by the annotation's style: the renderer's limit, not a sample. An
+    addition that is found nowhere takes its spans instead. Removals, and annotations without a target or page, have no rectangles.
+    prepared: texts are fragments already (K8).
+    """
+    marked = annotations.filter(F.col("annotation_type").isin("added", "modified"))
+    most = style_of(F.col("annotation_type"), 2)
+    id = [*keys, "annotation_id"]
+    fragments = X.first_by_key(F.col("texts") if prepared else F.flatten(F.transform("texts", X.visual_fragments)))
+    wanted = marked.select(*id, "doc_id", "page_number", F.posexplode(fragments).alias("place", "fragment"))
+    found = search_pages(wanted, words, id)
+    boxes = span_boxes(marked, spans, keys)
+    target = boxes.groupBy(*id).agg(F.array_sort(F.collect_list(F.when(F.col("x0").isNotNull(), F.struct("x0", "y0", "x1", "y1")))).cast(RECTS).alias("boxes"), F.array_sort(F.collect_list("warning")).alias("lost"))
+    near = lambda r: (F.size("boxes") == 0) | F.exists("boxes", lambda b: overlaps(r, b))
+    none = F.array().cast(RECTS)
+    found = found.join(target, id, "left").withColumn("boxes", F.coalesce("boxes", none)).withColumn("rects", merge_nearby(distinct_rects(_shrunk_all(F.filter("rects", near)))))
+    listed = found.groupBy(*id).agg(F.array_sort(F.collect_list(F.struct("place", "fragment", "rects"))).alias("fs"))
+    pages = words.select("doc_id", (F.col("page_index") + 1).alias("page_number")).distinct().withColumn("__page", F.lit(True))
+    rows = marked.join(listed, id, "left").join(target, id, "left").join(pages, ["doc_id", "page_number"], "left").withColumn("__most", most)
+    rows = rows.withColumn("fs", F.coalesce("fs", F.array().cast("array<struct<place: int, fragment: string, rects: " + RECTS + ">>")))
+    every = distinct_rects(F.flatten(F.transform("fs", lambda f: f["rects"])))
+    rows = rows.withColumn("__all", every)
+    # Rectangles of fragments beyond the one that fills the limit are never looked at, nor are their misses reported.
+    used = F.filter(F.transform("fs", lambda f, i: F.struct(f.alias("f"), F.size(distinct_rects(F.flatten(F.transform(F.slice("fs", 1, i), lambda g: g["rects"])))).alias("before"))), lambda x: x["before"] < F.col("__most"))
+    name = lambda *x: F.concat_ws(":", "annotation_id", *x)
+    missing = F.transform(F.filter(used, lambda x: F.size(x["f"]["rects"]) == 0), lambda x: name(F.lit("MISSING_FRAGMENT"), x["f"]["fragment"]))
+    limited = F.when(F.size("__all") >= F.col("__most"), F.array(name(F.lit("HIGHLIGHT_RECTS_LIMITED"), F.col("__most").cast("string")))).otherwise(F.array().cast("array<string>"))
+    span_rects = F.slice(merge_nearby(distinct_rects(_shrunk_all(F.coalesce("boxes", none)))), F.lit(1), F.col("__most"))
+    empty = F.array().cast("array<string>")
+    hit, added = F.size("__all") > 0, F.col("annotation_type") == "added"
+    nothing = F.when(F.size("fs") > 0, F.array(name(F.lit("NO_CHANGED_FRAGMENT_HIGHLIGHTED")))).otherwise(F.array(name(F.lit("NO_VISUAL_FRAGMENTS"))))
+    rest = F.when(hit, limited).when(added, F.coalesce("lost", empty)).otherwise(nothing)
+    ready = F.col("target_id").isNotNull() & F.col("page_number").isNotNull() & F.col("__page").isNotNull()
+    warnings = F.when(F.col("target_id").isNull() | F.col("page_number").isNull(), F.array(name(F.lit("SKIPPED_HIGHLIGHT_WITHOUT_TARGET")))).when(F.col("__page").isNull(), F.array(name(F.lit("MISSING_RENDER_TARGET_PAGE")))).otherwise(F.concat(missing, rest))
+    rects = F.when(~ready, none).when(hit, F.slice("__all", F.lit(1), F.col("__most"))).when(added, span_rects).otherwise(none)
+    return rows.select(*id, rects.alias("rects"), warnings.alias("warnings"))
+
+
+#: Kinds of annotation that a comparison never writes.
+UNWANTED = ["Text", "Square", "FreeText", "Rect"]
+
+
 def page_diagnostics(annotations: DataFrame, keys: list[str], dense_count: int = 25, dense_area: float = 0.18) -> DataFrame:
-    """H12, J7 over annotations(keys, page_number, kind, area, page_area): highlights and their area for each page, and whether it is dense."""
+    """H12, J7 over annotations(keys, page_number, kind, area, page_area): highlights and their area for each page, and whether it is dense. kind: highlight, or another annotation's."""
+    mark = F.lower("kind") == "highlight"
     got = annotations.groupBy(*keys, "page_number").agg(
-        F.count("*").alias("annotations"), F.count(F.when(F.col("kind") == "highlight", 1)).alias("highlights"), F.sum(F.when(F.col("kind") == "highlight", F.col("area")).otherwise(0.0)).alias("__area"), F.max("page_area").alias("__page")
+        F.count("*").alias("annotations"), F.count(F.when(mark, 1)).alias("highlights"), F.count(F.when(F.col("kind").isin(*UNWANTED), 1)).alias("unwanted"), F.sum(F.when(mark, F.col("area")).otherwise(0.0)).alias("__area"), F.max("page_area").alias("__page")
     )
-    return got.withColumn("area_ratio", F.col("__area") / F.col("__page")).withColumn("dense", (F.col("highlights") > dense_count) | (F.col("area_ratio") > dense_area)).drop("__area", "__page")
+    dense = (F.col("highlights") > dense_count) | ((F.col("highlights") > 0) & (F.col("area_ratio") > dense_area))
+    return got.withColumn("area_ratio", F.col("__area") / F.greatest("__page", F.lit(1.0))).withColumn("dense", dense).drop("__area", "__page")
+
+
+def render_totals(annotations: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """H12 over annotations(keys, kind) and their page_diagnostics: annotations by kind, unwanted ones, dense pages, and the most highlights on a page."""
+    kinds = annotations.groupBy(*keys, "kind").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("annotation_counts"))
+    dense = F.array_sort(F.collect_list(F.when(F.col("dense"), F.col("page_number"))))
+    return kinds.join(pages.groupBy(*keys).agg(F.sum("unwanted").alias("unwanted"), dense.alias("dense_pages"), F.max("highlights").alias("max_highlights_on_page")), keys)
 
 
-#: J8, the look of each change: colour, opacity, most rectangles.
-STYLES = {"added": ("soft_green", 0.35, 6), "modified": ("soft_amber", 0.35, 6), "deleted": ("red", 1.0, 1)}
+#: J8, the look of each change: colour (red, green, blue), opacity, most rectangles.
+STYLES = {"added": ((0.55, 0.90, 0.55), 0.28, 6), "modified": ((1.0, 0.82, 0.35), 0.28, 6), "removed": ((1.0, 0.35, 0.35), 0.60, 1), "deleted": ((1.0, 0.35, 0.35), 0.28, 1), "uncertain": ((0.65, 0.75, 1.0), 0.28, 6)}
 
 
 def style_of(change: Column, field: int) -> Column:
-    table = F.create_map(*[F.lit(x) for k, v in STYLES.items() for x in (k, v[field])])
-    return table[change]
+    """Colour (an array), opacity or most rectangles of a change type; unknown ones look uncertain."""
+    value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v)
+    out = value(STYLES["uncertain"][field])
+    for kind, style in STYLES.items():
+        out = F.when(change == kind, value(style[field])).otherwise(out)
+    return out
