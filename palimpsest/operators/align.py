@@ -44,30 +44,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a, b) == 0, 100.0).otherwise(F.least(a, b) / F.greatest(a, b) * 100.0)
 
 
-def clause_scores(pairs: DataFrame, least: float | None = None) -> DataFrame:
-    """G2 to G5 over rows of (pair, o.*, r.*) with structs o and r of clause_index, count, number, text, title, section_title.
+def _key(side: str, field: str) -> Column:
+    return X.block_key(F.coalesce(F.col(f"{side}.{field}"), F.lit("")))
 
-    least: rows whose overall score cannot reach it, even with the best text score their lengths allow, are left out before texts are compared.
-    """
-    key = lambda side, f: X.block_key(F.coalesce(F.col(f"{side}.{f}"), F.lit("")))
-    f1 = lambda f: K.score100_udf(key("o", f), key("r", f))
-    scored = pairs.withColumn("__n", f1("number")).withColumn("__s", f1("section_title")).withColumn("__h", f1("title"))
+
+def cell_scores(cells: DataFrame) -> DataFrame:
+    """G3 to G5 over cells (o, r) with structs of clause_index, count, number, title, section_title."""
+    f1 = lambda f: K.score100_udf(_key("o", f), _key("r", f))
+    scored = cells.withColumn("__n", f1("number")).withColumn("__s", f1("section_title")).withColumn("__h", f1("title"))
     o, r = (lambda f: F.col(f"o.{f}")), (lambda f: F.col(f"r.{f}"))
     one_null = lambda f: o(f).isNull() | r(f).isNull()
     scored = scored.withColumn("number_score", K.round2(number_score(o("number"), r("number"), F.col("__n"))))
     scored = scored.withColumn("section_score", F.when(o("section_title").isNull() & r("section_title").isNull(), 50.0).when(one_null("section_title"), 0.0).otherwise(F.col("__s")))
     scored = scored.withColumn("heading_score", F.when(one_null("title"), 0.0).otherwise(F.col("__h")))
-    scored = scored.withColumn("position_score", K.round2(position_score(o("clause_index"), r("clause_index"), o("count"), r("count"))))
-    overall = lambda text: F.col("number_score") * 0.30 + text * 0.25 + F.col("section_score") * 0.20 + F.col("heading_score") * 0.15 + F.col("position_score") * 0.10
-    if least is not None:
-        n, m = F.length(key("o", "text")), F.length(key("r", "text"))
-        top = F.when(n + m == 0, 100.0).otherwise(F.least(n, m) * 200.0 / (n + m))
-        scored = scored.filter(overall(top + 0.01) >= least - 0.01)  # scores are rounded to 2 digits
-        need = (least - 0.01 - overall(F.lit(0.0))) / 0.25
-        scored = scored.withColumn("text_score", K.score100_from_udf(key("o", "text"), key("r", "text"), need)).filter(F.col("text_score").isNotNull())
-    else:
-        scored = scored.withColumn("text_score", f1("text"))
-    return scored.withColumn("overall", K.round2(overall(F.col("text_score")))).drop("__n", "__s", "__h")
+    return scored.withColumn("position_score", K.round2(position_score(o("clause_index"), r("clause_index"), o("count"), r("count")))).drop("__n", "__s", "__h")
+
+
+def overall_score(text: Column) -> Column:
+    """G2, not rounded."""
+    return F.col("number_score") * 0.30 + text * 0.25 + F.col("section_score") * 0.20 + F.col("heading_score") * 0.15 + F.col("position_score") * 0.10
 
 
 def match_reason(number: Column, text: Column) -> Column:
@@ -82,10 +77,28 @@ def side_clauses(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score_matrix(original: DataFrame, revised: DataFrame, pair: str = "pair_id", least: float | None = None) -> DataFrame:
-    """G1: every clause of one side against every clause of the other, within a pair, scored; with least, only those that may reach it."""
-    fields = ["clause_index", "count", "id", "number", "text", "title", "section_title"]
-    side = lambda df, name: df.select(pair, F.struct(*fields).alias(name))
-    return clause_scores(side(original, "o").join(side(revised, "r"), pair), least)
+    """G1: (pair, o, r, scores, overall) of every clause of one side with every clause of the other, within a pair.
+
+    Cells carry no texts; those that are scored fetch them. least: cells whose overall score cannot reach it, even with the best text score
+    that their lengths allow, are left out before.
+    """
+    fields = ["clause_index", "count", "id", "number", "title", "section_title"]
+    key = X.block_key(F.coalesce("text", F.lit("")))
+    side = lambda df, name: df.select(pair, F.struct(*fields, F.length(key).alias("length")).alias(name))
+    texts = lambda df, i, name: df.select(pair, F.col("clause_index").alias(i), key.alias(name))
+    scored = cell_scores(side(original, "o").join(side(revised, "r"), pair))
+    n, m = F.col("o.length"), F.col("r.length")
+    if least is not None:
+        top = F.when(n + m == 0, 100.0).otherwise(F.least(n, m) * 200.0 / (n + m))
+        scored = scored.filter(overall_score(top + 0.01) >= least - 0.01)  # scores are rounded to 2 digits
+    scored = scored.withColumns({"__i": F.col("o.clause_index"), "__j": F.col("r.clause_index")})
+    scored = scored.join(texts(original, "__i", "__x"), [pair, "__i"]).join(texts(revised, "__j", "__y"), [pair, "__j"])
+    if least is not None:
+        need = (least - 0.01 - overall_score(F.lit(0.0))) / 0.25
+        scored = scored.withColumn("text_score", K.score100_from_udf("__x", "__y", need)).filter(F.col("text_score").isNotNull())
+    else:
+        scored = scored.withColumn("text_score", K.score100_udf("__x", "__y"))
+    return scored.withColumn("overall", K.round2(overall_score(F.col("text_score")))).drop("__i", "__j", "__x", "__y")
 
 
 def greedy_matches(scores: DataFrame, pair: str = "pair_id", threshold: float = MATCH_THRESHOLD) -> DataFrame:

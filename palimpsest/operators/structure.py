@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels as K
 from ..functions import patterns as P
 from ..functions import text as X
 
@@ -80,35 +81,47 @@ def parse_warnings(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.select(*keys, "unit_seq", text.alias("warning")).filter(F.col("warning").isNotNull())
 
 
+def _marks(line: Column) -> tuple[Column, Column]:
+    """A line's title if it is a heading, and its number if it is a clause."""
+    return F.coalesce(P.heading(line)["title"], F.when(P.upper_heading(line), line)), P.clause_number(line)["number"]
+
+
 def logical_lines(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Keys, page_number, seq, text: wrapped lines of a paragraph joined, unless a line starts something or the one before ends a sentence."""
-    paragraphs = pages.select(*keys, "page_number", F.posexplode(F.split(text, r"\n(?U:\s)*\n+")).alias("__p", "__t"))
-    raw = paragraphs.select(*keys, "page_number", "__p", F.posexplode(F.split("__t", LINE_ENDS)).alias("__l", "__raw")).withColumn("__raw", X.collapse(F.col("__raw"))).filter("__raw <> ''")
-    line = F.col("__raw")
-    starts = P.heading(line)["title"].isNotNull() | P.clause_number(line)["number"].isNotNull() | P.upper_heading(line)
+    """Keys, page_number, seq, text, title, number: wrapped lines of a paragraph joined, unless a line starts something or the one before ends a sentence.
+
+    pages(keys, page_number, text) are cut into lines; rows that have a line_seq are lines already.
+    """
+    if "line_seq" in pages.columns:
+        raw = pages.select(*keys, "page_number", F.lit(0).alias("__p"), F.col("line_seq").alias("__l"), F.col(text).alias("__raw"))
+    else:
+        paragraphs = pages.select(*keys, "page_number", F.posexplode(F.split(text, r"\n(?U:\s)*\n+")).alias("__p", "__t"))
+        raw = paragraphs.select(*keys, "page_number", "__p", F.posexplode(F.split("__t", LINE_ENDS)).alias("__l", "__raw"))
+    raw = raw.withColumn("__raw", X.collapse(F.col("__raw"))).filter("__raw <> ''")
+    title, number = _marks(F.col("__raw"))
+    raw = raw.withColumn("__title", title).withColumn("__number", number).withColumn("__ends", F.col("__raw").rlike("[.!?:]$"))
     w = Window.partitionBy(*keys).orderBy("page_number", "__p", "__l")
     same = (F.lag("page_number").over(w) == F.col("page_number")) & (F.lag("__p").over(w) == F.col("__p"))
-    new = ~F.coalesce(same, F.lit(False)) | starts | F.coalesce(F.lag("__raw").over(w).rlike("[.!?:]$"), F.lit(False))
+    new = ~F.coalesce(same, F.lit(False)) | F.col("__title").isNotNull() | F.col("__number").isNotNull() | F.coalesce(F.lag("__ends").over(w), F.lit(False))
     grouped = raw.withColumn("seq", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__l", "__raw"))), lambda x: x["__raw"]), " ")
-    return grouped.groupBy(*keys, "page_number", "seq").agg(joined.alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct("__p", "__l", "__raw", "__title", "__number")))
+    got = grouped.groupBy(*keys, "page_number", "seq").agg(lines.alias("__ls"))
+    joined = got.withColumn("text", F.array_join(F.transform("__ls", lambda x: x["__raw"]), " "))
+    title, number = _marks(F.col("text"))  # asked again only of lines that were joined
+    alone, first = F.size("__ls") == 1, F.element_at("__ls", 1)
+    return joined.select(*keys, "page_number", "seq", "text", F.when(alone, first["__title"]).otherwise(title).alias("title"), F.when(alone, first["__number"]).otherwise(number).alias("number"))
 
 
 def clause_candidates(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines that are no heading, with their number (null if none) and the heading above them, which carries over pages."""
-    t = F.col("text")
-    title = F.coalesce(P.heading(t)["title"], F.when(P.upper_heading(t), t))
-    w = Window.partitionBy(*keys).orderBy("seq")
-    marked = lines.withColumn("__title", title)
-    marked = marked.withColumn("heading", F.last("__title", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("__title").isNull())
-    return marked.withColumn("number", P.clause_number(t)["number"]).drop("__title")
+    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("heading", F.last("title", ignorenulls=True).over(w)).filter(F.col("title").isNull()).drop("title")
 
 
 def extract_clauses(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Keys, order_index, id, number, heading, text, page_number: numbered clauses, and paragraphs where none is open.
 
-    A numbered line takes the unnumbered ones after it while the heading stays; once it changes, lines stand alone until the next number.
-    Lines that stand alone are joined while page and heading stay and the line before does not end a sentence.
+    pages as in logical_lines. A numbered line takes the unnumbered ones after it while the heading stays; once it changes, lines stand
+    alone until the next number. Lines that stand alone are joined while page and heading stay and the line before does not end a sentence.
     """
     rows = clause_candidates(logical_lines(pages, keys, text), keys)
     w = Window.partitionBy(*keys).orderBy("seq")
@@ -145,9 +158,8 @@ def candidate_paragraphs(documents: DataFrame, keys: list[str], text: str = "tex
     return found.filter(P.usable_paragraph(F.col("paragraph")))
 
 
-def normalized_units(blocks: DataFrame, keys: list[str], order: list[str], text: str = "text", nfkc=None) -> DataFrame:
-    """Blocks whose normalised text is not empty, numbered from 1 over the document as normalized-unit-N."""
-    plain: Column = X.display_text(nfkc(F.col(text)) if nfkc else F.col(text))
-    kept = blocks.withColumn("unit_text", plain).filter("unit_text <> ''")
+def normalized_units(blocks: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """Blocks whose normalised text (B1, compatibility step included) is not empty, numbered from 1 over the document as normalized-unit-N."""
+    kept = blocks.withColumn("unit_text", X.display_text(K.compatible(F.col(text)))).filter("unit_text <> ''")
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return kept.withColumn("unit_seq", n).withColumn("unit_id", F.concat(F.lit("normalized-unit-"), n.cast("string")))
