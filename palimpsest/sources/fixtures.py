@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import kernels as K
 
 #: Lines of order contracts: pair_id, side, page_number, line_seq, text. {rich} is 'true' for the variant with definitions, lists, loose lines and renumbering.
 CONTRACT_SQL = """
@@ -95,3 +98,23 @@ def layout(documents: DataFrame, row_words: int = 12, block_rows: int = 5) -> Da
     head = edge(0, 40.0, F.array(F.lit("Collected"), F.lit("papers"), F.concat(F.lit("No."), F.col("doc_id").cast("string"))))
     foot = edge(99, 810.0, F.array(F.lit("Page"), (F.col("page_index") + 1).cast("string")))
     return body.unionByName(head).unionByName(foot).withColumn("width", F.lit(WIDTH)).withColumn("height", F.lit(HEIGHT))
+
+
+def wrapped_layout(documents: DataFrame, columns: int = 88, margin: float = 72.0) -> DataFrame:
+    """The words of texts written as a page writer does: paragraphs wrapped at 88 columns, 14 points a line, a blank line after each, a new page below the bottom margin. Same columns as layout().
+
+    A paragraph is a block; characters are 5 points wide.
+    """
+    kind = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+    p = documents.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", f"({kind})$", ""), kind)).alias("block_index", "paragraph"))
+    p = p.withColumn("lines", F.when(F.col("paragraph").rlike(r"(?U)\S"), K.wrapped_udf("paragraph", F.lit(columns))).otherwise(F.array().cast("array<string>")))
+    order = Window.partitionBy("doc_id").orderBy("block_index").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("__before", F.coalesce(F.sum(F.size("lines") + 1).over(order), F.lit(0)))  # rows used above, blank ones too
+    lines = p.select("doc_id", "block_index", "__before", F.posexplode("lines").alias("line_index", "line"))
+    # Only written lines turn the page, so the place on a page follows from the rows since the first line of that page.
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("__before") + F.col("line_index")).alias("row"), "block_index", "line_index", "line"))).alias("ls"))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("ls", K.pages_of_udf("ls.row", F.lit(margin), F.lit(PITCH), F.lit(HEIGHT)).alias("at"))).alias("x"))
+    rows = rows.select("doc_id", F.col("x.at.page").alias("page_index"), F.col("x.at.y").alias("y0"), "x.ls.block_index", "x.ls.line_index", "x.ls.line")
+    words = rows.withColumn("__ws", F.split("line", r"(?<=\s)(?=\S)")).withColumn("__w", F.explode(F.transform("__ws", lambda w, i: F.struct(F.length(F.array_join(F.slice(F.col("__ws"), F.lit(1), i), "")).alias("at"), F.rtrim(w).alias("word"), i.alias("i"))))).filter("__w.word <> ''")
+    words = words.select("doc_id", "page_index", "block_index", "line_index", F.col("__w.i").alias("word_index"), F.col("__w.word").alias("text"), (margin + CHAR * F.col("__w.at")).alias("x0"), "y0", (margin + CHAR * (F.col("__w.at") + F.length("__w.word"))).alias("x1"), (F.col("y0") + 10.0).alias("y1"))
+    return words.withColumn("width", F.lit(WIDTH)).withColumn("height", F.lit(HEIGHT))

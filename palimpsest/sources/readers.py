@@ -29,11 +29,18 @@ class Readers:
 
     def __init__(self) -> None:
         self._by_format: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self._can_read: dict[str, Callable[[Column], Column]] = {}
 
-    def register(self, format: str, reader: Callable[[DataFrame], DataFrame]) -> None:
+    def register(self, format: str, reader: Callable[[DataFrame], DataFrame], can_read: Callable[[Column], Column] | None = None) -> None:
+        """can_read: whether the reader takes a file's content; any content by default."""
         if format in self._by_format:
             raise ValueError(f"a reader for {format} is registered already")
         self._by_format[format] = reader
+        self._can_read[format] = can_read or (lambda content: F.lit(True))
+
+    def can_read(self, format: str) -> Callable[[Column], Column]:
+        self.get(format)
+        return self._can_read[format]
 
     def get(self, format: str) -> Callable[[DataFrame], DataFrame]:
         if format not in self._by_format:
@@ -55,9 +62,9 @@ def read_txt(files: DataFrame) -> DataFrame:
 def default_readers(pdf: Callable[[DataFrame], DataFrame] | None = None) -> Readers:
     """Text files; and PDF files if a kernel (binary files to PAGE_TEXTS, as by mapInPandas) is given. Word files are detected but have no reader."""
     found = Readers()
-    found.register("txt", read_txt)
+    found.register("txt", read_txt, lambda content: F.is_valid_utf8(content.cast("string")))
     if pdf:
-        found.register("pdf", pdf)
+        found.register("pdf", pdf, lambda content: F.hex(F.substring(content, 1, 4)) == "25504446")
     return found
 
 
@@ -67,26 +74,38 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract(files: DataFrame, readers: Readers) -> tuple[DataFrame, DataFrame]:
-    """A3: page texts of all files that a reader takes, and (path, format, reason) of the others."""
+    """A3: page texts of all files that a reader takes, and (path, format, reason) of the others: no reader for the format, or a reader that cannot read the file."""
+    taken = F.lit(False)
+    for f in readers.formats():
+        taken = F.when(F.col("format") == f, readers.can_read(f)(F.col("content"))).otherwise(taken)
+    files = files.withColumn("__ok", F.coalesce(taken, F.lit(False)))
     pages = None
     for f in readers.formats():
-        got = readers.get(f)(files.filter(F.col("format") == f))
+        got = readers.get(f)(files.filter((F.col("format") == f) & F.col("__ok")).drop("__ok"))
         pages = got if pages is None else pages.unionByName(got)
-    errors = files.filter(~F.col("format").isin(readers.formats())).select("path", "format", F.lit("UNSUPPORTED_FORMAT").alias("reason"))
+    reason = F.when(F.col("format").isin(readers.formats()), "UNREADABLE_FILE").otherwise("UNSUPPORTED_FORMAT")
+    errors = files.filter(~F.col("__ok")).select("path", "format", reason.alias("reason"))
     return pages, errors
 
 
-def validate_pairs(pairs: DataFrame, original: str = "original", revised: str = "revised") -> DataFrame:
-    """Pairs of binary contents with reason: a missing or empty side, or one that is no PDF; null if both are fine."""
-    bad = lambda c: F.when(F.col(c).isNull(), f"MISSING_{c.upper()}").when(F.length(c) == 0, f"EMPTY_{c.upper()}").when(F.hex(F.substring(c, 1, 4)) != "25504446", f"NOT_A_PDF_{c.upper()}")
-    return pairs.withColumn("reason", F.coalesce(bad(original), bad(revised)))
+#: The second name under which each side of a pair may come.
+ALIASES = {"original": "original_file", "revised": "revised_file"}
+
+
+def validate_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of binary contents, under original and revised or their aliases, as original and revised with a reason and its HTTP status: a missing or empty side, or one that is no PDF; null and 200 if both are fine."""
+    side = lambda c: F.coalesce(*[F.col(n) for n in (c, ALIASES[c]) if n in pairs.columns], F.lit(None).cast("binary"))
+    rows = pairs.withColumns({f"__{c}": side(c) for c in ALIASES}).drop(*ALIASES, *ALIASES.values()).withColumnsRenamed({f"__{c}": c for c in ALIASES})
+    bad = lambda c: F.when(F.col(c).isNull(), f"MISSING_{c.upper()}").when(F.length(c) == 0, f"EMPTY_{c.upper()}").when(detect_format(F.col(c)) != "pdf", f"NOT_A_PDF_{c.upper()}")
+    rows = rows.withColumn("reason", F.coalesce(bad("original"), bad("revised")))
+    return rows.withColumn("status", F.when(F.col("reason").isNull(), 200).otherwise(422))
 
 
 def corpus(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(name, text) of the text files below a folder: blank ones skipped, the first of each safe name kept, in path order."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    named = raw.filter(F.trim("text") != "").withColumn("name", X.safe_stem(F.col("path")))
-    first = named.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).filter("__n = 1").select("name", "text", "path")
+    """(name, text) of the text files below a folder: in path order the first of each safe name counts, and of those the blank ones are skipped."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").option("wholetext", "true").text(path).select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
+    named = raw.withColumn("name", X.safe_stem(F.col("path")))
+    first = named.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).filter("__n = 1").filter(F.col("text").rlike(r"(?U)\S")).select("name", "text", "path")
     return (first.orderBy("path").limit(most) if most else first).select("name", "text")
 
 
