@@ -16,8 +16,9 @@ from ..operators import layout as L
 from ..operators import mutate as M
 from ..operators import report as R
 from ..operators import structure as S
-from ..session import stored
+from ..session import discard, stored
 from ..sources import fixtures as FX
+from . import compare as C
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +47,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 
 def forget() -> None:
+    """Deletes the shared tables."""
+    discard(*_SHARED.values())
     _SHARED.clear()
 
 
@@ -222,13 +225,14 @@ def sides(spark, d):
     return [A.side_clauses(p.filter(F.col("side") == s), ["pair_id"]) for s in ("original", "revised")]
 
 
-@query("number_score", f"""select o.pair_id, cast(o.i as int) as i, cast(r.i as int) as j, cast(case when o.number <> '' and o.number = r.number then 100 when o.number = '' and r.number = '' then 50 when o.number = '' or r.number = '' then 0 else 60 end as double) as score
- from {SIDES} o join {SIDES} r on o.pair_id = r.pair_id where o.side = 'original' and r.side = 'revised' and (o.number = '' or r.number = '' or split_part(o.number, '.', 1) = split_part(r.number, '.', 1))""")
+@query("number_score", f"""select o.pair_id, cast(o.i as int) as i, cast(r.i as int) as j, cast(case when o.number <> '' and o.number = r.number then 100 when o.number = '' and r.number = '' then 50 when o.number = '' or r.number = '' then 0
+  when split_part(o.number, '.', 1) = split_part(r.number, '.', 1) then 60 end as double) as score
+ from {SIDES} o join {SIDES} r on o.pair_id = r.pair_id where o.side = 'original' and r.side = 'revised'""")
 def number_score(spark, d):
+    """Every pair of clauses; null where the likeness of the two numbers decides, which tests hold against difflib."""
     o, r = sides(spark, d)
     m = o.select("pair_id", F.col("clause_index").alias("i"), F.col("number").alias("a")).join(r.select("pair_id", F.col("clause_index").alias("j"), F.col("number").alias("b")), "pair_id")
-    m = m.filter(F.col("a").isNull() | F.col("b").isNull() | (A.top_level(F.col("a")) == A.top_level(F.col("b"))))
-    return m.select("pair_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), A.number_score(F.col("a"), F.col("b"), F.lit(0.0)).cast("double").alias("score"))
+    return m.select("pair_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), A.number_score(F.col("a"), F.col("b"), F.lit(None).cast("double")).cast("double").alias("score"))
 
 
 @query("position_score", f"""select o.pair_id, cast(o.i as int) as i, cast(r.i as int) as j, round(greatest(0.0, 100.0 - abs((case when o.n <= 1 then 0.0 else o.i / cast(o.n - 1 as double) end) - (case when r.n <= 1 then 0.0 else r.i / cast(r.n - 1 as double) end)) * 100.0), 6) as score
@@ -255,11 +259,6 @@ def gate(spark, d):
     return A.document_gate(p.select("pair_id"), heads("original"), heads("revised"), texts(o), texts(r))
 
 
-@query("doc_gate_bounds", f"select pair_id, 'accepted' as status, true as in_bounds from {RICH} group by pair_id")
-def doc_gate_bounds(spark, d):
-    return gate(spark, d).select("pair_id", "status", F.col("overall").between(50.0, 100.0).alias("in_bounds"))
-
-
 @query("document_gate")
 def document_gate(spark, d):
     return gate(spark, d)
@@ -271,12 +270,6 @@ def matched(spark, d):
     return o, r, m, A.alignment(o, r, m)
 
 
-@query("greedy_one_to_one", f"select pair_id, true as one_to_one, true as above from {RICH} group by pair_id")
-def greedy_one_to_one(spark, d):
-    m = matched(spark, d)[2]
-    return m.groupBy("pair_id").agg((F.count_distinct("i") == F.count("*")).alias("a"), (F.count_distinct("j") == F.count("*")).alias("b"), (F.min("overall") >= 60).alias("above")).select("pair_id", (F.col("a") & F.col("b")).alias("one_to_one"), "above")
-
-
 @query("alignment_conservation", f"select pair_id, cast(count(*) filter (where side = 'original') as bigint) as originals, cast(count(*) filter (where side = 'revised') as bigint) as reviseds from {SIDES} group by pair_id")
 def alignment_conservation(spark, d):
     a = matched(spark, d)[3]
@@ -316,18 +309,18 @@ def compared_clause_summary(spark, d):
     return R.change_counts(R.compared_clauses(a, o, r), ["pair_id"])
 
 
-@query("annotation_summary", f"select pair_id, cast(count(*) as bigint) as total, cast(count(*) filter (where change_type = 'removed') as bigint) as markers from {_COMPARED} where change_type <> 'unchanged' group by pair_id")
+@query("annotation_summary", "select pair_id, cast(count(*) as bigint) as total, " + ", ".join(f"cast(count(*) filter (where change_type = '{t}') as bigint) as {t}" for t in ("modified", "added", "removed")) + f", cast(count(*) as bigint) as unresolved from {_COMPARED} where change_type <> 'unchanged' group by pair_id")
 def annotation_summary(spark, d):
+    """Contracts carry no pages, so every annotation is without a target."""
     o, r, a = by_number(spark, d)
-    plan = R.annotation_plan(R.compared_clauses(a, o, r), ["pair_id"])
-    return plan.groupBy("pair_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("annotation_type") == "marker", 1)).alias("markers"))
+    return R.annotation_summary(R.annotation_plan(R.compared_clauses(a, o, r), ["pair_id"]), ["pair_id"]).drop("warnings")
 
 
 @query("annotation_plan")
 def annotation_plan(spark, d):
     o, r, m, a = matched(spark, d)
     plan = R.annotation_plan(R.compared_clauses(a, o, r), ["pair_id"])
-    return plan.select("pair_id", "annotation_id", "change_type", "annotation_type", "style", "target_id", R.appendix_text(plan).alias("appendix"), F.array_join("warnings", ",").alias("warnings"))
+    return plan.select("pair_id", "annotation_id", "annotation_type", "style", "clause_id", "heading", R.appendix_text(plan).alias("appendix"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("clause_fragments_roundtrip", f"select pair_id, i, original_text, revised_text from (select pair_id, cast(i as int) as i, regexp_replace(original_text, '\\s+', '', 'g') as original_text, regexp_replace(revised_text, '\\s+', '', 'g') as revised_text from {_ANCHOR}) where original_text <> revised_text")
@@ -355,7 +348,7 @@ def token_changes(spark, d):
 # v3
 
 def v3_clauses(spark, d, is_rich):
-    c = shared(spark, d, f"clauses_{is_rich}", lambda: S.extract_clauses(FX.contract_pages(FX.contracts(spark, d, is_rich)), ["pair_id", "side"]))
+    c = shared(spark, d, f"clauses_{is_rich}", lambda: S.extract_clauses(FX.contracts(spark, d, is_rich), ["pair_id", "side"]))
     return [c.filter(F.col("side") == s).drop("side") for s in ("original", "revised")]
 
 
@@ -393,10 +386,11 @@ def v3_fuzzy_alignment(spark, d):
 def v3_debug_flags(spark, d):
     o, r = v3_clauses(spark, d, True)
     a = A.align_clauses(o, r)
-    a = a.join(o.select("pair_id", F.col("order_index").alias("original_order"), F.col("text").alias("original_text")), ["pair_id", "original_order"], "left")
-    a = a.join(r.select("pair_id", F.col("order_index").alias("revised_order"), F.col("text").alias("revised_text"), "id"), ["pair_id", "revised_order"], "left")
-    f = R.change_flags(D.clause_chunks(a, "original_text", "revised_text"))
-    return f.groupBy("pair_id").agg(F.count("*").alias("aligned"), F.count(F.when(F.col("confidence") < 0.75, 1)).alias("low_confidence"), F.count(F.when(F.col("suspicious"), 1)).alias("suspicious"), F.sum("changed_words").alias("changed_words"))
+    a = a.join(o.select("pair_id", F.col("order_index").alias("original_order"), F.col("text").alias("original_text"), F.col("id").alias("original_id")), ["pair_id", "original_order"], "left")
+    a = a.join(r.select("pair_id", F.col("order_index").alias("revised_order"), F.col("text").alias("revised_text"), F.col("id").alias("revised_id")), ["pair_id", "revised_order"], "left")
+    f = R.change_flags(D.clause_chunks(a.withColumn("id", F.coalesce("revised_id", "original_id")), "original_text", "revised_text"))
+    lists = R.debug_lists(f, o, r, ["pair_id"])
+    return lists.select("pair_id", *[c for c in lists.columns if c.endswith("count")], *[F.array_join(c, ",").alias(c) for c in lists.columns if c.endswith(("ids", "alignments", "diffs"))])
 
 
 @query("v3_fallback_paragraphs", f"""
@@ -408,7 +402,8 @@ def v3_fallback_paragraphs(spark, d):
     pages = docs(spark, d).select("doc_id", F.lit(1).alias("page_number"), "text")
     lines = FX.units(docs(spark, d)).withColumn("text", X.collapse(F.col("text")))
     odd = lines.filter(P.upper_heading(F.col("text")) | F.col("text").rlike(r"^([0-9]|\(|(?i:article|section))")).select("doc_id").distinct()
-    return S.extract_clauses(pages.join(odd, "doc_id", "left_anti"), ["doc_id"]).select("doc_id", "order_index", F.md5(F.col("text").cast("binary")).alias("key"))
+    clauses = S.extract_clauses(pages, ["doc_id"])  # every document; those with headings or numbers are other queries' matter
+    return clauses.join(odd, "doc_id", "left_anti").select("doc_id", "order_index", F.md5(F.col("text").cast("binary")).alias("key"))
 
 
 # v2
@@ -417,13 +412,13 @@ def doc_pairs(spark, d):
     return shared(spark, d, "pairs", lambda: D.near_copy_pairs(docs(spark, d)))
 
 
-_GRAMS = f"(select doc_id, w, {FOLD.format(PLAIN.format('text'))} as key from (select doc_id, text, string_split({FOLD.format(PLAIN.format('text'))}, ' ') as w from documents))"
+_GRAMS = f"(select doc_id, w, {FOLD.format(PLAIN.format('text'))} as key from (select doc_id, text, string_split({FOLD.format(PLAIN.format('text'))}, ' ') as w from documents where text is not null))"
 PAIRS = f"""(with k as {_GRAMS}, h as (select key, min(doc_id) as o from k group by key), exact as (select h.o as original_doc_id, k.doc_id as revised_doc_id from k join h on k.key = h.key where k.doc_id > h.o),
- g as (select distinct doc_id, array_to_string(w[i:i+7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from k where len(w) >= 8)),
- n as (select doc_id, count(*) as n from g group by doc_id), rare as (select g from g group by g having count(*) > 1 and count(*) < 20), hd as (select g.* from g join rare on g.g = rare.g),
- met as (select x.doc_id as original_doc_id, y.doc_id as revised_doc_id, count(*) as shared from hd x join hd y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2)
+ g as (select distinct doc_id, array_to_string(w[i:i+7], ' ') as g from (select k.doc_id, w, unnest(range(1, len(w) - 6)) as i from k join h on k.doc_id = h.o where len(w) >= 8)),
+ n as (select doc_id, count(*) as n from g group by doc_id),
+ met as (select x.doc_id as original_doc_id, y.doc_id as revised_doc_id, count(*) as shared from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2)
  select original_doc_id, revised_doc_id, 'exact' as kind from exact union all
- select m.original_doc_id, m.revised_doc_id, 'near' from met m join n a on a.doc_id = m.original_doc_id join n b on b.doc_id = m.revised_doc_id where m.shared >= 0.5 * least(a.n, b.n) and not exists (select 1 from exact e where e.original_doc_id = m.original_doc_id and e.revised_doc_id = m.revised_doc_id))"""
+ select m.original_doc_id, m.revised_doc_id, 'near' from met m join n a on a.doc_id = m.original_doc_id join n b on b.doc_id = m.revised_doc_id where m.shared >= 0.5 * least(a.n, b.n))"""
 
 
 @query("near_copy_pairs", f"select original_doc_id, revised_doc_id, kind from {PAIRS}")
@@ -431,31 +426,16 @@ def near_copy_pairs(spark, d):
     return doc_pairs(spark, d).select("original_doc_id", "revised_doc_id", "kind")
 
 
-def whole_pairs(spark, d):
-    """All near copies, however common their phrases. Queries without SQL read these; SQL holds the others to FX2 with its rarity bound."""
-    return shared(spark, d, "whole_pairs", lambda: D.whole_near_copy_pairs(docs(spark, d)))
-
-
-@query("whole_near_copy_pairs")
-def whole_near_copy_pairs(spark, d):
-    return whole_pairs(spark, d).select("original_doc_id", "revised_doc_id", "kind")
-
-
 def _ops_of(spark, d, name, pairs):
     return shared(spark, d, name, lambda: D.word_ops(D.pair_streams(pairs, D.token_arrays(docs(spark, d))), ["pair_id"]))
 
 
 def v2_ops(spark, d, kind=None):
-    """Streams and opcodes of every pair of near copies within FX2's rarity bound, one row a pair."""
+    """Streams and opcodes of every pair of near copies, one row a pair."""
     ops = _ops_of(spark, d, "ops", doc_pairs(spark, d))
     return ops.join(doc_pairs(spark, d).filter(F.col("kind") == kind).select("pair_id"), "pair_id", "left_semi") if kind else ops
 
 
-def whole_ops(spark, d):
-    """Streams and opcodes of every pair of near copies, one row a pair."""
-    return _ops_of(spark, d, "whole_ops", whole_pairs(spark, d))
-
-
 def v2_rows(spark, d, kind=None):
     return D.op_rows(v2_ops(spark, d, kind), ["pair_id"])
 
@@ -492,7 +472,7 @@ def v2_exact_pairs_zero_changes(spark, d):
 @query("v2_document_word_diff")
 def v2_document_word_diff(spark, d):
     """Flagship: every change of every near-copy pair with context, fragment, confidence and anchor."""
-    c = D.change_records(whole_ops(spark, d), ["pair_id"])
+    c = D.change_records(v2_ops(spark, d), ["pair_id"])
     return c.select("pair_id", "change_id", "change_type", "original_text", "revised_text", "markdown", "plain", "fragment", "anchor_token", "anchor_strategy", F.round("confidence", 6).alias("confidence"))
 
 
@@ -504,36 +484,63 @@ def contract_streams(spark, d):
     return o.join(r, "row").select("row.pair_id", "row.number", "row.status", "a", "ak", "b", "bk")
 
 
-@query("v2_change_context", rf"""select pair_id, number, 'modified' as change_type, regexp_extract(original_text, '(deliver|within) ([0-9]+)', 2) as original_text, regexp_extract(revised_text, '(deliver|within) ([0-9]+)', 2) as revised_text,
- regexp_extract(revised_text, '(deliver|within) ([0-9]+)', 1) as before_word, regexp_extract(revised_text, '(deliver|within) [0-9]+ (units|days\.)', 2) as after_word,
- case when number like '1.%' then regexp_extract(revised_text, 'deliver ([0-9]+)', 1) else '45 days' end as fragment from {V3ROWS} where status = 'modified'""")
+def contract_ops(spark, d):
+    s, none = contract_streams(spark, d), F.array().cast("array<string>")
+    return D.word_ops(s.select("pair_id", "number", *[F.coalesce(c, none).alias(c) for c in ("a", "ak", "b", "bk")]), ["pair_id", "number"])
+
+
+_CWORDS = "string_split({}, ' ')"
+
+
+@query("v2_change_context", rf"""select pair_id, number, case status when 'modified' then 'modified' else status end as change_type,
+ case when status = 'modified' then regexp_extract(original_text, '(deliver|within) ([0-9]+)', 2) else original_text end as original_text, case when status = 'modified' then regexp_extract(revised_text, '(deliver|within) ([0-9]+)', 2) else revised_text end as revised_text,
+ case when status = 'modified' then regexp_extract(revised_text, '(deliver|within) ([0-9]+)', 1) end as before_word, case when status = 'modified' then regexp_extract(revised_text, '(deliver|within) [0-9]+ (units|days\.)', 2) end as after_word,
+ case when status = 'added' then rtrim(revised_text, '.') when status = 'modified' and number like '1.%' then regexp_extract(revised_text, 'deliver ([0-9]+)', 1) when status = 'modified' then '45 days' end as fragment,
+ case when status = 'deleted' then 'original_location_fallback' end as anchor_strategy from {V3ROWS} where status <> 'unchanged'""")
 def v2_change_context(spark, d):
-    ops = D.word_ops(contract_streams(spark, d).filter("status = 'modified'"), ["pair_id", "number"])
-    return D.change_records(ops, ["pair_id", "number"]).select("pair_id", "number", "change_type", "original_text", "revised_text", "before_word", "after_word", "fragment")
+    """The word changes of every clause that is not the same on both sides; added and deleted clauses are one change each."""
+    c = D.change_records(contract_ops(spark, d), ["pair_id", "number"])
+    return c.select("pair_id", "number", "change_type", "original_text", "revised_text", "before_word", "after_word", "fragment", "anchor_strategy")
+
+
+@query("clause_diff_warnings", rf"""with c as (select pair_id, number, status, cast(coalesce(len({_CWORDS.format('original_text')}), 0) as bigint) as o, cast(coalesce(len({_CWORDS.format('revised_text')}), 0) as bigint) as r from {V3ROWS}),
+ t as (select *, cast(case status when 'unchanged' then 0 when 'modified' then 2 when 'added' then r else o end as bigint) as changed_tokens, o + r as total_tokens from c)
+ select pair_id, number, changed_tokens, total_tokens, round(changed_tokens / cast(total_tokens as double), 6) as changed_ratio, case when changed_tokens / cast(total_tokens as double) > 0.3 then 'more than 30% of document marked changed: ' || changed_tokens || '/' || total_tokens || ' tokens' else '' end as warnings from t""")
+def clause_diff_warnings(spark, d):
+    """Warnings of the word diff of every clause, taken as a document."""
+    ops = contract_ops(spark, d)
+    sizes = ops.select("pair_id", "number", F.size("a").alias("original_tokens"), F.size("b").alias("revised_tokens"))
+    w = R.diff_warnings(D.change_records(ops, ["pair_id", "number"]), sizes, ["pair_id", "number"])
+    return w.select("pair_id", "number", "changed_tokens", "total_tokens", F.round("changed_ratio", 6).alias("changed_ratio"), F.array_join("warnings", "|").alias("warnings"))
+
+
+def located(spark, d):
+    """Changes of every pair with their places in the layout."""
+    w = words(spark, d)
+    t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
+    c = D.change_records(v2_ops(spark, d), ["pair_id"]).join(doc_pairs(spark, d).select("pair_id", "original_doc_id", "revised_doc_id"), "pair_id")
+    return shared(spark, d, "located", lambda: C.located_changes(c, t))
 
 
-@query("v2_delete_anchor", f"select pair_id, number, 'original_location_fallback' as anchor_strategy from {V3ROWS} where status = 'deleted'")
-def v2_delete_anchor(spark, d):
-    s = contract_streams(spark, d).filter("status = 'deleted'")
-    none = F.array().cast("array<string>")
-    s = s.withColumn("b", F.coalesce("b", none)).withColumn("bk", F.coalesce("bk", none))
-    return D.change_records(D.word_ops(s, ["pair_id", "number"]), ["pair_id", "number"]).select("pair_id", "number", "anchor_strategy")
+def sizes(spark, d):
+    return v2_ops(spark, d).select("pair_id", F.size("a").alias("original_tokens"), F.size("b").alias("revised_tokens"))
 
 
 @query("diff_warnings")
 def diff_warnings(spark, d):
-    return R.diff_warnings(D.op_rows(whole_ops(spark, d), ["pair_id"]), ["pair_id"]).withColumn("changed_ratio", F.round("changed_ratio", 6))
+    out = R.diff_warnings(located(spark, d), sizes(spark, d), ["pair_id"], page_shift_ngrams(spark, d))
+    return out.withColumn("changed_ratio", F.round("changed_ratio", 6)).withColumn("warnings", F.array_join("warnings", "|"))
 
 
 @query("debug_payload")
 def debug_payload(spark, d):
-    c = D.change_records(whole_ops(spark, d), ["pair_id"])
-    return c.select("pair_id", "change_id", R.debug_payload().alias("payload"))
+    rects = L.token_rects(changed_tokens(spark, d), ["pair_id", "seq"]).groupBy("pair_id", "seq").agg(F.count("*").cast("int").alias("n_rects"))
+    return located(spark, d).join(rects, ["pair_id", "seq"], "left").select("pair_id", "change_id", R.debug_payload(F.col("n_rects")).alias("payload"), R.annotation_content().alias("content"))
 
 
 @query("text_unit_fallback")
 def text_unit_fallback(spark, d):
-    p = whole_pairs(spark, d)
+    p = doc_pairs(spark, d)
     u = FX.units(docs(spark, d))
     side = lambda s: p.join(u.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "unit_seq", "text")
     return D.compare_units(side("original").unionByName(side("revised"))).select("pair_id", "seq", "change_type", "original_seq", "revised_seq", "anchor_seq")
@@ -541,7 +548,7 @@ def text_unit_fallback(spark, d):
 
 @query("block_alignment")
 def block_alignment(spark, d):
-    p = whole_pairs(spark, d)
+    p = doc_pairs(spark, d)
     u = FX.units(docs(spark, d)).withColumnRenamed("unit_seq", "seq")
     side = lambda s: p.join(u.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "seq", "text")
     return D.align_blocks(side("original").unionByName(side("revised"))).withColumn("similarity", F.round("similarity", 6))
@@ -549,11 +556,40 @@ def block_alignment(spark, d):
 
 # Layout
 
+_LWORDS = f"""w0 as (select doc_id, unnest(range(0, len(w))) as i, unnest(w) as word from (select doc_id, {WORDS} as w from documents)),
+w1 as (select *, doc_id % 4 = 0 as two, case when doc_id % 4 = 0 then 6 else 12 end as half from w0),
+w2 as (select *, i // half as r, i % half as a, case when two then 100 else 50 end as per_page from w1),
+w3 as (select *, r // per_page as page_index, r % per_page as on_page from w2),
+w4 as (select *, case when two and on_page >= 50 then 1 else 0 end as col, on_page % 50 as line, case when two then 36e0 else 38e0 end as step from w3),
+body as (select doc_id, page_index, 1 + col * 10 + line // 5 as block_index, line % 5 as line_index, i as word_index, word as text, 72e0 + col * 245e0 + a * step as x0, 86e0 + 14e0 * line as y0, 72e0 + col * 245e0 + a * step + least(length(word) * 3e0, step - 4e0) as x1, 96e0 + 14e0 * line as y1 from w4),
+pages as (select distinct doc_id, page_index from body),
+ends as (select doc_id, page_index, 0 as block_index, unnest([0, 1, 2]) as k, unnest(['Collected', 'papers', 'No.' || cast(doc_id as varchar)]) as text, 40e0 as y0 from pages union all select doc_id, page_index, 99, unnest([0, 1]), unnest(['Page', cast(page_index + 1 as varchar)]), 810e0 from pages),
+lw as (select * from body union all select doc_id, page_index, block_index, 0, 1000000 + k, text, 72e0 + k * 60e0, y0, 122e0 + k * 60e0, y0 + 10e0 from ends),
+ll as (select doc_id, page_index, block_index, line_index, string_agg(text, ' ' order by x0, word_index) as line, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from lw group by 1, 2, 3, 4),
+bl as (select doc_id, page_index, block_index, string_agg(line, chr(10) order by line_index) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from ll group by 1, 2, 3)"""
+_MARGINS = f"""{_LWORDS},
+bk as (select *, {FOLD.format(PLAIN.format('text'))} as key from bl),
+bn as (select *, regexp_matches(key, '^[0-9]+$|^page\\s+[0-9]+$|^-\\s*[0-9]+\\s*-$|^[0-9]+\\s+of\\s+[0-9]+$') as number, y0 <= 842e0 * 0.12e0 as top, y1 >= 842e0 * 0.88e0 as low from bk),
+ta as (select doc_id, key from bn where top and not number and key <> '' group by 1, 2 having count(distinct page_index) >= 2),
+la as (select doc_id, key from bn where low and not number and key <> '' group by 1, 2 having count(distinct page_index) >= 2),
+bm as (select *, case when number then 'footer' when top and (doc_id, key) in (select (doc_id, key) from ta) then 'header' when low and (doc_id, key) in (select (doc_id, key) from la) then 'footer' end as margin from bn)"""
+_PLACED = f"""{_MARGINS},
+bs as (select *, lead(x0) over (partition by doc_id, page_index order by x0) as nx from bm where margin is null and key <> ''),
+wide as (select doc_id, page_index, count(*) as n, max(case when nx is not null then row(nx - x0, x0, nx) end) as g from bs group by 1, 2),
+sp as (select bm.*, case when wide.n >= 4 and wide.g[1] >= 595e0 * 0.18e0 then (wide.g[2] + wide.g[3]) / 2 end as split from bm left join wide using (doc_id, page_index)),
+ed as (select doc_id, page_index, max(case when x0 <= split then x1 end) <= min(case when x0 > split then x0 end) as two from sp where margin is null and key <> '' group by 1, 2),
+bc as (select sp.*, case when margin is null and key <> '' then case when coalesce(two, false) and x0 > split then 1 else 0 end end as column_index from sp left join ed using (doc_id, page_index)),
+bp as (select *, row_number() over (partition by doc_id, page_index order by case margin when 'header' then -1 when 'footer' then 99 else coalesce(column_index, 0) end, y0, x0, block_index) as place from bc)"""
+_TOKENS = f"""{_PLACED},
+tk as (select lw.doc_id, lw.page_index, {FOLD.format(PLAIN.format(TDASH.format('lw.text')))} as normalized, row_number() over (partition by lw.doc_id order by lw.page_index, place, line_index, lw.y0, lw.x0, word_index) - 1 as token_index
+  from lw join bp using (doc_id, page_index, block_index) where margin is null and length(regexp_replace(key, '[^\\p{{L}}]', '', 'g')) > 0 and length(key) > 2 and {FOLD.format(PLAIN.format(TDASH.format('lw.text')))} <> '')"""
+
+
 def words(spark, d):
     return shared(spark, d, "words", lambda: FX.layout(docs(spark, d)))
 
 
-@query("header_footer")
+@query("header_footer", f"with {_MARGINS} select doc_id, cast(count(*) as bigint) as blocks, cast(count(*) filter (where margin = 'header') as bigint) as headers, cast(count(*) filter (where margin = 'footer') as bigint) as footers from bm group by doc_id")
 def header_footer(spark, d):
     b = L.margins(L.blocks_of(words(spark, d)))
     return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count(F.when(F.col("margin") == "header", 1)).alias("headers"), F.count(F.when(F.col("margin") == "footer", 1)).alias("footers"))
@@ -565,24 +601,35 @@ def processed_blocks(spark, d):
     return b.select("doc_id", "page_index", "block_index", "margin", "column_index", "place", "block_type", F.array_join("section_path", " > ").alias("section_path"))
 
 
-_PAGES = f"(select doc_id, len({WORDS}) as n, case when doc_id % 4 = 0 then 600 else 600 end as per_page from documents)"
-
-
-@query("layout_columns", f"select doc_id, cast(max(page) + 1 as bigint) as pages from (select doc_id, greatest(cast(ceil(n / cast(per_page as double)) as int) - 1, 0) as page from {_PAGES} where n > 0) group by doc_id")
+@query("layout_columns", f"with {_PLACED} select doc_id, cast(page_index as int) as page_index, cast(block_index as int) as block_index, margin, cast(column_index as int) as column_index, cast(place as int) as place from bp")
 def layout_columns(spark, d):
-    b = L.columns(L.margins(L.blocks_of(words(spark, d))))
-    return b.groupBy("doc_id").agg((F.max("page_index") + 1).cast("bigint").alias("pages"))
+    """Margins, columns and reading order of every block."""
+    b = L.reading_order(L.columns(L.margins(L.blocks_of(words(spark, d)))))
+    return b.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("block_index").cast("int").alias("block_index"), "margin", F.col("column_index").cast("int").alias("column_index"), F.col("place").cast("int").alias("place"))
 
 
-@query("layout_tokens")
+@query("layout_tokens", f"with {_TOKENS} select doc_id, cast(count(*) as bigint) as tokens, md5(string_agg(normalized, ' ' order by token_index)) as key, cast(count(*) as int) as \"end\" from tk group by doc_id")
 def layout_tokens(spark, d):
     w = words(spark, d)
     t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
     i = L.page_info(w, t)
-    return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "normalized"))), lambda x: x["normalized"]), " ").cast("binary")).alias("key")).join(i.groupBy("doc_id").agg(F.max("end").alias("end")), "doc_id")
-
-
-@query("document_profile")
+    return t.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "normalized"))), lambda x: x["normalized"]), " ").cast("binary")).alias("key")).join(i.groupBy("doc_id").agg(F.max("end").cast("int").alias("end")), "doc_id")
+
+
+@query("document_profile", f"""with {_LWORDS},
+xs as (select doc_id, page_index, block_index, min(x0) as x0 from ll group by 1, 2, 3),
+cn as (select doc_id, cast(count(distinct page_index) as bigint) as page_count, cast(count(*) as bigint) as word_count, cast(sum(length(text) + 1) - 1 as bigint) as text_char_count from lw group by 1),
+sh as (select doc_id, count(*) as line_count, count(*) filter (where length(line) <= 28) as short_lines from ll group by 1),
+te as (select doc_id, page_index, round_even(x0 / 10, 0) * 10 as x, count(*) as n from xs group by 1, 2, 3),
+rp as (select doc_id, sum(s) as repeated_x from (select doc_id, page_index, case when count(*) < 2 then 0e0 else sum(case when n >= 3 then n else 0 end) / cast(sum(n) as double) end as s from te group by 1, 2) group by 1),
+pl as (select doc_id, page_index, x0 from xs union all select doc_id, page_index, x0 from ll),
+st as (select *, lead(x0) over (partition by doc_id, page_index order by x0) as nx from pl),
+wd as (select doc_id, page_index, count(*) as n, max(case when nx - x0 >= 90e0 then row(nx - x0, x0, nx) end) as g from st group by 1, 2),
+lf as (select pl.doc_id, pl.page_index, n, g, count(*) filter (where x0 <= (g[2] + g[3]) / 2) as l from pl join wd using (doc_id, page_index) group by all),
+co as (select doc_id, avg(case when n < 4 or g is null then 0e0 else least(greatest(least(1e0, g[1] / 180e0) * 0.7e0 + least(l, n - l) / cast(n as double) * 0.6e0, 0e0), 1e0) end) as c from lf group by 1),
+al as (select *, least(greatest(short_lines / cast(line_count as double) / 0.45e0 * 0.45e0 + repeated_x / page_count / 0.35e0 * 0.4e0, 0e0), 1e0) as t from cn join sh using (doc_id) join rp using (doc_id) join co using (doc_id))
+select doc_id, page_count, word_count, text_char_count, round(t, 6) as table_likelihood, round(c, 6) as column_likelihood, 0e0 as scanned_likelihood,
+ concat_ws(',', case when text_char_count < page_count * 80 or word_count < page_count * 15 then 'PDF has very little extractable text' end, case when t >= 0.55e0 then 'PDF may contain tables' end, case when c >= 0.55e0 then 'PDF may contain multiple columns' end) as warnings from al""")
 def document_profile(spark, d):
     p = L.profile(words(spark, d))
     return p.select("doc_id", "page_count", "word_count", "text_char_count", *[F.round(c, 6).alias(c) for c in ("table_likelihood", "column_likelihood", "scanned_likelihood")], F.array_join("warnings", ",").alias("warnings"))
@@ -591,7 +638,7 @@ def document_profile(spark, d):
 def changed_tokens(spark, d):
     w = words(spark, d)
     t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
-    c = D.change_records(whole_ops(spark, d), ["pair_id"]).filter("b1 > b0").join(whole_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
+    c = D.change_records(v2_ops(spark, d), ["pair_id"]).filter("b1 > b0").join(doc_pairs(spark, d).select("pair_id", "revised_doc_id"), "pair_id")
     c = c.select("pair_id", "seq", F.col("revised_doc_id").alias("doc_id"), F.explode(F.sequence("b0", F.col("b1") - 1)).alias("token_index"))
     return c.join(t, ["doc_id", "token_index"])
 
@@ -601,29 +648,55 @@ def token_rects(spark, d):
     return L.token_rects(changed_tokens(spark, d), ["pair_id", "seq"])
 
 
+def rendered(spark, d):
+    """Highlights of every pair, as the renderer would write them, and their pages."""
+    r = L.capped_highlights(L.token_rects(changed_tokens(spark, d), ["pair_id", "seq"]).withColumnRenamed("seq", "change_seq"), ["pair_id"])
+    r = r.withColumn("kind", F.lit("Highlight")).withColumn("area", L.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).withColumn("page_area", F.lit(FX.WIDTH * FX.HEIGHT))
+    return r, L.page_diagnostics(r, ["pair_id"])
+
+
 @query("highlight_pages")
 def highlight_pages(spark, d):
-    r = L.capped_highlights(L.token_rects(changed_tokens(spark, d), ["pair_id", "seq"]).withColumnRenamed("seq", "change_seq"), ["pair_id"])
-    r = r.withColumn("kind", F.lit("highlight")).withColumn("area", L.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).withColumn("page_area", F.lit(FX.WIDTH * FX.HEIGHT))
-    return L.page_diagnostics(r, ["pair_id"]).withColumn("area_ratio", F.round("area_ratio", 6))
+    return rendered(spark, d)[1].withColumn("area_ratio", F.round("area_ratio", 6))
 
 
 @query("comparison_report")
 def comparison_report(spark, d):
-    p = whole_pairs(spark, d)
-    c = D.change_records(whole_ops(spark, d), ["pair_id"])
-    return R.comparison_report(p, L.profile(words(spark, d)), c).withColumn("warnings", F.array_join("warnings", ","))
-
-
-@query("page_shift_ngrams")
+    p = doc_pairs(spark, d)
+    c = D.change_records(v2_ops(spark, d), ["pair_id"])
+    r, pages = rendered(spark, d)
+    out = R.comparison_report(p, L.profile(words(spark, d)), c, L.render_totals(r, pages, ["pair_id"]))
+    return out.withColumn("warnings", F.array_join("warnings", ",")).withColumn("dense_pages", F.array_join("dense_pages", ",")).withColumns({q: F.to_json(q) for q in ("original_quality", "revised_quality")})
+
+
+@query("page_shift_ngrams", f"""with {_TOKENS},
+gr as (select doc_id, page_index, token_index, string_agg(normalized, ' ') over w as g, count(*) over w as n from tk window w as (partition by doc_id order by token_index rows between current row and 7 following)),
+og as (select distinct doc_id, g, page_index from gr where n = 8), rg as (select doc_id, g, arg_max(page_index, token_index) as page_index from gr where n = 8 group by 1, 2),
+pr as (select {_PID} as pair_id, p.original_doc_id, p.revised_doc_id from {PAIRS} p where exists (select 1 from tk where tk.doc_id in (p.original_doc_id, p.revised_doc_id)))
+select pair_id, coalesce(bool_or(og.page_index <> rg.page_index), false) as shifted from pr left join og on og.doc_id = original_doc_id left join rg on rg.doc_id = revised_doc_id and rg.g = og.g group by pair_id""")
 def page_shift_ngrams(spark, d):
-    p = whole_pairs(spark, d)
+    p = doc_pairs(spark, d)
     w = words(spark, d)
-    t = L.word_tokens(w, L.processed_blocks(w)).select("doc_id", "token_index", "page_number", "normalized")
+    t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w))).select("doc_id", "token_index", "page_number", "normalized")
     side = lambda s: p.join(t.withColumnRenamed("doc_id", f"{s}_doc_id"), f"{s}_doc_id").select("pair_id", F.lit(s).alias("side"), "token_index", "page_number", "normalized")
     return D.page_shifts(side("original").unionByName(side("revised")))
 
 
+@query("search_highlights")
+def search_highlights(spark, d):
+    """Rectangles of added and modified text found by search on the page of each change, within the change's own box."""
+    c = located(spark, d).filter("change_type in ('added', 'modified')")
+    fragments = F.when(F.col("fragment").isNotNull(), F.array("fragment")).otherwise(F.array().cast("array<string>"))
+    at = F.col("revised_location")
+    notes = c.select(
+        "pair_id", F.col("change_id").alias("annotation_id"), F.col("change_type").alias("annotation_type"), F.col("change_id").alias("target_id"), F.col("revised_doc_id").alias("doc_id"), (at["page_index"] + 1).alias("page_number"),
+        X.change_fragments(F.col("change_type"), F.col("revised_text"), fragments, F.col("confidence")).alias("texts"), F.array("change_id").alias("span_ids"),
+    )
+    spans = c.filter(at.isNotNull()).select("pair_id", F.col("change_id").alias("span_id"), *[at[x].alias(x) for x in ("x0", "y0", "x1", "y1")])
+    found = L.highlight_by_search(notes, words(spark, d), spans, ["pair_id"], prepared=True)
+    return found.select("pair_id", "annotation_id", F.to_json("rects").alias("rects"), F.array_join("warnings", "|").alias("warnings"))
+
+
 # Mutations
 
 def paragraphs(spark, d):
@@ -651,18 +724,31 @@ for _kind, _sql in _MUT.items():
     )
 
 
-@query("mutate_number", f"select k, case when n > 1 and n <= 999 and n % 1 = 0 then regexp_replace(paragraph, 'order ' || cast(k as varchar) || ' ', 'order ' || case when k = 45 then '60' else '45' end || ' ') end as revised_text from (select k, paragraph, k as n from {_P}) where k between 2 and 999")
-def mutate_number(spark, d):
-    return paragraphs(spark, d).filter("k between 2 and 999").select("k", M.number(F.col("paragraph"))["revised_text"].alias("revised_text"))
+# The first number from 2 to 999 that stands alone: the order's, the amount's thousands, the day, else the days of notice.
+_OLD = "case when k between 2 and 999 then cast(k as varchar) when c between 2 and 999 then cast(c as varchar) when 1 + k % 28 >= 2 then cast(1 + k % 28 as varchar) else cast(10 + k % 80 as varchar) end"
+_NUMBERS = f"(select k, paragraph, {_OLD} as old from (select k, paragraph, cast(regexp_extract(paragraph, '\\$([0-9]+),', 1) as int) as c from {_P}))"
+_NUMBER = "left(paragraph, strpos(paragraph, old) - 1) || case when old = '45' then '60' else '45' end || substr(paragraph, strpos(paragraph, old) + length(old))"
 
 
-@query("mutate_number_whole")
-def mutate_number_whole(spark, d):
-    """mutate_number over all paragraphs: its SQL says only the case in which the order's number is the one to change."""
+@query("mutate_number", f"select k, {_NUMBER} as revised_text from {_NUMBERS}")
+def mutate_number(spark, d):
     return paragraphs(spark, d).select("k", M.number(F.col("paragraph"))["revised_text"].alias("revised_text"))
 
 
-@query("mutation_cases")
+_ADDED = {"party name changed": "'Counterparty'", "jurisdiction changed": "'Delaware'", "date changed": "'January 1, 2030'", "sentence added": "'The parties shall cooperate in good faith during review.'", "sentence deleted": "''", "phrase modified": "'The obligation is material.'", "termination period changed": "'24 months'"}
+_AMOUNT = r"case when regexp_extract(paragraph, '\$\s?[0-9][0-9,]*') like '%$250,000%' then '$500,000' else '$250,000' end"
+
+
+def _by_type(pick: Callable[[str], str]) -> str:
+    return "case t " + " ".join(f"when {i} then {pick(kind)}" for i, kind in enumerate(M.CYCLE)) + " end"
+
+
+_CASES = f"""(select row_number() over (order by k) - 1 as attempt, k, paragraph, old, (row_number() over (order by k) - 1) % {len(M.CYCLE)} as t from {_NUMBERS})"""
+
+
+@query("mutation_cases", f"""select 'case_' || lpad(cast(attempt + 1 as varchar), 4, '0') as case_id, cast(attempt as bigint) as attempt, {_by_type(lambda x: f"'{x}'")} as mutation_type,
+ {_by_type(lambda x: "'added'" if x == 'sentence added' else "'deleted'" if x == 'sentence deleted' else "'modified'")} as change_type, {_by_type(lambda x: _NUMBER if x == 'number changed' else _MUT[x])} as revised_text,
+ {_by_type(lambda x: "case when old = '45' then '60' else '45' end" if x == 'number changed' else _ADDED.get(x, _AMOUNT))} as expected_highlight from {_CASES} where attempt < 50""")
 def mutation_cases(spark, d):
     return M.build_cases(paragraphs(spark, d), 50, ["k"]).select("case_id", "attempt", "mutation_type", "change_type", "revised_text", "expected_highlight")
 
@@ -676,16 +762,9 @@ def benchmark(m: DataFrame) -> DataFrame:
     return R.benchmark_totals(checked)
 
 
-@query("benchmark_report", f"""select 'sentence added' as mutation_type, cast(count(*) as bigint) as cases, cast(count(*) as bigint) as passed from {_P}""")
+@query("benchmark_report")
 def benchmark_report(spark, d):
-    """The whole quality benchmark for one mutation: mutate, diff, check, total."""
-    m = M.all_mutations(paragraphs(spark, d)).filter("mutation_type = 'sentence added'")
-    return benchmark(m).filter("mutation_type is not null").select("mutation_type", "cases", "passed")
-
-
-@query("benchmark_report_whole")
-def benchmark_report_whole(spark, d):
-    """The whole quality benchmark: every mutation that applies, by type and in total (null type), with failures and average changes."""
+    """The whole quality benchmark: every mutation that applies, diffed, checked and totalled by type and over all (null type), with failures and average changes."""
     return benchmark(M.all_mutations(paragraphs(spark, d)))
 
 
