@@ -1,5 +1,7 @@
 """The three pipelines end to end on small pairs, readers, and the stream."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from palimpsest.plans import compare as C
@@ -11,7 +13,7 @@ PAIRS = "pair_id string, original_doc_id int, revised_doc_id int"
 
 
 def test_v3(spark):
-    pages = spark.createDataFrame([(1, 1, "1. TERMS\n1.1 Pay within 30 days.\n1.2 Old clause text."), (2, 1, "1. TERMS\n1.1 Pay within 45 days.\n1.3 Wholly different obligations follow.")], "doc_id int, page_number int, text string")
+    pages = spark.createDataFrame([(1, 1, "1. TIDES\n1.1 Sail within 30 hours.\n1.2 Old lantern rules."), (2, 1, "1. TIDES\n1.1 Sail within 45 hours.\n1.3 Wholly different beacons shine.")], "doc_id int, page_number int, text string")
     out = C.compare_v3(spark.createDataFrame([("p", 1, 2)], PAIRS), pages)
     s = out["summary"].first()
     assert (s.total_clauses, s.modified_clauses, s.added_clauses, s.deleted_clauses) == (3, 1, 1, 1)
@@ -20,7 +22,7 @@ def test_v3(spark):
 
 
 def test_v1_gate_fallback(spark):
-    text = {1: ["1. TERMS", "1.1 The buyer pays for goods within 30 days."], 2: ["1. TERMS", "1.1 The buyer pays for goods within 45 days."], 3: ["Loose line one", "Loose line two"], 4: ["Loose line one", "Loose line two", "Loose line three"], 5: ["9. ZOO", "9.9 Quick brown foxes jump."]}
+    text = {1: ["1. TIDES", "1.1 The pilot boards the ship within 30 hours."], 2: ["1. TIDES", "1.1 The pilot boards the ship within 45 hours."], 3: ["Loose line one", "Loose line two"], 4: ["Loose line one", "Loose line two", "Loose line three"], 5: ["9. ZOO", "9.9 Quick brown foxes jump."]}
     units = spark.createDataFrame([(d, i + 1, t) for d, ls in text.items() for i, t in enumerate(ls)], "doc_id int, unit_seq int, text string")
     out = C.compare_v1(spark.createDataFrame([("a", 1, 2), ("b", 3, 4), ("c", 1, 5)], PAIRS), units)
     result = {r.pair_id: r for r in out["result"].collect()}
@@ -31,14 +33,21 @@ def test_v1_gate_fallback(spark):
     assert out["annotations"].filter("pair_id = 'a'").first().annotation_id == "ANN-1"
 
 
-def test_v2(spark):
+def test_v2(spark, tmp_path):
     base = " ".join(f"word{i}" for i in range(700))  # two pages, so that headers repeat
     docs = spark.createDataFrame([(1, base), (2, base.replace("word60 ", "other "))], "doc_id int, text string")
     out = C.compare_v2(spark.createDataFrame([("p", 1, 2)], PAIRS), FX.layout(docs))
     c = out["changes"].collect()
     assert [(x.original_text, x.revised_text, x.markdown) for x in c] == [("word60", "other", "word59 ~~word60~~ other word61")]
     assert c[0].revised_location.page_index == 0 and out["rects"].count() == 1
-    assert out["report"].first().modified_count == 1
+    assert out["report"].first().modified_count == 1 and out["report"].first().original_quality.page_count == 2
+    assert c[0].content == "CHG-0001 | REPLACE | Page 1\nContext: word59 [DELETED: word60] other word61"
+    assert C.write_debug(out, spark) is None
+    at = C.write_debug(out, spark, path=str(tmp_path / "debug"))
+    debug = json.loads(spark.read.json(at).first().debug)
+    assert (debug["total_original_tokens"], debug["total_changes"], debug["warnings"]) == (700, 1, [])
+    assert debug["changes"][0]["type"] == "REPLACE" and debug["changes"][0]["highlight_rect_count"] == 1 and debug["changes"][0]["page"] == 1 and debug["changes"][0]["anchor_bbox"]["x0"] > 0
+    assert C.compare(spark, spark.createDataFrame([("p", 1, 2)], PAIRS), FX.layout(docs))["engine"].first()[:] == ("v2", None)
 
 
 def test_readers(spark, tmp_path):
@@ -51,6 +60,11 @@ def test_readers(spark, tmp_path):
     pages, errors = RD.extract(files, RD.default_readers())
     assert [r.text for r in pages.collect()] == ["hello"] and errors.count() == 3
     assert RD.corpus(spark, str(tmp_path)).collect()[0].name == "a"
+    sub = tmp_path / "corpus"
+    sub.mkdir()
+    for name, text in (("x y.txt", " \n\t"), ("x_y.TXT", "shadowed by the blank one"), ("z.txt", "kept"), ("w.txt", "\u2003\n")):
+        (sub / name).write_text(text)
+    assert [(r.name, r.text) for r in RD.corpus(spark, str(sub)).collect()] == [("z", "kept")]
     import pytest
 
     with pytest.raises(RD.UnsupportedFormat):

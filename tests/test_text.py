@@ -18,8 +18,8 @@ def one(spark, text, f):
 
 
 def test_number_tokens_golden(spark):
-    assert one(spark, "Payment: $1,000 within 30 days.", X.number_tokens) == ["Payment", ":", "$1,000", "within", "30", "days", "."]
-    assert one(spark, "$1500 in 2024", X.number_tokens) == ["$150", "0", "in", "202", "4"]
+    assert one(spark, "Dues: $2,500 after 12 tides.", X.number_tokens) == ["Dues", ":", "$2,500", "after", "12", "tides", "."]
+    assert one(spark, "$7300 by 1987", X.number_tokens) == ["$730", "0", "by", "198", "7"]
 
 
 TEXTS = ["Straße  “quoted” – it’s fine.", "a_b c-d (e) [f] $5; x²", "", "   ", "日本語 text\n\nnew", "soft­hyphen—dash"]
@@ -43,26 +43,26 @@ def test_keys(spark, text):
     assert one(spark, text, X.alignment_key) == want
     assert one(spark, text, X.block_key) == " ".join(text.split()).casefold()
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(K.casefold_udf("t")).first()[0] == text.casefold()
-    assert df.select(K.nfkc_udf("t")).first()[0] == unicodedata.normalize("NFKC", text)
+    assert one(spark, text, X.casefold) == text.casefold()
+    assert df.select(K.compatible(F.col("t"))).first()[0] == unicodedata.normalize("NFKC", text)
 
 
 def test_small_strings(spark):
     assert one(spark, "x" * 600, X.cut_middle) == "x" * 247 + " ... " + "x" * 248
     assert one(spark, "y" * 150, X.cut_end) == "y" * 137 + "..."
     assert one(spark, "7.1(a)", X.slug) == "7-1-a"
-    assert one(spark, ". , Buyer pays", X.clean_fragment) == "Buyer pays"
-    assert one(spark, "Pay ( 5 ) now , ok", lambda t: X.detokenise(F.split(t, " "))) == "Pay (5) now, ok"
-    assert one(spark, "the Buyer of goods and", lambda t: X.trim_edges(X.fragment_words(t))) == ["Buyer", "of", "goods"]
+    assert one(spark, ". , Ships sail", X.clean_fragment) == "Ships sail"
+    assert one(spark, "Row ( 3 ) boats , please", lambda t: X.detokenise(F.split(t, " "))) == "Row (3) boats, please"
+    assert one(spark, "the Captain of ships and", lambda t: X.trim_edges(X.fragment_words(t))) == ["Captain", "of", "ships"]
     assert one(spark, "The a THE b", lambda t: X.first_by_key(F.split(t, " "), X.alignment_key)) == ["The", "a", "b"]
 
 
 def test_detectors(spark):
-    assert one(spark, "ARTICLE IV - Terms", P.heading).asDict() == {"title": "Terms", "number": "IV", "style": "article"}
-    assert one(spark, "Section 2.1: Fees", P.heading)["style"] == "section"
-    assert one(spark, "1. PAYMENT TERMS", P.heading)["number"] == "1"
+    assert one(spark, "ARTICLE IX - Tides", P.heading).asDict() == {"title": "Tides", "number": "IX", "style": "article"}
+    assert one(spark, "Section 6.2: Moorings", P.heading)["style"] == "section"
+    assert one(spark, "1. HARBOUR DUES", P.heading)["number"] == "1"
     assert one(spark, "1. lower title", P.heading)["title"] is None
-    assert one(spark, "“Goods” means the parts", P.definition_term) == "Goods"
+    assert one(spark, "“Vessel” means any boat", P.definition_term) == "Vessel"
     assert [one(spark, f"({c}) body text", P.list_item)["style"] for c in "abcdi"] == ["letter", "letter", "roman", "roman", "roman"]
     assert one(spark, "1.2.3(a) The body", P.clause_number)["number"] == "1.2.3(a)"
     assert one(spark, "Page 2 of 9", P.is_artifact) and one(spark, " Draft ", P.is_artifact) and not one(spark, "Page two", P.is_artifact)
