@@ -26,16 +26,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one of smallest doc_id, and of repeated rows of that id one.
+    """One document of each group of linked fingerprints: the one of smallest doc_id; of different texts under that id the one of least hash, and
+    of repeated rows the least by its columns.
 
     Documents without a doc_id cannot be told apart and are neither compared nor dropped.
     """
+    text_key = F.xxhash64(F.lit(8), F.coalesce("text", F.lit("")))
     named = docs.filter(F.col("doc_id").isNotNull())
-    first = stored(near_duplicates(named).filter("doc_id = component_id").select("doc_id"), "first")
-    out = named.join(first.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if first.count() != first.distinct().count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    grouped = near_duplicates(named.select("doc_id", "text", text_key.alias("text_key")), keep=["doc_id", "text_key"])
+    first = stored(grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*"), "first")
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    keyed = named.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("doc_id"), text_key.alias("text_key"))
+    out = stored(keyed.join(first.hint("shuffle_hash"), ["doc_id", "text_key"], "left_semi"), "kept")
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    if out.count() > first.count():  # repeated rows of a kept document
+        out = out.groupBy("doc_id", "text_key").agg(F.min(F.struct(*names.values())).alias("r")).select("r.*")
+    return out.select(*back).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
