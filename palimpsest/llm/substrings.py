@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,22 +73,36 @@ def least_places(v: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class Hashed:
-    """Word hashes of a text with at least one window; its pieces: anchor and the place of its phrase, first window and end."""
-
-    def __init__(self, words: list[bytes], window: int, phrase: int) -> None:
-        self.words = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        value = mixed(rolling(self.words, phrase))
-        place = least_places(value, window - phrase + 1)
-        self.first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        self.end = np.append(self.first[1:], len(place))
-        self.places = place[self.first]
-        self.anchors = value[self.places].view(np.int64)
+class Pieces:
+    """The pieces of some texts, given as words: the text each is of, its first window, number of windows, place of the anchor phrase in it, and anchor. All texts are hashed as one array."""
+
+    def __init__(self, texts: list[list[bytes]], window: int, phrase: int) -> None:
+        n = np.array([len(t) for t in texts], np.int64)
+        count = np.maximum(n - window + 1, 0)  # windows of each text
+        self.words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts)), np.uint64, n.sum())
+        begin, total = np.cumsum(n) - n, int(count.sum())
+        text = np.repeat(np.arange(len(texts)), count)
+        self.starts = np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
+        if total:
+            value = mixed(rolling(self.words, phrase))
+            place = least_places(value, window - phrase + 1)[self.starts]
+            new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
+        else:
+            value, place, new = np.empty(0, np.uint64), self.starts, self.starts
+        self.text, start = text[new], self.starts[new]
+        self.first, self.at = start - begin[self.text], place[new] - start
+        self.size = np.diff(np.append(new, total))
+        self.anchors = value[place[new]].view(np.int64)
+        self.base = np.searchsorted(self.text, np.arange(len(texts)))  # each text's first piece
+
+    def hashes(self, window: int) -> np.ndarray:
+        """Hash of every window, in order."""
+        return mixed(rolling(self.words, window))[self.starts].view(np.int64) if len(self.starts) else np.empty(0, np.int64)
 
 
 def _texts(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for batch in batches:
-        for part in split_batch(batch):
+        for part in split_batch(batch, 4 << 20):
             yield part, [t.split() for t in part.column(at).to_pylist()]
 
 
@@ -111,9 +125,10 @@ def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> D
 
     def anchors(batches):
         for part, found in _texts(batches, 2):
-            out = [(Hashed(words, window, phrase).anchors, a, b) for a, b, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found) if len(words) >= window]
-            if out:
-                yield _columns("anchor a b place", np.concatenate([x for x, _, _ in out]), *[np.concatenate([np.full(len(x[0]), x[k], np.int64) for x in out]) for k in (1, 2)], np.concatenate([np.arange(len(x), dtype=np.int32) for x, _, _ in out]))
+            p = Pieces(found, window, phrase)
+            if len(p.text):
+                rows = pa.array(p.text)
+                yield _columns("anchor a b place", p.anchors, part.column(0).take(rows), part.column(1).take(rows), (np.arange(len(p.text)) - p.base[p.text]).astype(np.int32))
 
     met = texts.mapInArrow(anchors, "anchor bigint, a bigint, b bigint, place int").groupBy("anchor").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("a", "b", "place")])
     alone = met.filter("n = 1").groupBy("a", "b").agg(F.collect_list("place").alias("alone"))
@@ -123,31 +138,26 @@ def nominated(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> D
     def pieces(batches):
         seen, number = set(), TaskContext.get().partitionId() << 36
         for part, found in _texts(batches, 2):
-            rows, starts, places, hashes, sizes = [], [], [], [], []
-            for a, b, copies, alone, words in zip(*[part.column(k).to_pylist() for k in (0, 1, 3)], part.column(4), found):
-                if len(words) < window or copies > 1 and (a, b) in seen:
-                    continue
+            fresh = np.ones(len(found), bool)  # one of a text's copies
+            for k, copies in enumerate(part.column(3).to_pylist()):
                 if copies > 1:
-                    seen.add((a, b))
-                h = Hashed(words, window, phrase)
-                again = np.ones(len(h.anchors), bool)
-                if alone.is_valid:
-                    again[alone.values.to_numpy(zero_copy_only=False)] = False
-                size = h.end - h.first
-                if again.any():
-                    whole = mixed(rolling(h.words, window)).view(np.int64)
-                    rows.append((a, b, h.anchors[again], copies))
-                    starts.append(h.first[again].astype(np.int32))
-                    places.append((h.places - h.first)[again].astype(np.int32))
-                    sizes.append(size[again])
-                    hashes.append(whole[np.repeat(again, size)])
-            if rows:
-                n = [len(x) for x in starts]
-                spread = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), n)
-                yield _columns("piece a b anchor start at copies hashes", np.arange(number, number + sum(n)), spread(0), spread(1), np.concatenate([r[2] for r in rows]), np.concatenate(starts), np.concatenate(places), spread(3), _lists(np.concatenate(hashes), np.concatenate(sizes)))
-                number += sum(n)
-
-    joined = texts.join(marks.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "copies", "alone")
+                    key = (part.column(0)[k].as_py(), part.column(1)[k].as_py())
+                    fresh[k] = key not in seen
+                    seen.add(key)
+            p = Pieces(found, window, phrase)
+            again = fresh[p.text]
+            alone = part.column(4)
+            once = np.diff(alone.offsets.to_numpy(zero_copy_only=False))
+            flat = alone.values.to_numpy(zero_copy_only=False)[alone.offsets[0].as_py() : alone.offsets[-1].as_py()]
+            again[np.repeat(p.base, once) + flat] = False
+            if again.any():
+                rows = pa.array(p.text[again])
+                a, b, copies = (part.column(k).take(rows) for k in (0, 1, 3))
+                hashes = _lists(p.hashes(window)[np.repeat(again, p.size)], p.size[again])
+                yield _columns("piece a b anchor start at copies hashes", np.arange(number, number + len(rows)), a, b, p.anchors[again], p.first[again].astype(np.int32), p.at[again].astype(np.int32), copies, hashes)
+                number += len(rows)
+
+    joined = texts.join(marks.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "t", "copies", F.coalesce("alone", F.array().cast("array<int>")).alias("alone"))
     out = stored(joined.mapInArrow(pieces, "piece bigint, a bigint, b bigint, anchor bigint, start int, at int, copies bigint, hashes array<bigint>"), "pieces")
     discard(marks)
     release(spark)
@@ -164,8 +174,8 @@ def representatives(pieces: DataFrame) -> DataFrame:
 def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[tuple[int, int, int, int]]:
     """(a, b, first word, end) of the words that a window found elsewhere covers, in the pieces of one block and at its passages' representatives.
 
-    rows: a, b, start, at (place of the anchor phrase), copies, words (joined by a space), and own: for a passage the bits of the windows it
-    stands for, null for a piece that is streamed. A piece's windows overlap, so what they cover is one range.
+    rows: a, b, start, at (place of the anchor phrase), copies, words (joined by a space); own: the bits of the windows that a passage stands
+    for, null for none; stream: whether the piece is streamed. A piece's windows overlap, so what they cover is one range.
     """
     import ahocorasick
 
@@ -174,12 +184,12 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
     passages: dict[bytes, tuple[int, int]] = {}  # a window's words: its passage, and its place there
     places: list[tuple[int, int, int]] = []
     streamed = []
-    for row in zip(*[rows.column(c).to_pylist() for c in ("own", "a", "b", "start", "at", "copies", "words")]):
-        own, a, b, start, at, _, raw = row
+    for own, a, b, start, at, copies, raw, stream in zip(*[rows.column(c).to_pylist() for c in ("own", "a", "b", "start", "at", "copies", "words", "stream")]):
+        words = raw.split()
+        if stream:
+            streamed.append((a, b, start, copies, raw, words))
         if own is None:
-            streamed.append(row)
             continue
-        words = raw.split()
         automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words[at : at + phrase]]))
         edge = list(accumulate(map(len, words), initial=0))
         for i in range(own.bit_length()):
@@ -192,8 +202,7 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
     met = [0] * len(places)
     out = []
     get, known, find = number.get, passages.get, automaton.iter
-    for _, a, b, start, _, copies, raw in streamed:
-        words = raw.split()
+    for a, b, start, copies, raw, words in streamed:
         edge, seen, mask = None, 0, 0
         for end, _ in find(tuple([get(w, 0) for w in words])):
             edge = edge or list(accumulate(map(len, words), initial=0))
@@ -206,6 +215,8 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
                         mask |= 1 << i
                         met[k] |= 1 << j
             seen = max(seen, last + 1)
+            if seen > len(words) - window:
+                break
         if mask:
             out.append((a, b, start + (mask & -mask).bit_length() - 1, start + mask.bit_length() - 1 + window))
     out += [(a, b, start + (m & -m).bit_length() - 1, start + m.bit_length() - 1 + window) for (a, b, start), m in zip(places, met) if m]
@@ -260,10 +271,13 @@ def repeats(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_
     else:
         streamed = streamed.withColumns({"rows": F.lit(1), "columns": F.lit(1)})
     dealt = F.pmod(F.xxhash64("a", "b", "start"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", "a", "start"), F.col("columns")).cast("int")
-    as_piece = F.expr("transform(sequence(0, cast(columns as int) - 1), j -> struct(__i as i, j as j, cast(null as bigint) as own))")
-    as_passage = F.expr("transform(sequence(0, cast(rows as int) - 1), i -> struct(i as i, __j as j, own as own))")
-    streamed = streamed.withColumns({"__i": dealt[0], "__j": dealt[1]}).withColumn("x", F.explode(F.when(F.col("own").isNull(), as_piece).otherwise(F.concat(as_piece, as_passage))))
-    streamed = streamed.select("shard", "x.i", "x.j", "a", "b", "start", "at", "copies", "words", "x.own")
+    cell = lambda i, j, own, stream: f"struct({i} as i, {j} as j, {own} as own, {stream} as stream)"
+    as_piece = F.expr(f"transform(sequence(0, cast(columns as int) - 1), j -> {cell('__i', 'j', 'cast(null as bigint)', 'true')})")
+    as_passage = F.expr(f"transform(sequence(0, cast(rows as int) - 1), i -> {cell('i', '__j', 'own', 'false')})")
+    whole = F.array(F.expr(cell("0", "0", "own", "true")))
+    cells = F.when((F.col("rows") == 1) & (F.col("columns") == 1), whole).when(F.col("own").isNull(), as_piece).otherwise(F.concat(as_piece, as_passage))
+    streamed = streamed.withColumns({"__i": dealt[0], "__j": dealt[1]}).withColumn("x", F.explode(cells))
+    streamed = streamed.select("shard", "x.i", "x.j", "a", "b", "start", "at", "copies", "words", "x.own", "x.stream")
 
     def search(rows: pa.Table) -> pa.Table:
         out = locate(rows, window, phrase)

@@ -530,11 +530,12 @@ def test_full_shards_are_cut_into_blocks(spark, docs):
 
 def test_words_decide_not_hashes():
     """A passage nominated by a colliding hash is not removed: no other place holds its words."""
-    row = lambda a, words, own, copies=1: {"a": a, "b": 0, "start": 0, "at": 1, "copies": copies, "words": words, "own": own}
+    row = lambda a, words, own, copies=1: {"a": a, "b": 0, "start": 0, "at": 1, "copies": copies, "words": words, "own": own, "stream": own is None}
     table = lambda *rows: pa.Table.from_pylist(list(rows))
     one, two = b"a b c d e f", b"a b c x e f"
     assert substrings.locate(table(row(1, one, 1), row(1, one, None), row(2, two, None)), 5, 3) == []
     assert sorted(substrings.locate(table(row(1, one, 1), row(1, one, None), row(2, b"z a b c d e", None)), 5, 3)) == [(1, 0, 0, 5), (2, 0, 1, 6)]
+    assert substrings.locate(table(row(1, one, 1) | {"stream": True}, row(2, two, None)), 5, 3) == []
     assert set(substrings.locate(table(row(1, one, 2), row(1, one, None, 2)), 5, 3)) == {(1, 0, 1, 6)}
 
 

@@ -84,3 +84,14 @@ def test_run_and_empty(spark, folder, tmp_path):
         odd = stage(spark, odd, at).cache()
         assert odd.columns == ["doc_id", "text", "predicted"]
     assert sorted((x.doc_id or 0) for x in odd.collect()) == [0, 0, 7]
+
+
+def test_one_document_of_each_group_stays(spark):
+    x, y = "the river runs past the old house near the road", "a quite different text about trees and fields in spring"
+    rows = [(1, x, 1), (5, x, 2), (5, y, 3), (5, y, 4), (5, y, 4), (6, y, 5), (None, x, 6), (7, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int")
+    stage = dict(pipeline.STAGES)["near duplicates"]
+    for parts in (1, 5):
+        out = stage(spark, docs.repartition(parts), "")
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "", r.component_id) for r in out.collect()) == [(0, x, 6), (1, x, 1), (5, y, 3), (7, "", 7)]
