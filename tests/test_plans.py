@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from palimpsest.plans import compare as C
+from palimpsest.plans import service as SV
 from palimpsest.sources import fixtures as FX
 from palimpsest.sources import readers as RD
 from palimpsest.streaming import ingest
@@ -85,3 +86,23 @@ def test_stream(spark, tmp_path):
 def test_engine_choice(spark):
     assert C.engine_version(spark) == ("v2", None)
     assert spark.range(1).select(C.http_status(F.lit("rejected"))).first()[0] == 422
+
+
+def test_service(spark):
+    pdf = b"%PDF-1.7"
+    rows = [(1, pdf, pdf), (2, None, pdf), (3, b"", pdf), (4, pdf, b"text")]
+    for names in ("original binary, revised binary", "original_file binary, revised_file binary"):
+        good, bad = SV.accepted(spark.createDataFrame(rows, "pair_id int, " + names))
+        assert [x.pair_id for x in good.collect()] == [1]
+        assert {x.pair_id: (x.status, x.reason) for x in bad.collect()} == {2: (422, "MISSING_ORIGINAL"), 3: (422, "EMPTY_ORIGINAL"), 4: (422, "NOT_A_PDF_REVISED")}
+    assert SV.health()["status"] == "ok" and SV.engine_info(spark) == {"compare_engine": "v2"}
+    pages = spark.createDataFrame([(1, 1, "1.1 Ships sail."), (2, 1, "1.1 Ships wait.")], "doc_id int, page_number int, text string")
+    pairs = spark.createDataFrame([("p", 1, 2)], PAIRS)
+    assert set(SV.compare_clauses(pairs, pages)) == {"clauses", "summary"}
+    lists = SV.compare_clauses(pairs, pages, debug=True)["debug_lists"].first()
+    assert (lists.modified_clause_ids, lists.original_clause_count, lists.revised_clause_count) == (["clause-1-1"], 1, 1)
+    spark.conf.set(C.ENGINE_KEY, "v1")
+    units = spark.createDataFrame([(1, 1, "1.1 Ships sail."), (2, 1, "1.1 Ships wait.")], "doc_id int, unit_seq int, text string")
+    out = SV.compare_documents(spark, pairs, units, units)
+    spark.conf.unset(C.ENGINE_KEY)
+    assert out["engine"].first().engine == "v1" and SV.answers(out["result"]).first().http_status == 200

@@ -1,6 +1,7 @@
 """Structure, alignment and diff of document versions: golden literals and plain-Python versions of the stateful steps."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -397,3 +398,145 @@ def test_case_folding_is_complete(spark):
     wrong = [(a, b) for x in got for a, b in zip(x.f, words[x.i].casefold()) if a != b]
     assert [x.f for x in got if len(words[x.i]) < 8] == [w.casefold() for w in words if len(w) < 8]
     assert len(wrong) <= 20, wrong  # letters that one of the two Unicode versions does not know yet
+
+
+# v1 by plain loops: scores, matches, anchors and the gate
+
+def plain_scores(o, r):
+    """Every clause of one side with every clause of the other: (i, j) -> (overall, text, number), from the rules and difflib alone."""
+    key = lambda t: " ".join((t or "").split()).casefold()
+    f1 = lambda a, b: 100.0 if key(a) == key(b) else round(SequenceMatcher(None, key(a), key(b)).ratio() * 100, 2)
+    top = lambda n: n.split(".")[0].split("(")[0]
+    place = lambda i, n: 0.0 if n <= 1 else i / (n - 1)
+    out = {}
+    for i, x in enumerate(o):
+        for j, y in enumerate(r):
+            a, b = x["number"], y["number"]
+            number = 100.0 if a is not None and a == b else 50.0 if a is None and b is None else 0.0 if a is None or b is None else 60.0 if top(a) == top(b) else round(f1(a, b) * 0.75, 2)
+            pick = lambda f, none: none if x[f] is None and y[f] is None else 0.0 if x[f] is None or y[f] is None else f1(x[f], y[f])
+            text, position = f1(x["text"], y["text"]), round(max(0.0, 100.0 - abs(place(i, len(o)) - place(j, len(r))) * 100.0), 2)
+            out[i, j] = (round(number * 0.30 + text * 0.25 + pick("section_title", 50.0) * 0.20 + pick("title", 0.0) * 0.15 + position * 0.10, 2), text, number)
+    return out
+
+
+def plain_matches(scores):
+    taken_i, taken_j, out = set(), set(), {}
+    for (i, j), (overall, text, number) in sorted(scores.items(), key=lambda e: (-e[1][0], -e[1][1], -e[1][2], e[0])):
+        if overall >= 60.0 and i not in taken_i and j not in taken_j:
+            taken_i.add(i)
+            taken_j.add(j)
+            out[i] = j
+    return out
+
+
+def contract_sides(seed, pairs=14):
+    r = random.Random(seed)
+    words = ["ships", "sail", "tide", "quay", "crane", "rope", "pilot", "flag", "bell", "cargo"]
+    def clause(p, i):  # noqa: E306
+        return {"pair_id": p, "clause_index": i, "id": f"c{i}", "number": r.choice([None, "1.1", "1.2", "2.1", "12.3(a)"]), "text": " ".join(r.choices(words, k=r.choice([2, 4, 9, 30]))), "title": r.choice([None, "tides", "ropes and bells"]), "section_title": r.choice([None, "harbour", "Harbour "])}
+    o = {p: [clause(p, i) for i in range(r.randint(1, 6))] for p in range(pairs)}
+    new = {}
+    for p, rows in o.items():
+        kept = [dict(x) for x in rows if r.random() < 0.8]
+        for x in kept:
+            if r.random() < 0.5:
+                x["text"] = " ".join(w if r.random() < 0.8 else r.choice(words) for w in x["text"].split())
+        kept += [clause(p, 0) for _ in range(r.randint(0, 2))]
+        r.shuffle(kept)
+        new[p] = [x | {"clause_index": i, "id": f"r{i}"} for i, x in enumerate(kept)]
+    return o, new
+
+
+CLAUSE = "pair_id int, clause_index int, id string, number string, text string, title string, section_title string, count int"
+
+
+def test_v1_alignment_by_plain_loops(spark):
+    o, r = contract_sides(21)
+    table = lambda side: spark.createDataFrame([tuple((x | {"count": len(rows)})[f.split()[0]] for f in CLAUSE.split(", ")) for rows in side.values() for x in rows], CLAUSE)
+    a, b = table(o), table(r)
+    scores = A.score_matrix(a, b)
+    got = {(x.pair_id, x.o.clause_index, x.r.clause_index): (x.overall, x.text_score, x.number_score) for x in scores.collect()}
+    want = {(p, *k): v for p in o for k, v in plain_scores(o[p], r[p]).items()}
+    assert got == want
+    matches = A.greedy_matches(scores)
+    pairs = {(p, i): j for p in o for i, j in plain_matches(plain_scores(o[p], r[p])).items()}
+    assert {(x.pair_id, x.i): x.j for x in matches.collect()} == pairs
+    for x in A.alignment(a, b, matches).filter("i is not null").collect():
+        at = pairs.get((x.pair_id, x.i))
+        near = [at] if at is not None else [pairs[k] for k in [(x.pair_id, i) for i in [*range(x.i - 1, -1, -1), *range(x.i + 1, len(o[x.pair_id]))]] if k in pairs][:1]
+        assert x.status == ("matched" if at is not None else "original_only") and x.anchor_id == (f"r{near[0]}" if near else None)
+        assert x.warnings == ([] if near else ["NO_REVISED_ANCHOR_FOUND"])
+
+
+def test_gate_by_plain_loops(spark):
+    o, r = contract_sides(22)
+    rows = lambda side, f: spark.createDataFrame([(p, i, x[f]) for p, xs in side.items() for i, x in enumerate(xs) if x[f] is not None], f"pair_id int, seq int, {f} string")
+    pairs = spark.createDataFrame([(p,) for p in o], "pair_id int")
+    got = {x.pair_id: x for x in A.document_gate(pairs, rows(o, "title"), rows(r, "title"), rows(o, "text"), rows(r, "text")).collect()}
+    mean = lambda x, y: sum(max(K.score100(*(" ".join(t.split()).casefold() for t in (s, t))) for t in y) for s in x) / len(x)
+    best = lambda x, y: 100.0 if not x and not y else 0.0 if not x or not y else round((mean(x, y) + mean(y, x)) / 2, 2)
+    like = lambda x, y: 100.0 if max(x, y) == 0 else round(min(x, y) / max(x, y) * 100, 2)
+    for p in o:
+        texts, heads = [[x["text"] for x in s[p]] for s in (o, r)], [[x["title"] for x in s[p] if x["title"]] for s in (o, r)]
+        want = round(best(*heads) * 0.40 + best(*texts) * 0.40 + like(*map(len, texts)) * 0.10 + like(*(sum(map(len, t)) for t in texts)) * 0.10, 2)
+        assert got[p].overall == pytest.approx(want, abs=0.02) and got[p].status == ("rejected" if got[p].overall < 50 else "accepted")
+
+
+# Adapters, block changes, render instructions, wrapped pages
+
+def test_adapted_documents(spark):
+    blocks = spark.createDataFrame([(1, 0, 2, "heading", ["High Tide"], "High Tide"), (1, 0, 1, "paragraph", ["a", " b "], "a\n b "), (1, 1, 1, "paragraph", [" "], " "), (2, 0, 1, "paragraph", ["x"], "x")], "doc_id int, page_index int, place int, block_type string, lines array<string>, text string")
+    raw = spark.createDataFrame([(1, 1, "raw one"), (1, 2, " raw two "), (2, 1, "raw"), (3, 1, None)], "doc_id int, page_number int, text string")
+    pages, docs = L.adapted_documents(blocks, raw)
+    assert sorted(tuple(x) for x in pages.collect()) == [(1, 1, "a\n b\n\nHigh Tide"), (1, 2, "raw two"), (2, 1, "x"), (3, 1, "")]
+    assert sorted(tuple(x) for x in docs.collect()) == [(1, "High Tide", "a\n b\n\nHigh Tide\n\nraw two"), (2, None, "x"), (3, None, "")]
+
+
+def test_block_changes(spark):
+    block = lambda s, t, path: (1, s, 0, s, t, 0.0, 0.0, 9.0, 9.0, path)
+    schema = "pair_id int, seq int, page_index int, block_index int, text string, x0 double, y0 double, x1 double, y1 double, section_path array<string>"
+    o = spark.createDataFrame([block(0, "ropes last for 12 months at sea", ["A"]), block(1, "same", []), block(2, "zzz qqq", ["A"])], schema)
+    r = spark.createDataFrame([block(0, "ropes last for 18 months at sea", []), block(1, "same", []), block(2, "wholly other words stand here", ["B"])], schema)
+    both = o.withColumn("side", F.lit("original")).unionByName(r.withColumn("side", F.lit("revised")))
+    got = {x.change_id: x for x in D.block_changes(D.align_blocks(both), o, r).collect()}
+    assert [(x.change_type, x.original_block_id, x.revised_block_id, x.section_path) for x in got.values()] and len(got) == 3
+    one = next(x for x in got.values() if x.change_type == "modified")
+    assert (one.change_id, one.fragments, one.section_path, one.original_block_id, one.revised_location.section) == ("CHG-0001", ["18 months"], ["A"], "page-0-block-0", "A") and 0.75 <= one.confidence < 1
+    assert {x.change_type: x.confidence for x in got.values() if x.change_type != "modified"} == {"deleted": 1.0, "added": 1.0}
+
+
+def test_render_instructions_and_samples(spark):
+    compared = spark.createDataFrame([(1, i, "modified" if i else "removed", f"o{i}", f"r{i}", "r9", "old " * 60, "new", None, [], 2, ["s"], f"cmp-{i}") for i in range(8)], "pair_id int, seq int, change_type string, original_id string, revised_id string, anchor_id string, original_text string, revised_text string, heading string, warnings array<string>, revised_page_number int, revised_span_ids array<string>, id string")
+    assert [x.id for x in R.sample_changes(compared, ["pair_id"]).orderBy("id").collect()] == [f"cmp-{i}" for i in range(5)]
+    plan = R.annotation_plan(compared, ["pair_id"])
+    found = plan.select("pair_id", "annotation_id", F.array().cast(L.RECTS).alias("rects"), F.array(F.lit("W")).alias("warnings"))
+    rows = {x.annotation_id: x for x in R.render_instructions(plan, found, ["pair_id"]).collect()}
+    assert (rows["ANN-1"].kind, rows["ANN-1"].opacity, rows["ANN-2"].kind, rows["ANN-2"].content, rows["ANN-2"].warnings) == ("marker", 0.60, "highlight", "Modified: new", ["W"]) and rows["ANN-1"].content == "Removed: new"
+
+
+def test_wrapped_pages(spark):
+    from textwrap import wrap
+
+    from palimpsest.sources import fixtures as FX
+
+    r = random.Random(5)
+    texts = ["\n".join("" if r.random() < 0.2 else " ".join("w" * r.randint(1, 14) for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 60))) for _ in range(6)] + ["", "one\n", "x" * 200]
+    want = {}
+    for d, text in enumerate(texts):
+        page, y = 0, 72.0
+        for b, paragraph in enumerate(text.splitlines()):
+            if not paragraph.strip():
+                y += 14
+                continue
+            for k, line in enumerate(wrap(paragraph, width=88)):
+                if y > 842 - 72:
+                    page, y = page + 1, 72.0
+                want[d, b, k] = (page, y, line)
+                y += 14
+            y += 14
+    got = {}
+    for x in FX.wrapped_layout(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("x0").collect():
+        page, y, words = got.setdefault((x.doc_id, x.block_index, x.line_index), (x.page_index, x.y0, []))
+        assert (page, y) == (x.page_index, x.y0)
+        words.append(x.text)
+    assert {k: (p, y, " ".join(w)) for k, (p, y, w) in got.items()} == {k: (p, y, " ".join(line.split())) for k, (p, y, line) in want.items()}
