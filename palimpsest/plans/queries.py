@@ -129,7 +129,27 @@ def trim_stop_edges(spark, d):
     return u.select("doc_id", "unit_seq", F.array_join(X.trim_edges(X.fragment_words(F.col("text"))), " ").alias("phrase"))
 
 
-@query("search_fragments")
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_KEY = FOLD.format(PLAIN.format(DASH))
+def _runs(items: str, size: int) -> str:
+    return f"list_transform(range(1, len({items}) - {size} + 2), lambda i: {items}[i:i + {size - 1}])"
+
+
+@query("search_fragments", f"""
+with u as (select doc_id, unit_seq, text, {PLAIN.format(DASH.format('text'))} as plain from {UNITS}),
+w as (select *, regexp_extract_all(plain, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)?') as w, regexp_extract_all(text, '[A-Za-z0-9$%]+(?:[''’][A-Za-z0-9]+)?') as m, trim(plain, '.,;:!? ') as seen from u),
+j as (select *, list_transform(w, lambda x: struct_pack(w := x, ok := case when regexp_matches({_KEY.format('x')}, '^[0-9]+$') then length({_KEY.format('x')}) >= 2 else length({_KEY.format('x')}) >= 3 and not list_contains({_list(X.SEARCH_STOP_WORDS)}, {_KEY.format('x')}) end)) as j,
+  list_filter(range(1, len(m) + 1), lambda i: not list_contains({_list(X.EDGE_STOP_WORDS)}, {_KEY.format('m[i]')})) as keep, regexp_extract_all(seen, '[A-Za-z0-9$%]+(?:[''’][A-Za-z0-9]+)?') as v from w),
+r as (select *, list_concat(case when len(list_filter(j, lambda x: x.ok)) > 0 and length(plain) <= 96 then [plain] else [] end,
+  list_filter(list_transform(list_filter(flatten([{", ".join(_runs('j', n) for n in (6, 5, 4, 3, 2))}]), lambda g: len(list_filter(g, lambda x: x.ok)) > 0), lambda g: array_to_string(list_transform(g, lambda x: x.w), ' ')), lambda p: length(p) <= 96)) as many,
+  case when len(keep) = 0 then [] else m[keep[1]:keep[-1]] end as t from j)
+select doc_id, cast(unit_seq as int) as unit_seq, cast(case when len(w) = 0 then 0 when len(w) = 1 then case when j[1].ok then len(list_distinct([plain, w[1]])) else 0 end else len(list_distinct(many)) end as int) as n,
+ cast(case when len(t) = 0 then 0 when len(t) = 1 then case when regexp_matches(t[1], '\\d') or (length({_KEY.format('t[1]')}) >= 3 and not list_contains({_list(X.EDGE_STOP_WORDS)}, {_KEY.format('t[1]')})) then 1 else 0 end when len(t) <= 8 then 1
+   else len(list_filter({_runs('t', 8)}, lambda g: len(list_filter(g, lambda x: not list_contains({_list(X.EDGE_STOP_WORDS)}, {_KEY.format('x')}))) > 0)) end as int) as n_token,
+ case when len(v) = 0 then false when regexp_matches(seen, '\\d') then true else length(seen) >= 8 and not list_contains({_list(X.EDGE_STOP_WORDS)}, {_KEY.format('v[1]')}) and not list_contains({_list(X.EDGE_STOP_WORDS)}, {_KEY.format('v[-1]')}) end as visual from r""")
 def search_fragments(spark, d):
     return FX.units(docs(spark, d)).select("doc_id", "unit_seq", F.size(X.search_fragments(F.col("text"))).alias("n"), F.size(X.token_fragments(F.col("text"))).alias("n_token"), X.visual_fragment(F.col("text")).alias("visual"))
 
@@ -585,6 +605,11 @@ tk as (select lw.doc_id, lw.page_index, {FOLD.format(PLAIN.format(TDASH.format('
   from lw join bp using (doc_id, page_index, block_index) where margin is null and length(regexp_replace(key, '[^\\p{{L}}]', '', 'g')) > 0 and length(key) > 2 and {FOLD.format(PLAIN.format(TDASH.format('lw.text')))} <> '')"""
 
 
+_TOKENS_WITH_BOXES = f"""{_PLACED},
+tb as (select lw.doc_id, lw.page_index, lw.block_index, lw.line_index, lw.x0, lw.y0, lw.x1, lw.y1 from lw join bp using (doc_id, page_index, block_index)
+  where margin is null and length(regexp_replace(key, '[^\\p{{L}}]', '', 'g')) > 0 and length(key) > 2 and {FOLD.format(PLAIN.format(TDASH.format('lw.text')))} <> '')"""
+
+
 def words(spark, d):
     return shared(spark, d, "words", lambda: FX.layout(docs(spark, d)))
 
@@ -608,6 +633,48 @@ def layout_columns(spark, d):
     return b.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("block_index").cast("int").alias("block_index"), "margin", F.col("column_index").cast("int").alias("column_index"), F.col("place").cast("int").alias("place"))
 
 
+_HEADS = "|".join(f"(?:{p})" for p in P.BLOCK_HEADINGS).replace("'", "''")
+_ITEMS = "|".join(f"(?:{p})" for p in P.BLOCK_LISTS).replace("'", "''")
+
+
+@query("block_types", rf"""with {_MARGINS},
+bf as (select *, {PLAIN.format('text')} as t, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as full_lines from bm)
+select doc_id, cast(page_index as int) as page_index, cast(block_index as int) as block_index,
+ case when margin is not null then margin when t = '' or number or length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) = 0 or length(t) <= 2 then 'noise'
+  when regexp_matches(t, '{_HEADS}') or (length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) >= 6 and length(t) <= 90 and upper(t) = t and len(string_split(t, ' ')) <= 10) then 'heading' when regexp_matches(t, '{_ITEMS}') then 'list_item'
+  when length(text) - length(replace(text, '|', '')) >= 2 or case when len(full_lines) < 2 then regexp_matches(text, '\S+\s{{3,}}\S+\s{{3,}}\S+') else len(full_lines) >= 3 and len(list_filter(full_lines, lambda x: length(x) <= 35)) / cast(len(full_lines) as double) >= 0.7 end then 'table_candidate'
+  when length(t) >= 35 then 'paragraph' else 'unknown' end as block_type from bf""".replace("\\\\", "\\"))
+def block_types(spark, d):
+    b = L.typed(L.margins(L.blocks_of(words(spark, d))))
+    return b.select("doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("block_index").cast("int").alias("block_index"), "block_type")
+
+
+_RECTS = f"""{_TOKENS_WITH_BOXES},
+rt as (select *, max(x1) over (partition by doc_id, page_index, block_index, line_index order by x0, y0 rows between unbounded preceding and 1 preceding) as reach from tb),
+rg as (select *, sum(case when reach is null or x0 - reach > 4 then 1 else 0 end) over (partition by doc_id, page_index, block_index, line_index order by x0, y0 rows between unbounded preceding and current row) as g from rt),
+rr as (select doc_id, page_index + 1 as page_number, greatest(0e0, min(x0) - 1.25e0) as x0, greatest(0e0, min(y0) - 1.25e0) as y0, max(x1) + 1.25e0 as x1, max(y1) + 1.25e0 as y1 from rg group by doc_id, page_index, block_index, line_index, g)"""
+
+
+def line_boxes(spark, d):
+    w = words(spark, d)
+    t = shared(spark, d, "tokens", lambda: L.word_tokens(w, L.processed_blocks(w)))
+    return L.token_rects(t, ["doc_id"])
+
+
+@query("line_rects", f"with {_RECTS} select doc_id, cast(page_number as int) as page_number, x0, y0, x1, y1, cast(row_number() over (partition by doc_id, page_number order by y0, x0, x1) as int) as rect from rr")
+def line_rects(spark, d):
+    """The rectangles of all words of every page, joined along lines."""
+    return line_boxes(spark, d).select("doc_id", F.col("page_number").cast("int").alias("page_number"), "x0", "y0", "x1", "y1", "rect")
+
+
+@query("line_pages", f"""with {_RECTS}, pa as (select doc_id, page_number, cast(count(*) as bigint) as highlights, sum((x1 - x0) * (y1 - y0)) / {FX.WIDTH * FX.HEIGHT}e0 as ratio from rr group by 1, 2)
+select doc_id, cast(page_number as int) as page_number, highlights as annotations, highlights, cast(0 as bigint) as unwanted, round(ratio, 6) as area_ratio, highlights > 25 or ratio > 0.18e0 as dense from pa""")
+def line_pages(spark, d):
+    """Pages as if every line were highlighted: how dense they are."""
+    r = line_boxes(spark, d).withColumn("kind", F.lit("Highlight")).withColumn("area", L.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).withColumn("page_area", F.lit(FX.WIDTH * FX.HEIGHT))
+    return L.page_diagnostics(r, ["doc_id"]).withColumn("page_number", F.col("page_number").cast("int")).withColumn("area_ratio", F.round("area_ratio", 6))
+
+
 @query("layout_tokens", f"with {_TOKENS} select doc_id, cast(count(*) as bigint) as tokens, md5(string_agg(normalized, ' ' order by token_index)) as key, cast(count(*) as int) as \"end\" from tk group by doc_id")
 def layout_tokens(spark, d):
     w = words(spark, d)
