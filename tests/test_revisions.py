@@ -540,3 +540,20 @@ def test_wrapped_pages(spark):
         assert (page, y) == (x.page_index, x.y0)
         words.append(x.text)
     assert {k: (p, y, " ".join(w)) for k, (p, y, w) in got.items()} == {k: (p, y, " ".join(line.split())) for k, (p, y, line) in want.items()}
+
+
+def test_section_paths_by_plain_loop(spark):
+    r = random.Random(31)
+    rows, want = [], {}
+    for d in range(8):
+        path = []
+        for i in range(40):
+            kind = r.choice(["heading", "paragraph", "paragraph", "header", "noise"])
+            text = f"{'.'.join(str(r.randint(1, 9)) for _ in range(r.randint(1, 4)))} Title {i}" if kind == "heading" and r.random() < 0.9 else f"words {i}"
+            if kind == "heading":
+                level = text.split()[0].count(".") + 1 if text[0].isdigit() else 1
+                path = [*path[: level - 1], text]
+            rows.append((d, i // 9, i % 9, kind, text))
+            want[d, i // 9, i % 9] = [] if kind in ("header", "noise") else path
+    df = spark.createDataFrame(rows, "doc_id int, page_index int, place int, block_type string, text string").repartition(3)
+    assert {(x.doc_id, x.page_index, x.place): x.section_path for x in L.section_paths(df).collect()} == want
