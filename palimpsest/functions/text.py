@@ -54,12 +54,26 @@ def _foldings() -> tuple[dict[str, str], dict[str, str]]:
 FOLD_ONE, FOLD_SEVERAL = _foldings()
 
 
+def _about(chars, gap: int = 0x40) -> str:
+    """A regular expression for one of the characters, or one near them: a few ranges, which are tried faster than many characters."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c - runs[-1][1] <= gap and c > 0x2FF:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding: lower case, then what folding changes beyond it, such as ß to ss. Only texts with characters that become several are taken apart."""
-    low = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
-    table = F.map_from_arrays(F.split(F.lit(" ".join(FOLD_SEVERAL)), " "), F.split(F.lit(" ".join(FOLD_SEVERAL.values())), " "))
-    apart = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(low.rlike("[" + "".join(FOLD_SEVERAL) + "]"), apart).otherwise(low)
+    """Full case folding: lower case, ß as ss, and in texts that need it all else that folding changes beyond lower case."""
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    rare = {c: f for c, f in FOLD_SEVERAL.items() if c != "ß"}
+    one = F.translate(low, "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    table = F.map_from_arrays(F.split(F.lit(" ".join(rare)), " "), F.split(F.lit(" ".join(rare.values())), " "))
+    apart = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    several = F.when(one.rlike(_about(rare)), apart).otherwise(one)
+    return F.when(low.rlike(_about([*FOLD_ONE, *rare])), several).otherwise(low)
 
 
 def display_text(text: Column) -> Column:
@@ -82,6 +96,11 @@ def word_key(text: Column) -> Column:
     return casefold(collapse(_mapped(text, TOKEN_MAP)))
 
 
+def word_keys(text: Column) -> Column:
+    """word_key of each word of a collapsed text, in a text with the same spaces; a word's key may be empty."""
+    return casefold(_mapped(text, TOKEN_MAP))
+
+
 def render_text(text: Column) -> Column:
     """As alignment_key with case kept."""
     return collapse(_mapped(text, ALIGNMENT_MAP))
@@ -98,8 +117,8 @@ def words(text: Column) -> Column:
 
 
 def clause_key(text: Column) -> Column:
-    """Each word by word_key, empty ones dropped, joined by one space."""
-    return F.array_join(F.filter(F.transform(words(text), word_key), lambda w: w != ""), " ")
+    """Each word by word_key, empty ones dropped, joined by one space. Made of the whole text, as word_key keeps words apart."""
+    return F.trim(F.regexp_replace(word_keys(collapse(text)), " +", " "))
 
 
 def unicode_tokens(text: Column) -> Column:

@@ -14,7 +14,9 @@ from ..session import stored
 
 def token_arrays(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, toks, keys): visible words whose key is not empty, and their keys."""
-    pairs = F.filter(F.transform(X.words(F.col(text)), lambda w: F.struct(w.alias("t"), X.word_key(w).alias("k"))), lambda p: p["k"] != "")
+    # Keys are made of the whole text: no step of word_key adds or takes away a space between words.
+    flat = X.collapse(F.col(text))
+    pairs = F.filter(F.zip_with(F.split(flat, " "), F.split(X.word_keys(flat), " "), lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda p: p["k"] != "")
     return docs.select(id, pairs.alias("__p")).select(id, F.transform("__p", lambda p: p["t"]).alias("toks"), F.transform("__p", lambda p: p["k"]).alias("keys"))
 
 
@@ -251,8 +253,10 @@ def near_copy_pairs(docs: DataFrame, size: int = 8, least: float = 0.5) -> DataF
     keyed = docs.select("doc_id", X.block_key(F.col("text")).alias("key")).filter("key is not null")
     heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"))
     exact = keyed.join(heads, "key").filter("doc_id > head").select(F.col("head").alias("original_doc_id"), F.col("doc_id").alias("revised_doc_id"), F.lit("exact").alias("kind"))
-    sets = heads.select("head", F.array_distinct(F.transform(X.windows_of(F.split("key", " "), size), lambda g: F.xxhash64(g))).alias("gs"))
-    sets = stored(sets.withColumn("n", F.size("gs")).filter("n > 0"), "phrases")
+    runs = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size))))
+    grams = X.let(F.transform(F.split("key", " "), lambda w: F.xxhash64(w)), runs)
+    long = heads.filter(F.length("key") - F.length(F.replace("key", F.lit(" "), F.lit(""))) >= size - 1)  # asked without the phrases, so that they are made once
+    sets = stored(long.select("head", grams.alias("gs")), "phrases").withColumn("n", F.size("gs"))
     phrases = sets.select("head", "n", F.explode("gs").alias("g"))
     common = phrases.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
     held = stored(phrases.join(common, "g"), "held")
