@@ -36,7 +36,7 @@ def two_pass_shuffle(df: DataFrame, shards: int = 8, seed: int = 2029, bucket_by
     records = _scattered(df.withColumn("__h", F.xxhash64(F.lit(seed), key, text, *rest)), most_copies)
     records = records.withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int")).drop("__h")
 
-    counts = records.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr("__bucket div 1024"))
+    counts = stored(records.groupBy("__bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr("__bucket div 1024")), "buckets")
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1024 buckets
     blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("block").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
