@@ -37,3 +37,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["detokenise"])
+def test_lines_that_begin_with_digits(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, "0997 tides, and 0\n1 moors\n  \n 3 ports of 3\n4"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall())

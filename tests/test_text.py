@@ -92,3 +92,10 @@ def test_matching_blocks_are_those_of_difflib():
             found = K.matching_blocks(a, b, small)
             assert found == [tuple(x) for x in want.get_matching_blocks() if x.size]
             assert K.edits(found, len(a), len(b)) == want.get_opcodes()
+
+
+def test_units_keep_leading_digits(spark):
+    from palimpsest.sources import fixtures as FX
+
+    docs = spark.createDataFrame([(1, "0997 tides\n1219 moors \n  \n 3 3\n404"), (2, None)], "doc_id int, text string")
+    assert [tuple(r) for r in FX.units(docs).orderBy("unit_seq").collect()] == [(1, 1, "0997 tides"), (1, 2, "1219 moors"), (1, 3, "3 3"), (1, 4, "404")]
