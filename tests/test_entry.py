@@ -39,7 +39,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["detokenise", "paragraph_hash", "trim_stop_edges"])
+@pytest.mark.parametrize("name", ["detokenise", "paragraph_hash", "trim_stop_edges", "search_fragments"])
 def test_lines_that_begin_with_digits(spark, tmp_path, name):
     import __spark_entry__ as entry
 
