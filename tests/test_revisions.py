@@ -189,6 +189,22 @@ def test_pruned_scores_give_the_same_matches_and_means(spark):
         assert got[p] == pytest.approx((mean(x, y) + mean(y, x)) / 2, abs=0.0051)
 
 
+def test_first_choices_are_the_greedy_matches_and_compare_few_texts(spark, monkeypatch):
+    r = random.Random(6)
+    words = ["pay", "rent", "notice", "law", "term", "party", "shall", "days"]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 5, 60])))
+    rows = [[(p, i, f"c{i}", r.choice([None, "1.1", "1.2", "2.1", "(a)"]), text(), r.choice([None, "fees", "Fees due"]), r.choice([None, "terms", "Term"])) for p in range(40) for i in range(r.randint(1, 6))] for _ in range(2)]
+    schema = "pair_id int, clause_index int, id string, number string, text string, title string, section_title string"
+    a, b = (spark.createDataFrame(x, schema).withColumn("count", F.lit(6)) for x in rows)
+    key = lambda m: sorted((x.pair_id, x.i, x.j, x.overall, x.text_score, x.number_score) for x in m.collect())
+    want = key(A.greedy_matches(A.score_matrix(a, b)))
+    assert want and key(A.best_matches(a, b)) == want and key(A.best_matches(a, b, most=3)) == want
+    compared = []
+    monkeypatch.setattr(A.K, "score100", lambda x, y: compared.append((x, y)) or 90.0)
+    clauses = lambda k: [A.Scored(i, 20, f"1.{i}", f"1.{i}", "terms", None, f"clause {i} says {i + k}") for i in range(20)]
+    assert len(A._first_choices(clauses(0), clauses(1), 60.0)) == 20 and len(compared) == 20
+
+
 def test_alignment_of_sides_cut_from_one_table(spark):
     rows = [("x", "1.1", "1.1 a b c"), ("x", "1.2", "1.2 d e f"), ("y", "1.1", "1.1 a b c"), ("y", "1.2", "1.2 d e g")]
     both = spark.createDataFrame([(1, s, i, f"clause-{n}", n, None, t) for i, (s, n, t) in enumerate(rows)], "pair_id int, side string, order_index int, id string, number string, heading string, text string")
