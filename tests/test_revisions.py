@@ -205,6 +205,26 @@ def test_first_choices_are_the_greedy_matches_and_compare_few_texts(spark, monke
     assert len(A._first_choices(clauses(0), clauses(1), 60.0)) == 20 and len(compared) == 20
 
 
+def test_one_edit_is_settled_as_difflib_does():
+    r, settled = random.Random(9), 0
+    for case in range(6000):
+        words = "abcd"[: r.randint(1, 4)]
+        first, last = ([r.choice(words) for _ in range(r.randint(0, 6))] for _ in range(2))
+        middle = lambda own: [r.choice(own if case % 3 else words) for _ in range(r.randint(0, 3))]
+        a, b = [*first, *middle("xy"), *last], [*first, *middle("zw"), *last]
+        settled += K.one_edit(a, b) is not None
+        assert K.opcodes(a, b, False) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    assert settled > 2500
+
+
+def test_words_of_one_row_are_those_of_token_arrays(spark):
+    rows = spark.createDataFrame([(1, "The –  ship\u00ad sails", None), (2, "", "Ein Straße "), (3, "a  b", "a c")], "k int, a_text string, b_text string")
+    got = {x.k: x for x in D.row_streams(rows, "a_text", "b_text").collect()}
+    for side in "ab":
+        for x in D.token_arrays(rows.fillna("", [f"{side}_text"]), "k", f"{side}_text").collect():
+            assert (got[x.k][side], got[x.k][f"{side}k"]) == (x.toks, x["keys"])
+
+
 def test_alignment_of_sides_cut_from_one_table(spark):
     rows = [("x", "1.1", "1.1 a b c"), ("x", "1.2", "1.2 d e f"), ("y", "1.1", "1.1 a b c"), ("y", "1.2", "1.2 d e g")]
     both = spark.createDataFrame([(1, s, i, f"clause-{n}", n, None, t) for i, (s, n, t) in enumerate(rows)], "pair_id int, side string, order_index int, id string, number string, heading string, text string")
