@@ -49,3 +49,18 @@ def test_lines_that_begin_with_digits(spark, tmp_path, name):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     df = entry.queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_stored_opcodes_hold_no_words_and_phrases_go(spark, tmp_path):
+    from palimpsest.plans import queries as Q
+    from palimpsest.session import shared_dir
+
+    base = [f"word{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base), " ".join([*base[:30], "other", *base[31:]])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith(("phrases-", "held-"))}
+    before = held()
+    got = {r.pair_id: (r.original_tokens, r.revised_tokens) for r in Q.v2_op_lengths(spark, str(tmp_path)).collect()}
+    assert got == {"0-1": (60, 60), "0-2": (60, 60)} and held() == before
+    table = Q._ops_of(spark, str(tmp_path), "ops", Q.doc_pairs(spark, str(tmp_path)))
+    assert table.columns == ["pair_id", "original_text", "revised_text", "ops"] and table.filter("revised_text is null").count() == 1
