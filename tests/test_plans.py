@@ -106,3 +106,17 @@ def test_service(spark):
     out = SV.compare_documents(spark, pairs, units, units)
     spark.conf.unset(C.ENGINE_KEY)
     assert out["engine"].first().engine == "v1" and SV.answers(out["result"]).first().http_status == 200
+
+
+def test_alignment_counts_without_the_score_matrix(spark, monkeypatch):
+    from palimpsest.operators import align as A
+    from palimpsest.operators import report as R
+
+    rows = [(1, i, 2, f"c{i}", f"1.{i + 1}", None, "terms", f"clause {i} says {i}") for i in range(2)]
+    schema = "pair_id int, clause_index int, count int, id string, number string, title string, section_title string, text string"
+    o, r = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:1], schema)
+    monkeypatch.delattr(A, "score_matrix")  # a pair of few clauses never needs the matrix
+    monkeypatch.delattr(A, "greedy_matches")
+    a = A.alignment(o, r, A.best_matches(o, r))
+    assert R.alignment_counts(a, ["pair_id"]).count() == 1
+    assert sorted((x.status, x.original_id, x.revised_id) for x in a.collect()) == [("matched", "c0", "c0"), ("original_only", "c1", None)]
