@@ -31,7 +31,9 @@ from .common import discard, release, split_batch, stored
 
 WINDOW, PHRASE = 35, 16
 #: Pieces that a shard has on average, and at most in one of its blocks; windows of the passages of one automaton.
-SHARD_PIECES, BLOCK_PIECES, BLOCK_PASSAGES = 1 << 13, 1 << 15, 1 << 17
+SHARD_PIECES, BLOCK_PIECES, BLOCK_PASSAGES = 1 << 12, 1 << 14, 1 << 17
+#: Pieces that are words at the same time while they are streamed.
+STREAMED = 1 << 9
 #: Shards in several blocks of which a table may be broadcast: 24 bytes each.
 BROADCAST_SHARDS = 1 << 17
 _M = 0x9E3779B97F4A7C15
@@ -102,7 +104,7 @@ class Pieces:
 
 def _texts(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for batch in batches:
-        for part in split_batch(batch, 4 << 20):
+        for part in split_batch(batch, 2 << 20):
             yield part, [t.split() for t in part.column(at).to_pylist()]
 
 
@@ -175,7 +177,8 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
     """(a, b, first word, end) of the words that a window found elsewhere covers, in the pieces of one block and at its passages' representatives.
 
     rows: a, b, start, at (place of the anchor phrase), copies, words (joined by a space); own: the bits of the windows that a passage stands
-    for, null for none; stream: whether the piece is streamed. A piece's windows overlap, so what they cover is one range.
+    for, null for none; stream: whether the piece is streamed. A piece's windows overlap, so what they cover is one range. Only passages are
+    held as Python objects; streamed pieces become words some at a time.
     """
     import ahocorasick
 
@@ -183,13 +186,9 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     passages: dict[bytes, tuple[int, int]] = {}  # a window's words: its passage, and its place there
     places: list[tuple[int, int, int]] = []
-    streamed = []
-    for own, a, b, start, at, copies, raw, stream in zip(*[rows.column(c).to_pylist() for c in ("own", "a", "b", "start", "at", "copies", "words", "stream")]):
+    columns = lambda part, *names: zip(*[part.column(c).to_pylist() for c in names])
+    for own, a, b, start, at, raw in columns(rows.filter(rows.column("own").is_valid()), "own", "a", "b", "start", "at", "words"):
         words = raw.split()
-        if stream:
-            streamed.append((a, b, start, copies, raw, words))
-        if own is None:
-            continue
         automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in words[at : at + phrase]]))
         edge = list(accumulate(map(len, words), initial=0))
         for i in range(own.bit_length()):
@@ -202,8 +201,9 @@ def locate(rows: pa.Table, window: int = WINDOW, phrase: int = PHRASE) -> list[t
     met = [0] * len(places)
     out = []
     get, known, find = number.get, passages.get, automaton.iter
-    for a, b, start, copies, raw, words in streamed:
-        edge, seen, mask = None, 0, 0
+    streamed = rows.filter(rows.column("stream")).to_batches(STREAMED)
+    for a, b, start, copies, raw in chain.from_iterable(columns(part, "a", "b", "start", "copies", "words") for part in streamed):
+        words, edge, seen, mask = raw.split(), None, 0, 0
         for end, _ in find(tuple([get(w, 0) for w in words])):
             edge = edge or list(accumulate(map(len, words), initial=0))
             first, last = max(seen, end + 1 - window), min(end + 1 - phrase, len(words) - window)

@@ -539,6 +539,20 @@ def test_words_decide_not_hashes():
     assert set(substrings.locate(table(row(1, one, 2), row(1, one, None, 2)), 5, 3)) == {(1, 0, 1, 6)}
 
 
+def test_streamed_pieces_are_not_held_as_words():
+    import tracemalloc
+
+    texts = [b" ".join(b"w%d" % (7 * k + i) for i in range(40)) for k in range(20000)]
+    n = len(texts)
+    numbers = lambda v, t: pa.array([v] * n, t)
+    rows = pa.table({"a": pa.array(range(n), pa.int64()), "b": numbers(0, pa.int64()), "start": numbers(0, pa.int32()), "at": numbers(0, pa.int32()), "copies": numbers(1, pa.int64()), "words": pa.array(texts, pa.binary()), "own": pa.array([1] + [None] * (n - 1), pa.int64()), "stream": numbers(True, pa.bool_())})
+    tracemalloc.start()
+    assert substrings.locate(rows, 35, 16) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20  # 800,000 words would take more than 30 MB
+
+
 def test_rolling_and_least_places():
     r = np.random.default_rng(2)
     h = r.integers(0, 2**64, 60, np.uint64)
