@@ -36,8 +36,13 @@ def margins(blocks: DataFrame) -> DataFrame:
     """Blocks with margin: footer for page numbers anywhere, header or footer for texts that stand in the top or bottom 12 % of two pages or more, else null."""
     key, number = X.block_key(F.col("text")), P.page_number_text(F.col("text"))
     b = blocks.withColumn("__key", key).withColumn("__number", number).withColumn("__top", F.col("y0") <= F.col("height") * 0.12).withColumn("__low", F.col("y1") >= F.col("height") * 0.88)
-    pages = lambda edge: b.filter(F.col(edge) & ~F.col("__number") & (F.col("__key") != "")).groupBy("doc_id", "__key").agg(F.count_distinct("page_index").alias("n")).filter("n >= 2").select("doc_id", "__key", F.lit(True).alias(f"{edge}_again"))
-    b = b.join(pages("__top"), ["doc_id", "__key"], "left").join(pages("__low"), ["doc_id", "__key"], "left")
+    same = Window.partitionBy("doc_id", "__key")  # windows, not joins: blocks keep to their document's partition
+
+    def again(edge: str) -> Column:
+        page = F.when(F.col(edge) & ~F.col("__number") & (F.col("__key") != ""), F.col("page_index"))
+        return F.min(page).over(same) < F.max(page).over(same)
+
+    b = b.withColumns({"__top_again": again("__top"), "__low_again": again("__low")})
     margin = F.when(F.col("__number"), "footer").when(F.col("__top") & F.col("__top_again"), "header").when(F.col("__low") & F.col("__low_again"), "footer")
     return b.withColumn("margin", margin).drop("__key", "__number", "__top", "__low", "__top_again", "__low_again")
 
@@ -45,15 +50,17 @@ def margins(blocks: DataFrame) -> DataFrame:
 def columns(blocks: DataFrame, least_blocks: int = 4, gap: float = 0.18) -> DataFrame:
     """E5: blocks with column_index (0, 1; null for margins): a page is split in the middle of its widest step in x0 if that is 18 % of its width and the halves do not overlap."""
     body = F.col("margin").isNull() & (X.collapse(F.col("text")) != "")
-    w = Window.partitionBy(*PAGE).orderBy("x0")
-    step = blocks.filter(body).withColumn("__next", F.lead("x0").over(w))
-    wide = step.groupBy(*PAGE).agg(F.count("*").alias("__n"), F.max(F.when(F.col("__next").isNotNull(), F.struct((F.col("__next") - F.col("x0")).alias("gap"), F.col("x0").alias("l"), F.col("__next").alias("r")))).alias("__g"))
-    b = blocks.join(wide, PAGE, "left").withColumn("__split", F.when((F.col("__n") >= least_blocks) & (F.col("__g.gap") >= F.col("width") * gap), (F.col("__g.l") + F.col("__g.r")) / 2))
+    b = blocks.withColumn("__body", body)
+    b = b.withColumn("__next", F.lead("x0").over(Window.partitionBy(*PAGE, "__body").orderBy("x0")))
     page = Window.partitionBy(*PAGE)
+    step = F.when(F.col("__body") & F.col("__next").isNotNull(), F.struct((F.col("__next") - F.col("x0")).alias("gap"), F.col("x0").alias("l"), F.col("__next").alias("r")))
+    b = b.withColumns({"__n": F.count(F.when(F.col("__body"), 1)).over(page), "__g": F.max(step).over(page)})
+    b = b.withColumn("__split", F.when((F.col("__n") >= least_blocks) & (F.col("__g.gap") >= F.col("width") * gap), (F.col("__g.l") + F.col("__g.r")) / 2))
+    body = F.col("__body")
     left_edge = F.max(F.when(body & (F.col("x0") <= F.col("__split")), F.col("x1"))).over(page)
     right_edge = F.min(F.when(body & (F.col("x0") > F.col("__split")), F.col("x0"))).over(page)
     two = F.coalesce((left_edge <= right_edge), F.lit(False))
-    return b.withColumn("column_index", F.when(body, F.when(two & (F.col("x0") > F.col("__split")), 1).otherwise(0))).drop("__n", "__g", "__split")
+    return b.withColumn("column_index", F.when(body, F.when(two & (F.col("x0") > F.col("__split")), 1).otherwise(0))).drop("__body", "__next", "__n", "__g", "__split")
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -74,9 +81,11 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     heads = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "place", P.heading_level(F.col("text")).cast("int").alias("level"), X.collapse(F.col("text")).alias("title")))).alias("h"))
     paths = heads.select("doc_id", F.explode(F.arrays_zip("h", K.section_paths_udf("h.level", "h.title").alias("path"))).alias("x"))
     paths = paths.select("doc_id", F.col("x.h.page_index").alias("page_index"), F.col("x.h.place").alias("place"), F.col("x.path").alias("__path"))
-    above = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("doc_id").orderBy("page_index", "place", "__block").rowsBetween(Window.unboundedPreceding, 0)
     none = F.array().cast("array<string>")
-    b = blocks.join(paths, ["doc_id", "page_index", "place"], "left").withColumn("__path", F.last("__path", ignorenulls=True).over(above))
+    # A union and a window, not a join: blocks keep to their document's partition.
+    b = blocks.withColumn("__block", F.lit(True)).unionByName(paths.withColumn("__block", F.lit(False)), allowMissingColumns=True)
+    b = b.withColumn("__path", F.last("__path", ignorenulls=True).over(above)).filter("__block").drop("__block")
     return b.withColumn("section_path", F.when(body, F.coalesce("__path", none)).otherwise(none)).drop("__path")
 
 
@@ -87,18 +96,22 @@ def processed_blocks(words: DataFrame) -> DataFrame:
 
 def word_tokens(words: DataFrame, blocks: DataFrame) -> DataFrame:
     """Tokens numbered from 0 through a document in reading order, without margins and noise; a page that has no such token gives its words that belong to no block."""
-    b = blocks.select(*BLOCK, "place", "block_type", "section_path")
-    w = words.withColumn("normalized", X.word_key(F.col("text"))).filter("normalized <> ''")
-    inside = w.join(b.filter(~F.col("block_type").isin("header", "footer", "noise")), BLOCK)
-    loose = w.join(b.select(*BLOCK), BLOCK, "left_anti").join(inside.select(*PAGE).distinct(), PAGE, "left_anti")
-    every = inside.unionByName(loose, allowMissingColumns=True)
+    heading = F.when(F.size("section_path") > 0, F.element_at("section_path", -1)).alias("section_heading")
+    inside = ~F.col("block_type").isin("header", "footer", "noise")
+    b = blocks.filter(" and ".join(f"{c} is not null" for c in BLOCK)).select(*BLOCK, F.struct("place", "block_type", heading, inside.alias("inside")).alias("__b"))
+    fields = [*BLOCK, "line_index", "word_index", "text", "x0", "y0", "x1", "y1"]
+    w = words.select(*fields, X.word_key(F.col("text")).alias("normalized")).filter("normalized <> ''")
+    # Words meet their blocks by a union and a window, not a join, so that words dealt by document are not dealt again.
+    met = w.withColumn("__word", F.lit(True)).unionByName(b, allowMissingColumns=True).withColumn("__b", F.max("__b").over(Window.partitionBy(*BLOCK)))
+    met = met.filter("__word and coalesce(__b.inside, true)").withColumn("__any", F.count("__b").over(Window.partitionBy(*PAGE)))
+    every = met.filter("__b is not null or __any = 0").select(*fields, "normalized", "__b.*")
     order = Window.partitionBy("doc_id").orderBy("page_index", F.coalesce("place", F.lit(0)), F.coalesce("line_index", F.lit(10**9)), "y0", "x0", "word_index")
     name = F.when(F.col("block_type").isNotNull(), F.format_string("page-%d-block-%d", "page_index", "block_index"))
     out = every.withColumn("token_index", F.row_number().over(order) - 1)
     return out.select(
         "doc_id", "token_index", F.concat(F.lit("token-"), F.col("token_index").cast("string")).alias("id"), "text", "normalized", (F.col("page_index") + 1).alias("page_number"), "x0", "y0", "x1", "y1",
         name.alias("block_id"), F.when(F.col("line_index").isNotNull(), F.concat(name, F.lit("-line-"), F.col("line_index").cast("string"))).alias("line_id"),
-        F.when(F.col("block_type").isin("paragraph", "list_item", "table_candidate"), name).alias("paragraph_id"), F.when(F.size("section_path") > 0, F.element_at("section_path", -1)).alias("section_heading"),
+        F.when(F.col("block_type").isin("paragraph", "list_item", "table_candidate"), name).alias("paragraph_id"), "section_heading",
     )
 
 

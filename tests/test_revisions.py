@@ -1,6 +1,7 @@
 """Structure, alignment and diff of document versions: golden literals and plain-Python versions of the stateful steps."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -593,3 +594,16 @@ def test_section_paths_by_plain_loop(spark):
             want[d, i // 9, i % 9] = [] if kind in ("header", "noise") else path
     df = spark.createDataFrame(rows, "doc_id int, page_index int, place int, block_type string, text string").repartition(3)
     assert {(x.doc_id, x.page_index, x.place): x.section_path for x in L.section_paths(df).collect()} == want
+
+
+def test_layout_deals_texts_once(spark):
+    from palimpsest.sources import fixtures as FX
+
+    docs = spark.createDataFrame([(4, "some words of a text " * 90), (5, "others " * 700), (6, None)], "doc_id bigint, text string")
+    blocks = L.reading_order(L.columns(L.margins(L.blocks_of(FX.layout(docs)))))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning", 1)[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all(re.match(r"\(doc_id#\d+L?, \d+\)", x) for x in dealt)
+    assert "Join" not in plan
+    tokens = L.word_tokens(FX.layout(docs), L.processed_blocks(FX.layout(docs)))
+    assert {r.doc_id: r["count"] for r in tokens.groupBy("doc_id").count().collect()} == {4: 453, 5: 580}  # one page: the head line is no header; two pages: their equal first blocks of 60 words are
