@@ -607,3 +607,46 @@ def test_layout_deals_texts_once(spark):
     assert "Join" not in plan
     tokens = L.word_tokens(FX.layout(docs), L.processed_blocks(FX.layout(docs)))
     assert {r.doc_id: r["count"] for r in tokens.groupBy("doc_id").count().collect()} == {4: 453, 5: 580}  # one page: the head line is no header; two pages: their equal first blocks of 60 words are
+
+
+def test_line_kernels_hold_what_comparing_every_pair_gives():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))
+    for _ in range(200):
+        o, r = ([word() for _ in range(rng.randint(0, 8))] for _ in range(2))
+        for a in o:
+            for b in r:
+                assert K.share_from(a, b, D.MODIFIED) == (K.share(a, b) if K.share(a, b) >= D.MODIFIED else 0.0) or K.share(a, b) < D.MODIFIED
+        expected = []
+        for op, i, j, k, n in K.opcodes(o, r, True):
+            if op == "equal":
+                expected += [("unchanged", x, y, 1.0) for x, y in zip(range(i, j), range(k, n))]
+                continue
+            free = list(range(k, n))
+            for x in range(i, j):
+                scored = [(K.share(o[x], r[y]), -t) for t, y in enumerate(free)]
+                if scored and max(scored)[0] >= D.MODIFIED:
+                    expected.append(("modified", x, free.pop(-max(scored)[1]), max(scored)[0]))
+                else:
+                    expected.append(("delete", x, None, 0.0))
+            expected += [("insert", None, y, 0.0) for y in free]
+        assert D._block_ops(o, r, D.MODIFIED) == expected
+
+
+def test_likeness_of_lines_that_lengths_rule_out_is_never_computed(monkeypatch):
+    """A replaced run of many unlike lines: earlier, every two of them were compared."""
+    asked = []
+    monkeypatch.setattr(K, "ratio", lambda a, b, autojunk=True: asked.append((a, b)) or 0.0)
+    o, r = [f"{'x' * (50 + k)}" for k in range(40)], [f"{'y' * (50 + k)}" for k in range(40)]
+    assert [x[0] for x in D._block_ops(o, r, D.MODIFIED)] == ["delete"] * 40 + ["insert"] * 40 and not asked
+
+
+def test_lines_of_a_pair_need_no_python_group(spark):
+    rows = [("p", "original", 1, "One"), ("p", "original", 2, "Two"), ("p", "revised", 1, "One"), ("q", "original", 1, "Alone"), ("s", "original", 5, "Same"), ("s", "revised", 6, "Same")]
+    units = spark.createDataFrame(rows, "pair_id string, side string, unit_seq int, text string")
+    got = D.compare_units(units)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(x) for x in got.orderBy("pair_id", "seq").collect()] == [("p", 1, "removed", 2, None, "Two", None, 1), ("q", 1, "removed", 1, None, "Alone", None, None)]
+    blocks = D.align_blocks(units.withColumnRenamed("unit_seq", "seq"))
+    assert "FlatMapGroupsInPandas" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(x) for x in blocks.orderBy("pair_id", "seq").collect()] == [("p", 1, "unchanged", 1, 1, 1.0), ("p", 2, "delete", 2, None, 0.0), ("q", 1, "delete", 1, None, 0.0), ("s", 1, "unchanged", 5, 6, 1.0)]
