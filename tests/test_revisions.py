@@ -15,6 +15,7 @@ from palimpsest.operators import layout as L
 from palimpsest.operators import mutate as M
 from palimpsest.operators import report as R
 from palimpsest.operators import structure as S
+from palimpsest.session import stored
 
 
 def pages(spark, *texts):
@@ -650,3 +651,21 @@ def test_lines_of_a_pair_need_no_python_group(spark):
     blocks = D.align_blocks(units.withColumnRenamed("unit_seq", "seq"))
     assert "FlatMapGroupsInPandas" not in blocks._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(x) for x in blocks.orderBy("pair_id", "seq").collect()] == [("p", 1, "unchanged", 1, 1, 1.0), ("p", 2, "delete", 2, None, 0.0), ("q", 1, "delete", 1, None, 0.0), ("s", 1, "unchanged", 5, 6, 1.0)]
+
+
+def test_phrases_of_near_copies_are_dealt_once(spark, monkeypatch):
+    """Earlier they were dealt for their counts, for the join with these, and twice more, whether they met another text or not."""
+    plans = {}
+
+    def kept(df, name="t"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(D, "stored", kept)
+    text = lambda *w: " ".join(f"{x}{i}" for x in w for i in range(12))
+    rows = [(1, text("a", "b")), (2, text("a", "b")), (3, text("a", "c")), (4, text("d", "e")), (5, text("f"))]
+    got = D.near_copy_pairs(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert {(x.original_doc_id, x.revised_doc_id, x.kind) for x in got} == {(1, 2, "exact")}
+    more = D.near_copy_pairs(spark.createDataFrame([*rows, (6, text("a", "b", "d"))], "doc_id int, text string")).collect()
+    assert {(x.original_doc_id, x.revised_doc_id, x.kind) for x in more} == {(1, 2, "exact"), (1, 6, "near")}
+    assert "Join" not in plans["held"] and "LeftSemi" in plans["near"]
