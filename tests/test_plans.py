@@ -120,3 +120,17 @@ def test_alignment_counts_without_the_score_matrix(spark, monkeypatch):
     a = A.alignment(o, r, A.best_matches(o, r))
     assert R.alignment_counts(a, ["pair_id"]).count() == 1
     assert sorted((x.status, x.original_id, x.revised_id) for x in a.collect()) == [("matched", "c0", "c0"), ("original_only", "c1", None)]
+
+
+def test_only_documents_of_pairs_are_laid_out(spark, tmp_path):
+    """Token tables of pairs held every document of the corpus before."""
+    from palimpsest.plans import queries as Q
+
+    body = lambda seed: " ".join(f"{seed}word{i}" for i in range(40))
+    rows = [(1, body("a")), (2, body("a") + " and more"), (3, body("b")), (4, body("c"))]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    assert {x.doc_id for x in Q.pair_tokens(spark, d).select("doc_id").distinct().collect()} == {1, 2}
+    assert not {"id", "text", "paragraph_id"} & set(Q.pair_tokens(spark, d).columns)
+    assert {x.doc_id for x in Q.pair_words(spark, d, "revised", kind="near").select("doc_id").distinct().collect()} == {2}
+    assert [x.pair_id for x in Q.token_rects(spark, d).select("pair_id").distinct().collect()] == ["1-2"]
