@@ -134,3 +134,15 @@ def test_only_documents_of_pairs_are_laid_out(spark, tmp_path):
     assert not {"id", "text", "paragraph_id"} & set(Q.pair_tokens(spark, d).columns)
     assert {x.doc_id for x in Q.pair_words(spark, d, "revised", kind="near").select("doc_id").distinct().collect()} == {2}
     assert [x.pair_id for x in Q.token_rects(spark, d).select("pair_id").distinct().collect()] == ["1-2"]
+
+
+def test_profiles_have_one_row_a_document(spark):
+    """54 rows a document before: words, headers and footers were grouped apart, as their union passed for dealt by document."""
+    from collections import Counter
+
+    from palimpsest.operators import layout as L
+    from palimpsest.session import reachable
+    from palimpsest.sources import fixtures as FX
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20)], "doc_id int, text string")
+    assert set(Counter(x.doc_id for x in L.profile(FX.layout(reachable(docs.sparkSession).createDataFrame(docs.collect(), docs.schema))).collect()).values()) == {1}
