@@ -669,3 +669,16 @@ def test_phrases_of_near_copies_are_dealt_once(spark, monkeypatch):
     more = D.near_copy_pairs(spark.createDataFrame([*rows, (6, text("a", "b", "d"))], "doc_id int, text string")).collect()
     assert {(x.original_doc_id, x.revised_doc_id, x.kind) for x in more} == {(1, 2, "exact"), (1, 6, "near")}
     assert "Join" not in plans["held"] and "LeftSemi" in plans["near"]
+
+
+def test_matches_of_flat_batches():
+    """Pairs of a batch are matched one by one though their clauses are read flat; a pair without matches has no row."""
+    import pyarrow as pa
+
+    clause = lambda i, n, number, text: A.Scored(i, n, number, number, "terms", None, text)._asdict()
+    left = [[clause(0, 2, "1.1", "sail at dawn"), clause(1, 2, "1.2", "keep the lantern lit")], [clause(0, 1, "1.1", "sail at dawn")], [clause(0, 1, None, "")]]
+    right = [[clause(0, 2, "1.2", "keep the lantern lit"), clause(1, 2, "1.1", "sail at noon")], [clause(0, 1, "7.4", "nothing alike whatever it may be worth to you")], [clause(0, 1, None, "")]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(left), pa.array(right)], names=["pair_id", "o", "r"])
+    got = [r for b in A._chosen("pair_id", 70.0)([batch]) for r in b.to_pylist()]
+    want = [(p, *m) for p, x, y in zip((7, 8, 9), left, right) for m in A._first_choices([A.Scored(**c) for c in x], [A.Scored(**c) for c in y], 70.0)]
+    assert [tuple(r.values()) for r in got] == want and {r["pair_id"] for r in got} == {7, 9}
