@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import discard, stored
+from ..session import discard, release, stored
 
 __all__ = ["discard", "map_texts", "release", "split_batch", "stored", "table", "without"]
 
@@ -20,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns that an operator is about to add under these names (case-insensitive)."""
     taken = {n.lower() for n in names}

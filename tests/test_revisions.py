@@ -703,3 +703,27 @@ def test_likest_prepares_a_clause_once(monkeypatch):
     originals = [A.Clause(k, f"clause-1-{k}", f"1.{k}", f"supplier {k} delivers {k + 10} units", None) for k in range(1, 6)]
     rows = A._align_pair(originals, [A.Clause(1, "clause-1-51", "1.51", "supplier 3 delivers 13 units", None)])
     assert made == ["supplier 3 delivers 13 units"] and rows[0]["original_order"] == 3
+
+
+def test_phrases_are_those_of_plain_windows():
+    """Equal runs of words have equal hashes, unlike ones none in common, and no run reaches over the end of its text."""
+    import pyarrow as pa
+
+    texts = [[1, 2, 3, 1, 2, 3], [], [9, 1, 2], [1, 2], [3, 2, 1]]
+    got = K.phrases_udf.func(pa.array(texts, pa.list_(pa.int64())), pa.array([3] * 5)).to_pylist()
+    windows = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    assert [len(x) for x in got] == [len(w) for w in windows] == [3, 0, 1, 0, 1]
+    assert [[len(set(x) & set(y)) for y in got] for x in got] == [[len(x & y) for y in windows] for x in windows]
+    assert K.phrases_udf.func(pa.array(texts, pa.list_(pa.int64())).slice(2), pa.array([3] * 3)).to_pylist() == got[2:]
+
+
+def test_shuffles_of_finished_steps_are_released(spark, monkeypatch):
+    """Earlier the shuffle files of near copies lay on disk beside those of every later step."""
+    from palimpsest import session
+
+    asked = []
+    monkeypatch.setattr(session, "release", asked.append)
+    names = []
+    monkeypatch.setattr(D, "stored", lambda df, name="t": names.append(name) or session.stored(df, name))
+    D.near_copy_pairs(spark.createDataFrame([(1, "a b"), (2, "a  b")], "doc_id int, text string")).collect()
+    assert names == ["held", "met", "near"] and len(asked) == 3
