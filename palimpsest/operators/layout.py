@@ -23,19 +23,31 @@ def valid_box() -> Column:
     return (F.col("x1") >= F.col("x0")) & (F.col("y1") >= F.col("y0"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: written as a plain column, a filter on it or on what follows from it would compute it again, in lambdas for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def gathered(words: DataFrame) -> DataFrame:
+    """Words with those of a block in an array ws, in no order."""
+    return words.groupBy(*BLOCK, "width", "height").agg(F.collect_list(F.struct("line_index", "word_index", "text", "x0", "y0", "x1", "y1")).alias("ws"))
+
+
 def blocks_of(words: DataFrame) -> DataFrame:
-    """Blocks with their lines' texts, box and page size from words; words with an invalid box are left out."""
-    w = words.filter(valid_box())
-    line = w.groupBy(*BLOCK, "line_index", "width", "height").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_index", "text"))), lambda x: x["text"]), " ").alias("line"), *merged_box())
-    lines = F.array_sort(F.collect_list(F.struct("line_index", "line")))
-    got = line.groupBy(*BLOCK, "width", "height").agg(F.transform(lines, lambda x: x["line"]).alias("lines"), *merged_box())
-    return got.withColumn("text", F.array_join("lines", "\n")).filter(F.trim("text") != "")
+    """Blocks with their lines' texts, box and page size from words; words with an invalid box are left out. Words may come gathered (ws); blocks then keep them."""
+    own = ["ws"] if "ws" in words.columns else []
+    valid = F.filter("ws", lambda w: (w["x1"] >= w["x0"]) & (w["y1"] >= w["y0"]))
+    row = lambda w: F.struct(*[w[c].alias(c) for c in ("line_index", "x0", "word_index", "text", "y0", "x1", "y1")])
+    b = once(words if own else gathered(words), "__s", F.sort_array(F.transform(valid, row))).filter(F.size("__s") > 0)
+    line = lambda k: F.array_join(F.transform(F.filter("__s", lambda w: w["line_index"].eqNullSafe(k)), lambda w: w["text"]), " ")
+    box = [F.array_min("__s.x0").alias("x0"), F.array_min("__s.y0").alias("y0"), F.array_max("__s.x1").alias("x1"), F.array_max("__s.y1").alias("y1")]
+    got = once(b, "lines", F.transform(F.array_distinct("__s.line_index"), line)).select(*BLOCK, "width", "height", "lines", *box, *own)
+    return once(got, "text", F.array_join("lines", "\n")).filter(F.trim("text") != "")
 
 
 def margins(blocks: DataFrame) -> DataFrame:
     """Blocks with margin: footer for page numbers anywhere, header or footer for texts that stand in the top or bottom 12 % of two pages or more, else null."""
-    key, number = X.block_key(F.col("text")), P.page_number_text(F.col("text"))
-    b = blocks.withColumn("__key", key).withColumn("__number", number).withColumn("__top", F.col("y0") <= F.col("height") * 0.12).withColumn("__low", F.col("y1") >= F.col("height") * 0.88)
+    b = blocks.withColumn("__key", X.block_key(F.col("text"))).withColumn("__number", P.page_number_key(F.col("__key"))).withColumn("__top", F.col("y0") <= F.col("height") * 0.12).withColumn("__low", F.col("y1") >= F.col("height") * 0.88)
     same = Window.partitionBy("doc_id", "__key")  # windows, not joins: blocks keep to their document's partition
 
     def again(edge: str) -> Column:
@@ -71,22 +83,31 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def typed(blocks: DataFrame) -> DataFrame:
     """Blocks with block_type."""
-    return blocks.withColumn("block_type", P.block_type(F.col("text"), F.col("lines"), F.col("margin")))
+    flat = blocks.withColumn("__flat", X.collapse(F.col("text")))
+    return flat.withColumn("block_type", P.block_type(F.col("text"), F.col("lines"), F.col("margin"), F.col("__flat"))).drop("__flat")
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
     """Blocks with section_path: headings above, one for each level, carried over pages; margins and noise have none."""
     body = ~F.col("block_type").isin("header", "footer", "noise")
-    heads = blocks.filter(body & (F.col("block_type") == "heading"))
-    heads = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "place", P.heading_level(F.col("text")).cast("int").alias("level"), X.collapse(F.col("text")).alias("title")))).alias("h"))
-    paths = heads.select("doc_id", F.explode(F.arrays_zip("h", K.section_paths_udf("h.level", "h.title").alias("path"))).alias("x"))
-    paths = paths.select("doc_id", F.col("x.h.page_index").alias("page_index"), F.col("x.h.place").alias("place"), F.col("x.path").alias("__path"))
-    above = Window.partitionBy("doc_id").orderBy("page_index", "place", "__block").rowsBetween(Window.unboundedPreceding, 0)
+    head = body & (F.col("block_type") == "heading")
+    run = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.greatest(P.heading_level(F.col("text")).cast("int"), F.lit(1))
+    # A heading of level k stands at depth d = min(k, depth before + 1), which is its number n plus the least of 0 and all levels less numbers so far.
+    b = blocks.withColumns({"__level": F.when(head, level), "__title": F.when(head, X.collapse(F.col("text")))}).withColumn("__n", F.count("__level").over(run))
+    b = b.withColumn("__m", F.min(F.col("__level") - F.col("__n")).over(run)).withColumn("__d", F.when(F.col("__level").isNotNull(), (F.col("__n") + F.least(F.lit(0), "__m")).cast("int")))
+    at = {f"__t{k}": F.last(F.when(F.col("__d") == k, F.col("__title")), ignorenulls=True).over(run) for k in range(1, FLAT_DEPTH + 1)}
+    b = b.withColumns(at | {"__depth": F.coalesce(F.last("__d", ignorenulls=True).over(run), F.lit(0)), "__g": F.count(F.when(F.col("__d") <= FLAT_DEPTH, 1)).over(run)})
+    deep = Window.partitionBy("doc_id", "__g").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("__deep", F.collect_list(F.when(F.col("__d") > FLAT_DEPTH, F.struct(F.col("__d").alias("d"), F.col("__title").alias("t")))).over(deep))
     none = F.array().cast("array<string>")
-    # A union and a window, not a join: blocks keep to their document's partition.
-    b = blocks.withColumn("__block", F.lit(True)).unionByName(paths.withColumn("__block", F.lit(False)), allowMissingColumns=True)
-    b = b.withColumn("__path", F.last("__path", ignorenulls=True).over(above)).filter("__block").drop("__block")
-    return b.withColumn("section_path", F.when(body, F.coalesce("__path", none)).otherwise(none)).drop("__path")
+    below = F.aggregate("__deep", none, lambda p, x: F.concat(F.slice(p, 1, x["d"] - FLAT_DEPTH - 1), F.array(x["t"])))
+    path = F.concat(F.slice(F.array(*at), F.lit(1), F.least(F.col("__depth"), F.lit(FLAT_DEPTH))), below)
+    return b.withColumn("section_path", F.when(body, path).otherwise(none)).drop(*at, "__level", "__title", "__n", "__m", "__d", "__depth", "__g", "__deep")
+
+
+#: Section paths to this depth are kept by windows; what stands deeper is gathered, within one heading of this depth.
+FLAT_DEPTH = 4
 
 
 def processed_blocks(words: DataFrame) -> DataFrame:
@@ -115,6 +136,42 @@ def word_tokens(words: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def token_lists(blocks: DataFrame) -> DataFrame:
+    """E8, E9 over processed blocks of gathered words: one row a block that has tokens, with their number before it (start) and ts, its tokens in order. A block without text has none; words have a line."""
+    w = blocks.filter(~F.col("block_type").isin("header", "footer", "noise"))
+    order = ("line_index", "y0", "x0", "word_index", "text", "x1", "y1")
+    w = once(w, "__s", F.sort_array(F.transform("ws", lambda x: F.struct(*[x[c].alias(c) for c in order])))).drop("ws")
+    # Keys are made of a block's whole text, as long as its words hold no white space.
+    w = once(w, "__flat", F.array_join("__s.text", " ", ""))
+    w = once(w, "__keys", F.split(X.word_keys(F.col("__flat")), " "))
+    plain = (F.size("__keys") == F.size("__s")) & ~F.col("__flat").rlike(r"(?U)[\s&&[^ ]]")
+    w = w.withColumn("__k", F.when(plain, F.col("__keys")).otherwise(F.transform("__s", lambda x: X.word_key(x["text"]))))
+    token = lambda x, k: F.struct(k.alias("normalized"), *[x[c].alias(c) for c in ("line_index", "x0", "y0", "x1", "y1", "text")])
+    w = once(w, "ts", F.filter(F.zip_with("__s", "__k", token), lambda x: x["normalized"] != "")).filter(F.size("ts") > 0)
+    before = Window.partitionBy("doc_id").orderBy("page_index", "place").rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.when(F.size("section_path") > 0, F.element_at("section_path", -1)).alias("section_heading")
+    return w.select(*BLOCK, "block_type", "place", heading, "ts").withColumn("start", F.coalesce(F.sum(F.size("ts")).over(before), F.lit(0)).cast("int"))
+
+
+def listed_tokens(lists: DataFrame) -> DataFrame:
+    """word_tokens of token_lists: a row for each token."""
+    name = F.format_string("page-%d-block-%d", "page_index", "block_index")
+    each = lists.select(*BLOCK, "block_type", "section_heading", "start", F.posexplode("ts").alias("__k", "t"))
+    index = F.col("start") + F.col("__k")
+    return each.select(
+        "doc_id", index.alias("token_index"), F.concat(F.lit("token-"), index.cast("string")).alias("id"), "t.text", "t.normalized", (F.col("page_index") + 1).alias("page_number"), "t.x0", "t.y0", "t.x1", "t.y1",
+        name.alias("block_id"), F.concat(name, F.lit("-line-"), F.col("t.line_index").cast("string")).alias("line_id"), F.when(F.col("block_type").isin("paragraph", "list_item", "table_candidate"), name).alias("paragraph_id"), "section_heading",
+    )
+
+
+def list_rects(lists: DataFrame, gap: float = 4.0, pad: float = 1.25) -> DataFrame:
+    """token_rects by document of all tokens of token_lists: lines lie within blocks, so rectangles are joined a block at a time and numbered a page at a time."""
+    t = lists.withColumn("__t", F.sort_array(F.transform("ts", lambda x: F.struct(*[x[c].alias(c) for c in ("line_index", "x0", "y0", "x1", "y1")]))))
+    t = t.withColumn("__r", K.joined_boxes_udf("__t.line_index", "__t.x0", "__t.y0", "__t.x1", "__t.y1", F.lit(gap), F.lit(pad)))
+    pages = t.groupBy("doc_id", (F.col("page_index") + 1).alias("page_number")).agg(F.sort_array(F.flatten(F.collect_list("__r"))).alias("rs"))
+    return pages.select("doc_id", "page_number", F.posexplode("rs").alias("__k", "r")).select("doc_id", "page_number", "r.x0", "r.y0", "r.x1", "r.y1", (F.col("__k") + 1).alias("rect"))
+
+
 def adapted_documents(blocks: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A10: pages (doc_id, page_number, text) and documents (doc_id, title, full_text) of processed blocks.
 

@@ -727,3 +727,47 @@ def test_shuffles_of_finished_steps_are_released(spark, monkeypatch):
     monkeypatch.setattr(D, "stored", lambda df, name="t": names.append(name) or session.stored(df, name))
     D.near_copy_pairs(spark.createDataFrame([(1, "a b"), (2, "a  b")], "doc_id int, text string")).collect()
     assert names == ["held", "met", "near"] and len(asked) == 3
+
+
+def test_gathered_layout_gives_the_tokens_and_rectangles_of_single_words(spark):
+    """Blocks that keep their words: no union, no word dealt or numbered on its own."""
+    from palimpsest.sources import fixtures as FX
+
+    docs = spark.createDataFrame([(4, "Some words­ of ­ a “text” " * 70), (5, "1. Title 12 OTHERS – " * 200), (6, None), (7, " ")], "doc_id bigint, text string")
+    words, lists = FX.layout(docs), L.token_lists(L.processed_blocks(FX.gathered_layout(docs)))
+    plan = L.listed_tokens(lists)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning", 1)[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all(re.match(r"\(doc_id#\d+L?, \d+\)", x) for x in dealt) and "Union" not in plan
+    blocks = L.processed_blocks(words)
+    assert sorted(map(str, blocks.collect())) == sorted(map(str, L.processed_blocks(FX.gathered_layout(docs)).select(blocks.columns).collect()))
+    tokens = L.word_tokens(words, blocks)
+    want, got = (sorted(map(tuple, x.collect()), key=str) for x in (tokens, L.listed_tokens(lists).select(tokens.columns)))
+    assert want == got and len(want) > 900
+    rects = L.token_rects(tokens, ["doc_id"])
+    assert sorted(map(tuple, rects.collect())) == sorted(map(tuple, L.list_rects(lists).select(rects.columns).collect()))
+
+
+def test_section_paths_below_the_flat_depth(spark, monkeypatch):
+    monkeypatch.setattr(L, "FLAT_DEPTH", 1)
+    test_section_paths_by_plain_loop(spark)
+
+
+def test_joined_boxes_by_plain_loop():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [sorted((rng.randint(0, 2), x := rng.randint(0, 60) / 2, rng.randint(0, 3) / 2, x + rng.randint(0, 30) / 2, 9.0) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    want = []
+    for ws in rows:
+        groups, line, reach = [], None, 0.0
+        for n, x0, y0, x1, y1 in ws:
+            if n != line or x0 - reach > 4.0:
+                groups.append([])
+            reach = x1 if n != line else max(reach, x1)
+            line = n
+            groups[-1].append((x0, y0, x1, y1))
+        want.append([{"y0": max(0.0, min(g[1] for g in gs) - 1), "x0": max(0.0, min(g[0] for g in gs) - 1), "x1": max(g[2] for g in gs) + 1, "y1": max(g[3] for g in gs) + 1} for gs in groups])
+    cols = [pa.array([[w[i] for w in ws] for ws in rows], pa.list_(pa.int32() if i == 0 else pa.float64())) for i in range(5)]
+    at = lambda n: [pa.array([v] * n) for v in (4.0, 1.0)]
+    assert K.joined_boxes_udf.func(*cols, *at(60)).to_pylist() == want
+    assert K.joined_boxes_udf.func(*[c.slice(20) for c in cols], *at(40)).to_pylist() == want[20:]
